@@ -64,7 +64,7 @@ worker workflow workspace wrapper writer zone
 
 
 def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """The training set, ``text, random``: n random strings in five alphabets, n composed identifiers."""
+    """The training set, ``text, random``: n random strings in five alphabets, n composed identifiers, and filler."""
     i = F.col("id")
     words = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
 
@@ -97,10 +97,12 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
         ),
         (F.pmod(i, F.lit(8)) + 1).cast("int"),
     )
+    # Filler such as ruled lines and repeated letters is ordinary too.
+    filler = spark.createDataFrame([(c * 24, 0) for c in ALPHABET], "text string, random int")
     ids = spark.range(0, n, 1, 4)
     return ids.select(random.alias("text"), F.lit(1).alias("random")).union(
         ids.select(plain.alias("text"), F.lit(0).alias("random"))
-    )
+    ).union(filler)
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
