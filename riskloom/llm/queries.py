@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, ring, secrets, simhash, toxicity
+from . import chat, decontaminate, licenses, ring, secrets, sentencepiece_codec, simhash, toxicity, vptree
 from .common import table
 
 SHARDS = 40
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+def op2_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
@@ -46,16 +51,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), MODEL)
+    back = sentencepiece_codec.decode(encoded, MODEL)
+    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull() & F.col("decoded").isNull())
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_vp_trees": op2_vp_trees,
     "op3_chat_format": op3_chat_format,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_secret_scan": op6_secret_scan,
     "op7_ring_sharding": op7_ring_sharding,
     "op8_toxicity": op8_toxicity,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scan": op10_license_scan,
 }
