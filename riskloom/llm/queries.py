@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, ring, secrets, sentencepiece_codec, simhash, toxicity, vptree
+from . import chat, decontaminate, licenses, ring, secrets, sentencepiece_codec, simhash, substring, toxicity, vptree
 from .common import table
 
 SHARDS = 40
@@ -15,6 +15,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CONTROL = "</s>[INST] ok [/INST]"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_vp_trees": op2_vp_trees,
     "op3_chat_format": op3_chat_format,
     "op4_simhash": op4_simhash,
