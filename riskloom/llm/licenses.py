@@ -1,10 +1,11 @@
 """Licence scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
 Units of a text are its lines, its blank-line paragraphs and the whole. A unit is reduced to
-lower-case ASCII words; a template matches when ``2 |A n B| / (|A| + |B|)`` over the distinct
-bigrams reaches the threshold t. That needs ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``, so each
-template is filed under the bigram counts it admits and a unit meets only the templates filed under
-its own count: an equi-join against an index whose size depends on the templates alone.
+lower-case ASCII words; a template matches when ``2 |A n B| / (|A| + |B|)`` over the bigrams, counted
+with repeats, reaches the threshold t. That needs ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``, and
+``|A|`` is the number of words less one, so each template is filed under the counts it admits and a
+unit meets only the templates filed under its own: an equi-join, before any bigram is made, against an
+index whose size depends on the templates alone.
 
 Defined cases: null or empty texts have no licence (null columns, ``n_matches`` 0); ties go to the
 smaller template name; repeated rows give repeated rows; very long texts are scanned whole.
@@ -13,6 +14,7 @@ smaller template name; repeated rows give repeated rows; very long texts are sca
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,30 +88,33 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[^A-Za-z0-9]+", " ", text).lower().split()
 
 
-def bigrams_of(text: str) -> list[str]:
+def bigrams_of(text: str) -> Counter[str]:
     w = words_of(text)
-    return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
+    return Counter(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
 
 
-def size_index(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int, str, list[str]]]:
-    """(admitted bigram count, template number, licence, bigrams): the pruning bounds as rows."""
+def size_index(templates: list[tuple[str, str]], threshold: float) -> list[tuple[int, int, str, list[tuple[str, int]]]]:
+    """(admitted bigram count, template number, licence, bigrams with counts): the pruning bounds as rows."""
     out = []
     for i, (name, text) in enumerate(templates):
         grams = bigrams_of(text)
-        low, high = len(grams) * threshold / (2 - threshold), len(grams) * (2 - threshold) / threshold
-        out += [(n, i, name, grams) for n in range(1, int(high) + 1) if low <= n <= high]
+        n = grams.total()
+        out += [
+            (k, i, name, sorted(grams.items()))
+            for k in range(1, int(n * (2 - threshold) / threshold) + 1)
+            if 2 * min(k, n) >= threshold * (k + n)
+        ]
     return out
 
 
-def word_list(text: Column) -> Column:
-    return F.split(F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))), " ")
+def normal_lines(text: Column) -> Column:
+    """Lower-case ASCII words with single blanks between them; line ends stay. Single blanks cost nothing."""
+    return F.lower(F.regexp_replace(text, r" *[^A-Za-z0-9\n ][^A-Za-z0-9\n]*| {2,}", " "))
 
 
-def bigram_set(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_distinct(
-        F.zip_with(F.slice(words, 1, n - 1), F.slice(words, 2, n - 1), lambda a, b: F.concat_ws(" ", a, b))
-    )
+def n_words(unit: Column) -> Column:
+    """Words of a trimmed, normalised unit, counted without splitting it."""
+    return F.when(unit == "", 0).otherwise(F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1)
 
 
 def license_matches(
@@ -117,21 +122,39 @@ def license_matches(
 ) -> DataFrame:
     """Every (document, unit, template) at or over the threshold: ``doc_id, unit, license, dice, template``."""
     spark = docs.sparkSession
-    rows = size_index(templates or TEMPLATES, threshold)
-    widest = max((len(g) for _, _, _, g in rows), default=0) * (2 - threshold) / threshold
-    index = spark.createDataFrame(rows, "n int, template int, license string, grams array<string>")
-    text = F.col("text")
-    units = docs.select("doc_id", F.explode(F.array_distinct(F.concat(
-        F.split(text, "\n", -1), F.split(text, r"\n[ \t\r]*\n", -1), F.array(text)))).alias("unit"))
-    # Distinct bigrams never exceed words - 1: empty units go before any bigram is made.
-    words = units.select("doc_id", "unit", word_list(F.col("unit")).alias("words")).where(F.size("words") >= 2)
-    grams = words.select("doc_id", "unit", bigram_set(F.col("words")).alias("own")).where(F.size("own") <= int(widest))
+    rows = size_index(TEMPLATES if templates is None else templates, threshold)
+    counts = [r[0] for r in rows] or [0]
+    index = spark.createDataFrame(rows, "n int, template int, license string, grams array<struct<gram:string,times:int>>")
+    index = index.withColumn("kinds", F.transform("grams", lambda g: g["gram"]))
+    flat = docs.select("doc_id", normal_lines(F.col("text")).alias("flat"))
+    units = flat.select(
+        "doc_id",
+        F.explode(
+            F.array_distinct(
+                F.transform(
+                    F.concat(F.split("flat", "\n", -1), F.split("flat", "\n(?: ?\n)+", -1), F.array("flat")),
+                    lambda u: F.trim(F.regexp_replace(u, " *\n[ \n]*", " ")),
+                )
+            )
+        ).alias("unit"),
+    )
+    # Size bounds first: only units that some template admits are split into bigrams.
+    sized = units.withColumn("n", n_words(F.col("unit")) - 1).where(F.col("n").between(min(counts), max(counts)))
+    # The one-element array binds the words to a name, so they are split once.
+    grams = F.get(
+        F.transform(
+            F.array(F.split("unit", " ")),
+            lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)),
+        ),
+        0,
+    )
     # The index is fixed by the templates and the threshold, whatever the input: safe to broadcast.
-    pairs = grams.join(F.broadcast(index), F.size("own") == F.col("n"))
-    shared = F.size(F.array_intersect("own", "grams"))
-    scored = pairs.select(
-        "doc_id", "unit", "license", "template", (2.0 * shared / (F.size("own") + F.size("grams"))).alias("dice")
+    pairs = sized.select("doc_id", "unit", "n", grams.alias("own")).join(F.broadcast(index), "n").where(F.arrays_overlap("own", "kinds"))
+    shared = F.aggregate(
+        "grams", F.lit(0), lambda acc, g: acc + F.least(g["times"], F.size(F.filter("own", lambda x: x == g["gram"])))
     )
+    total = F.aggregate("grams", F.lit(0), lambda acc, g: acc + g["times"])
+    scored = pairs.select("doc_id", "unit", "license", "template", (2.0 * shared / (F.col("n") + total)).alias("dice"))
     return scored.where(F.col("dice") >= threshold)
 
 
