@@ -274,6 +274,7 @@ def _model(df: DataFrame, path: str):
 def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
     """``key, text`` (distinct keys) -> ``key, ids``; every chunk is a row and may be on any executor."""
     margin = Codec.of(model).longest
+    types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +284,7 @@ def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
                     e = min(len(text), b + chunk)
                     left = max(0, b - margin)
                     row = [[key], [k], [text[left : e + margin]], [b - left], [e - left], [e == len(text)]]
-                    yield pa.record_batch(row, ["key", "k", "text", "b", "e", "last"])
+                    yield pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], ["key", "k", "text", "b", "e", "last"])
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model)

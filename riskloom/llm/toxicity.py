@@ -52,8 +52,9 @@ LEET = bytes.maketrans(b"0134578@$!|+", b"oieastbasiit")
 BLANKS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SPACED = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:[a-z0-9@$!][ .*_-]){2,}[a-z0-9@$!](?![0-9a-z\x80-\xff])")
-SIGNED = re.compile(rb"[a-z@$!|+]*[0-9@$!|+*][a-z0-9@$!|+*]*[a-z][a-z0-9@$!|+*]*")
+SPACED = re.compile(rb"(?<![0-9a-z\x80-\xff])(?:[a-z0-9@$!][ .*_-]){2,24}[a-z0-9@$!](?![0-9a-z\x80-\xff])")
+#: Words with signs or digits in them; bounds and the look-behind keep it linear on any text.
+SIGNED = re.compile(rb"(?<![a-z0-9@$!|+*])[a-z]{0,24}[0-9@$!|+*][a-z0-9@$!|+*]{0,24}")
 NEAR = 6
 NAMES = (
     "log_words mean_word fixed_hits fixed_rate learned_hits learned_rate worst_50 near_you near_rate you_rate "
