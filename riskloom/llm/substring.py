@@ -5,11 +5,14 @@ paragraph are compared:
 
 * *lines* of at least ``least`` words: MinHash over their five-word shingles, in bands tuned for recall
   at Jaccard 0.8 (10 bands of 4: 99.5 %), colliding lines verified by exact Jaccard;
-* *passages*, for text repeated inside longer lines or across them: windows of ``least`` words whose
-  hash is least among ``least`` neighbours. Any run of ``2 * least - 1`` words that two documents share
-  has such a window in common. They are compared whole: one band of all rows.
-
-Equal paragraphs collapse first, with a combine before the shuffle, so copies never meet. A band's
+* *passages*, for text repeated inside longer lines or across them: windows of ``window`` (16) words whose
+  hash is least among ``near`` (36) neighbours. Any run of ``window + near - 1`` (51) words that two
+  documents share has such a window in common. They are compared whole: one band of all rows.
+
+Equal paragraphs collapse first, with a combine before the shuffle, so copies never meet. What turned out
+to repeat is then looked up in the rest; a bit map of fixed size (8 MB), broadcast, first drops nearly all
+rows that can't be among it, so they don't shuffle twice. (A full map would drop none, and lose none.)
+ A band's
 bucket never emits its pairs: it is cut into tiles of bounded size, a tile verifies its links and
 returns a spanning forest of them, and buckets with the same members are solved once. Components give
 each paragraph its class, and a class that occurs in two documents or more is a repeat: it stays in the
@@ -18,7 +21,7 @@ document with the least id and is a removal in the others.
 Result: a row per document, component and maximal span, ``doc_id, component_id`` (the document that
 keeps the text), ``start_char, end_char`` (code points), ``removed``. Documents without a repeat have none.
 
-Defined cases: null and empty texts have no paragraphs; shorter texts than ``least`` words have none;
+Defined cases: null and empty texts have no paragraphs; texts of less than ``window`` words have none;
 repeated rows of one ``doc_id`` are one document; null ids take no part; texts are read whole, in slices of
 bounded memory; other columns are ignored.
 """
@@ -37,7 +40,8 @@ from pyspark.sql.window import Window
 from .common import materialize, text_slices
 from .components import components
 
-SHINGLE, LEAST, JACCARD, BANDS, ROWS, TILE = 5, 24, 0.8, 10, 4, 1024
+SHINGLE, LEAST, WINDOW, NEAR, JACCARD, BANDS, ROWS, TILE = 5, 24, 16, 36, 0.8, 10, 4, 1024
+MAP_BITS = 26
 U = np.uint64
 #: Bytes to word characters: A-Z become a-z, 0 is no word character.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -91,8 +95,8 @@ class Words:
         return mix(out)
 
 
-def passages(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and two hashes of the windows of k words that are least among k neighbours."""
+def passages(w: Words, k: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and two hashes of the windows of k words that are least among ``near`` neighbours."""
     n = len(w.hash) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
@@ -104,15 +108,20 @@ def passages(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         two += s[o : o + n] * ODD[150 + j]
     one = mix(one)
     one[w.text[:n] != w.text[k - 1 :]] = TOP
-    padded = np.concatenate([np.full(k - 1, TOP, U), one, np.full(k - 1, TOP, U)])
+    # Texts lie one after another with k - 1 void windows between: no neighbourhood may reach over, so each
+    # text's windows are laid out ``near`` apart from the next text's.
+    owner = w.text[:n]
+    place = np.arange(n) + near * (owner - owner[0])
+    padded = np.full(int(place[-1]) + 2 * near, TOP, U)
+    padded[place + near - 1] = one
     least, span = padded, 1
-    while span * 2 <= k:
+    while span * 2 <= near:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < k:
-        least = np.minimum(least[: len(padded) - k + 1], least[k - span : k - span + len(padded) - k + 1])
+    if span < near:
+        least = np.minimum(least[: len(padded) - near + 1], least[near - span : near - span + len(padded) - near + 1])
     chosen = np.zeros(n, bool)
-    for o in range(k):  # some window of k neighbours has its least here
-        chosen |= one == least[o : o + n]
+    for o in range(near):  # some run of ``near`` neighbours has its least here
+        chosen |= one == least[place + o]
     at = np.flatnonzero(chosen & (one != TOP))
     return at, one[at], mix(two[at])
 
@@ -148,7 +157,7 @@ def _line_rows(w: Words, least: int):
     return a, b, one, two, sets, mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
-def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
+def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFrame:
     """``doc_id, line, start_char, end_char, h1, h2, bands, shingles``; the last two are null for passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +165,9 @@ def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
             for part in text_slices(batch, "text", 1 << 20):
                 ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
                 w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
-                at, p1, p2 = passages(w, least)
+                at, p1, p2 = passages(w, window, near)
                 a, b, l1, l2, sets, keys = _line_rows(w, least)
-                first, last = np.concatenate([at, a]), np.concatenate([at + least, b]) - 1
+                first, last = np.concatenate([at, a]), np.concatenate([at + window, b]) - 1
                 text = w.text[first]
                 none = [None] * len(at)
                 yield pa.record_batch(
@@ -168,7 +177,7 @@ def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
                         pa.array(w.char(w.start[first], text).astype(np.int32)),
                         pa.array(w.char(w.end[last], text).astype(np.int32)),
                         pa.array(np.concatenate([p1, l1]).view(np.int64)),
-                        pa.array(np.concatenate([p2, l2]).view(np.int64)),
+                        pa.array((np.concatenate([p2, l2]) >> U(32)).astype(np.uint32).view(np.int32)),
                         pa.array([*none, *keys.view(np.int64)], pa.list_(pa.int64())),
                         pa.array([*none, *(s.view(np.int32) for s in sets)], pa.list_(pa.int32())),
                     ],
@@ -177,7 +186,7 @@ def _paragraphs(docs: DataFrame, least: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     return rows.mapInArrow(
-        run, "doc_id long, line boolean, start_char int, end_char int, h1 long, h2 long, bands array<long>, shingles array<int>"
+        run, "doc_id long, line boolean, start_char int, end_char int, h1 long, h2 int, bands array<long>, shingles array<int>"
     )
 
 
@@ -211,23 +220,50 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.n
     return out
 
 
-def line_links(unique: DataFrame, jaccard: float = JACCARD, tile: int = TILE) -> DataFrame:
-    """``h1, bands, shingles`` (distinct lines) -> edges ``a, b`` whose components are those of all links."""
-    banded = unique.select("h1", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(
+def _bit_map(values: DataFrame):
+    """A broadcast bit map of the top bits of a column of hashes: 2^26 bits, whatever the number of rows."""
+    top = values.toDF("v").select(F.shiftrightunsigned("v", 64 - MAP_BITS).alias("t"))
+    words = top.select(F.expr("cast(t >> 6 as int) AS w"), F.expr("shiftleft(1L, cast(t & 63 as int)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = words.toArrow()  # 2^20 rows at most
+    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return values.sparkSession.sparkContext.broadcast(bits.view(U))
+
+
+def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """Rows whose ``column`` may be among ``values``; none that is gets lost."""
+    sent = _bit_map(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            t = batch.column(column).to_numpy(zero_copy_only=False).view(U) >> U(64 - MAP_BITS)
+            yield batch.filter(pa.array((bits[(t >> U(6)).astype(np.int64)] >> (t & U(63))) & U(1) != 0))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE) -> DataFrame:
+    """``h1, bands, shingles`` (lines, with repeats) -> edges ``a, b`` whose components are those of all links."""
+    banded = lines.select("h1", F.explode("bands").alias("key"))
+    ends = banded.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    shared = materialize(ends.where("lo != hi").select("key"), "bands")
+    met = materialize(_maybe_in(banded, "key", shared.select("key")).join(shared, "key").distinct(), "members")
+    sizes = met.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.sum(F.xxhash64("h1", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s")
     )
     # Bands that gather the same lines are one bucket.
-    buckets = sizes.where("n > 1").groupBy("n", "x", "s").agg(F.min("key").alias("key"))
+    buckets = sizes.groupBy("n", "x", "s").agg(F.min("key").alias("key"))
     buckets = buckets.select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    members = banded.join(buckets, "key")
+    members = met.join(buckets, "key")
+    sets = _maybe_in(lines.select("h1", "shingles"), "h1", met.select("h1")).groupBy("h1").agg(F.first("shingles").alias("shingles"))
     part = F.pmod(F.xxhash64("h1", F.lit(2)), "parts").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # Tile (i, j), i <= j, holds the rows of part i and the columns of part j.
     sides = members.withColumn("own", part).withColumn("other", other).select(
         "key", "h1", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
     )
-    tiles = materialize(sides.join(unique.select("h1", "shingles"), "h1"), "tiles")
+    tiles = materialize(sides.join(sets, "h1"), "tiles")
     keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,23 +288,21 @@ def line_links(unique: DataFrame, jaccard: float = JACCARD, tile: int = TILE) ->
     return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
 
-def repeats(docs: DataFrame, least: int = LEAST, jaccard: float = JACCARD) -> DataFrame:
+def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int = NEAR, jaccard: float = JACCARD) -> DataFrame:
     """Spans that repeat across documents: ``doc_id, component_id, start_char, end_char, removed``."""
-    found = materialize(_paragraphs(docs, least), "paragraphs")
+    found = materialize(_paragraphs(docs, least, window, near), "paragraphs")
     spans = found.select("doc_id", "line", "start_char", "end_char", "h1", "h2")
     # Equal paragraphs: one row each, combined before the shuffle.
-    equal = spans.groupBy("line", "h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    unique = materialize(
-        found.where("line").groupBy("h1").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles")), "lines"
-    )
-    roots = materialize(components(line_links(unique, jaccard)), "line-roots").withColumnRenamed("node", "h1")
-    near = (
-        equal.where("line").join(roots, "h1").groupBy("root").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-        .where("least != most").join(roots, "root").select(F.lit(True).alias("line"), "h1", F.lit(None).cast("long").alias("h2"), F.col("least").alias("component_id"))
-    )
-    same = equal.where("least != most").join(near.select("line", "h1"), ["line", "h1"], "left_anti")
-    classes = near.union(same.select("line", "h1", "h2", F.col("least").alias("component_id")))
-    hit = spans.join(classes.withColumnRenamed("h2", "c2"), ["line", "h1"]).where(F.col("c2").isNull() | (F.col("c2") == F.col("h2")))
+    equal = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
+    equal = materialize(equal.select("h1", "h2", F.col("least").alias("component_id")), "equal")
+    roots = materialize(components(line_links(found.where("line").select("h1", "bands", "shingles"), jaccard)), "line-roots")
+    roots = roots.withColumnRenamed("node", "h1")
+    nodes = _maybe_in(spans.where("line").select("h1", "doc_id"), "h1", roots.select("h1")).join(roots, "h1")
+    classes = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most")).where("component_id != most")
+    alike = classes.join(roots, "root").select("h1", F.lit(None).cast("int").alias("c2"), "component_id")
+    same = equal.join(alike.select("h1"), "h1", "left_anti").select("h1", F.col("h2").alias("c2"), "component_id")
+    repeated = materialize(alike.union(same), "classes")
+    hit = _maybe_in(spans, "h1", repeated.select("h1")).join(repeated, "h1").where("c2 is null or c2 = h2")
     # Overlapping and touching paragraphs of one component become one span.
     order = Window.partitionBy("doc_id", "component_id").orderBy("start_char", "end_char")
     reach = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
