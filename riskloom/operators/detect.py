@@ -20,54 +20,54 @@ def folded(content: Column) -> Column:
     return F.translate(F.lower(content), "\u017f", "s")
 
 
-def matches(content: Column, rule: Rule, low: Column | None = None) -> Column:
-    hit = content.rlike(to_java(rule.pattern))
-    if low is None or not rule.needs:
-        return hit
-    needed = F.contains(low, F.lit(rule.needs[0]))
-    for literal in rule.needs[1:]:
-        needed = needed | F.contains(low, F.lit(literal))
-    return F.when(needed, hit).otherwise(F.lit(False))
+def matches(content: Column, rule: Rule) -> Column:
+    """Whether a rule fires, without the literal test."""
+    return content.rlike(to_java(rule.pattern))
 
 
-def first_span(content: Column, rule: Rule) -> Column:
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _fires(rule: Rule) -> str:
+    hit = f"_text RLIKE {_text(to_java(rule.pattern))}"
+    needed = " OR ".join(f"contains(_folded, {_text(n)})" for n in rule.needs)
+    return f"({needed}) AND {hit}" if needed else hit
+
+
+def _first_span(rule: Rule) -> str:
     """Byte offsets of the first match: the length of what is lazily before it, and its own."""
     pattern = to_java(rule.pattern)
     flags, body = pattern.split(")", 1)
-    start = F.octet_length(F.regexp_extract(content, f"{flags})(?s:^(.*?))(?:{body})", 1))
-    return F.struct(start.alias("start"), (start + F.octet_length(F.regexp_substr(content, F.lit(pattern)))).alias("end"))
-
-
-def finding(rule: Rule, content: Column) -> Column:
-    location = first_span(content, rule) if rule.has_span else F.lit(None).cast(LOCATION)
-    return F.struct(
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.type).alias("type"),
-        F.lit(rule.detail).alias("detail"),
-        F.lit(rule.confidence).alias("confidence"),
-        F.lit(rule.severity).alias("severity"),
-        location.alias("location"),
-    ).cast(FINDING)
+    start = f"octet_length(regexp_extract(_text, {_text(f'{flags})(?s:^(.*?))(?:{body})')}, 1))"
+    return f"named_struct('start', {start}, 'end', {start} + octet_length(regexp_substr(_text, {_text(pattern)})))"
 
 
-def findings_of(content: Column, low: Column | None, rules: list[Rule]) -> Column:
-    each = [F.when(matches(content, r, low), finding(r, content)) for r in rules]
-    return F.filter(F.array(*each), lambda f: f.isNotNull()) if each else F.array().cast(f"array<{FINDING}>")
+def _finding(rule: Rule) -> str:
+    location = _first_span(rule) if rule.has_span else f"CAST(NULL AS {LOCATION})"
+    fields = [("category", rule.category), ("type", rule.type), ("detail", rule.detail)]
+    named = ", ".join(f"'{k}', {_text(v)}" for k, v in fields)
+    return f"named_struct({named}, 'confidence', {rule.confidence}D, 'severity', {_text(rule.severity)}, 'location', {location})"
+
+
+def _each(df: DataFrame, content: str, cases: list[str], kind: str, name: str) -> DataFrame:
+    """Adds array ``name`` of the cases that hold. One SQL text: a pack is a single expression to build and parse."""
+    text = F.coalesce(F.col(content), F.lit(""))
+    made = f"filter(array({', '.join(cases)}), f -> f IS NOT NULL)" if cases else f"CAST(array() AS array<{kind}>)"
+    ready = df.withColumns({"_text": text, "_folded": folded(text)})
+    return ready.withColumn(name, F.expr(made)).drop("_text", "_folded")
 
 
 def detect(df: DataFrame, rules: list[Rule] | None = None, content: str = "content") -> DataFrame:
     """Adds ``findings``. Null content is empty content."""
-    text = F.coalesce(F.col(content), F.lit(""))
-    out = df.withColumn("_folded", folded(text))
-    return out.withColumn("findings", findings_of(text, F.col("_folded"), VISIBLE_RULES if rules is None else rules)).drop("_folded")
+    cases = [f"CASE WHEN {_fires(r)} THEN {_finding(r)} END" for r in (VISIBLE_RULES if rules is None else rules)]
+    return _each(df, content, cases, FINDING, "findings")
 
 
 def rule_hits(df: DataFrame, rules: list[Rule], key: str, content: str = "content") -> DataFrame:
     """``key, rule_id`` for every rule that fires."""
-    text = F.coalesce(F.col(content), F.lit(""))
-    out = df.withColumn("_folded", folded(text))
-    hits = F.array(*[F.when(matches(text, r, F.col("_folded")), F.lit(r.id)) for r in rules])
-    return out.select(key, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("rule_id"))
+    cases = [f"CASE WHEN {_fires(r)} THEN {_text(r.id)} END" for r in rules]
+    return _each(df, content, cases, "string", "_hits").select(key, F.explode("_hits").alias("rule_id"))
 
 
 def or_ok(findings: Column) -> Column:

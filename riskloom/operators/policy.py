@@ -75,26 +75,41 @@ def privileged(tools: Column) -> Column:
     return F.coalesce(F.exists(lowered, lambda t: t.isin(*PRIVILEGED)), F.lit(False))
 
 
-def _signals(
-    findings: Column, tools: Column, repeat_injection: Column, repeat_exfil: Column, blocked: Column
-) -> list[tuple[Column, Column | str, Column | int]]:
-    """(condition, factor, bonus) in order."""
-    n = F.size(F.array_distinct(F.transform(findings, lambda f: f["category"])))
-    injection, exfil, risky = (has(findings, c) for c in (INJECTION, EXFIL, RISKY))
+#: Facts about a request's findings, each computed once.
+FACTS = {"_sec": SECRETS, "_mal": MALWARE, "_inj": INJECTION, "_pii": PII, "_exf": EXFIL, "_ops": RISKY}
+
+
+def with_facts(df: DataFrame) -> DataFrame:
+    """Adds the facts that scores and decisions are made of: categories, worst severity, base score, armed tools."""
+    findings = F.col("findings")
+    flags = df.withColumns({name: has(findings, category) for name, category in FACTS.items()})
+    return flags.withColumns(
+        {
+            "_worst": max_severity(findings),
+            "_base": base_score(findings),
+            "_kinds": F.size(F.array_distinct(F.transform(findings, lambda f: f["category"]))),
+            "_armed": privileged(F.col("tool_capabilities")) & (F.col("_inj") | F.col("_exf") | F.col("_ops")),
+        }
+    )
+
+
+def _signals(repeat_injection: Column, repeat_exfil: Column, blocked: Column) -> list[tuple[Column, Column | str, Column | int]]:
+    """(condition, factor, bonus) in order, over the facts."""
+    n, injection, exfil = F.col("_kinds"), F.col("_inj"), F.col("_exf")
     return [
         (n >= 2, F.format_string(CROSS_SIGNAL, n), (n - 1) * PER_CATEGORY),
         (injection & exfil, *INJECTION_EXFIL),
-        (has(findings, SECRETS) & exfil, *SECRET_EXFIL),
-        (has(findings, MALWARE) & risky, *MALWARE_RISKY),
-        (privileged(tools) & (injection | exfil | risky), *PRIVILEGED_ATTACK),
+        (F.col("_sec") & exfil, *SECRET_EXFIL),
+        (F.col("_mal") & F.col("_ops"), *MALWARE_RISKY),
+        (F.col("_armed"), *PRIVILEGED_ATTACK),
         (repeat_injection & injection, *REPEAT_INJECTION),
         (repeat_exfil & exfil, *REPEAT_EXFIL),
-        (blocked & (F.size(findings) > 0), *RECENT_BLOCK),
+        (blocked & (n > 0), *RECENT_BLOCK),
     ]
 
 
-def adaptive_score(findings: Column, signals) -> Column:
-    score = base_score(findings)
+def adaptive_score(signals) -> Column:
+    score = F.col("_base")
     for condition, _, bonus in signals:
         score = score + F.when(condition, bonus).otherwise(0)
     return F.least(score, F.lit(MAX_SCORE))
@@ -116,14 +131,10 @@ def _cases(cases: list[tuple[Column | None, str, str]]) -> Column:
     return chain
 
 
-def decide(profile: Column, findings: Column, tools: Column, escalation: Column, score: Column) -> Column:
-    """Struct (level, reason) under strict, permissive or, for any other name, moderate rules."""
-    secrets, malware, injection, pii, exfil, risky = (
-        has(findings, c) for c in (SECRETS, MALWARE, INJECTION, PII, EXFIL, RISKY)
-    )
-    worst = max_severity(findings)
+def decide(profile: Column, escalation: Column, score: Column) -> Column:
+    """Struct (level, reason) under strict, permissive or, for any other name, moderate rules, over the facts."""
+    secrets, malware, injection, pii, exfil, risky, worst, armed = (F.col(c) for c in (*FACTS, "_worst", "_armed"))
     grave = secrets | malware | (worst == "critical")
-    armed = privileged(tools) & (injection | exfil | risky)
     s, m, p = STRICT_REASONS, MODERATE_REASONS, PERMISSIVE_REASONS
     strict = _cases(
         [
@@ -155,7 +166,7 @@ def decide(profile: Column, findings: Column, tools: Column, escalation: Column,
     )
     safe = F.struct(F.lit(SAFE).alias("level"), F.lit(NO_ISSUES).alias("reason"))
     chosen = F.when(profile == "strict", strict).when(profile == "permissive", permissive).otherwise(moderate)
-    return F.when(F.size(findings) == 0, safe).otherwise(chosen)
+    return F.when(F.col("_kinds") == 0, safe).otherwise(chosen)
 
 
 def evaluate(
@@ -170,13 +181,13 @@ def evaluate(
     """
     no = F.lit(False)
     injection_again, exfil_again, seen_block = (no if c is None else c for c in (repeat_injection, repeat_exfil, blocked))
-    findings, tools = F.col("findings"), F.col("tool_capabilities")
-    signals = _signals(findings, tools, injection_again, exfil_again, seen_block)
-    scored = df.withColumns({"risk_score": adaptive_score(findings, signals), "decision_factors": factors(signals)})
+    signals = _signals(injection_again, exfil_again, seen_block)
+    scored = with_facts(df).withColumns({"risk_score": adaptive_score(signals), "decision_factors": factors(signals)})
     escalation = seen_block & (injection_again | exfil_again)
-    decided = scored.withColumn("_case", decide(F.col("policy_profile"), findings, tools, escalation, F.col("risk_score")))
+    decided = scored.withColumn("_case", decide(F.col("policy_profile"), escalation, F.col("risk_score")))
     why = F.when(
         F.size("decision_factors") > 0,
         F.concat(F.col("_case.reason"), F.lit(" ["), F.array_join("decision_factors", "; "), F.lit("]")),
     ).otherwise(F.col("_case.reason"))
-    return decided.withColumns({"risk_level": F.col("_case.level"), "reasoning": why}).drop("_case")
+    out = decided.withColumns({"risk_level": F.col("_case.level"), "reasoning": why})
+    return out.drop("_case", "_worst", "_base", "_kinds", "_armed", *FACTS)
