@@ -14,36 +14,42 @@ from riskloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, t
 from riskloom.llm.common import materialize, table
 from riskloom.llm.queries import MODEL
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the whole row as one struct: no column of the input can clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(_packed(docs), model, ["_row"]).where("score < 0.5").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays: that of the least id. Of repeated ids, one row stays."""
     classes = simhash.simhash_classes(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
     kept = materialize(classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "n"), "kept")
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    once = joined.where("n = 1").select(*docs.columns)
-    return once.union(joined.where("n > 1").dropDuplicates(["doc_id"]).select(*docs.columns))
+    joined = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    once = joined.where("n = 1").select("_row.*")
+    return once.union(joined.where("n > 1").dropDuplicates(["doc_id"]).select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return found.where(F.size("hit_words") == 0).select(*docs.columns)
+    found = decontaminate.contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
+    return found.where(F.size("hit_words") == 0).select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay; the secrets in their texts are replaced, and ``n_chars`` follows."""
-    clean = secrets.redact_secrets(docs)
+    clean = secrets.redact_secrets(_packed(docs))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
