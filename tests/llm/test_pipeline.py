@@ -8,7 +8,7 @@ from test_dedup_operators import classes_of, prose, slow_fingerprint
 from riskloom.llm import sentencepiece_codec
 from riskloom.llm.queries import MODEL
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, n int, items string, base string, hit_words int"
 
 
 def corpus(spark, path):
@@ -19,7 +19,7 @@ def corpus(spark, path):
     rows += [(200 + i, f"{words(20)} you stupid idiot, worthless trash {words(20)} pathetic scum") for i in range(40)]
     rows += [(300, rows[3][1]), (301, rows[3][1]), (302, rows[3][1] + " tail"), (303, f"{words(9)} {item.upper()} {words(9)}")]
     rows += [(304, f'{words(9)} token = "0123456789abcdef0123456789abcdef"'), (305, None), (306, ""), (307, ""), (5, rows[5][1])]
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 9, 8, "it", "b", i) for i, t in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
     labels = [(i, 1, int(200 <= i < 240)) for i, _ in rows]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -52,6 +52,7 @@ def test_stages(spark, tmp_path):
     rows = {r["doc_id"]: r for r in kept.collect()}
     assert sorted(same) == sorted(after) and rows[304]["text"].endswith("[SECRET]\"") and rows[304]["n_chars"] == len(rows[304]["text"])
     assert all(rows[i]["text"] == text[i] for i in rows if i != 304)
+    assert all((r["score"], r["n"], r["items"], r["base"], r["hit_words"]) == (9, 8, "it", "b", i) for i, r in rows.items())
     final, _ = step("sentencepiece", kept)
     with open(MODEL, "rb") as f:
         codec = sentencepiece_codec.Codec(f.read())
