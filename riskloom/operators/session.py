@@ -35,6 +35,8 @@ def _count(categories: Column, category: str) -> Column:
 def with_memory(df: DataFrame) -> DataFrame:
     """Adds ``session_key, recent_scans, recent_categories`` and the two repetition flags, all from earlier rows."""
     keyed = df.withColumn("session_key", session_key(F.col("tenant_id"), F.col("session_id")))
+    # Dealt by session once: that serves the windows by (session, has findings) too, which would deal anew.
+    keyed = keyed.repartition("session_key")
     categories = F.transform("findings", lambda f: f["category"])
     keyed = keyed.withColumns({"_has": F.size("findings") > 0, "_categories": categories})
     # Rows with findings hold a category each, so the last six rows of them hold the last six categories.
