@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import materialize, text_slices
 
 CHUNK, GIANT = 32_768, 65_536
-CACHED = 300_000
+CACHED = 100_000
 BAR = "\u2581"
 UNIT = re.compile(f"{BAR}| *[^ {BAR}]+| +")
 SYNC = re.compile(f"(?<=[^ ]) |(?<={BAR}).|{BAR}", re.S)
@@ -335,8 +335,12 @@ def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
     return traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GIANT, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``ids`` (array of int) to the columns in ``keep`` (``doc_id, text``) of every document row."""
+def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GIANT, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+    """Adds ``ids`` (array of int) to the columns in ``keep`` (``doc_id, text``) of every document row.
+
+    With ``check``, also ``round_trip``: whether decoding gives the text back. Short documents are decoded
+    by the worker that encoded them, so ids don't travel to another one.
+    """
     keep = keep or ["doc_id", "text"]
     model = _model(docs, model_path)
     own = [docs.schema[c] for c in keep]
@@ -347,15 +351,25 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GI
         codec = Codec.of(model)
         for batch in batches:
             for part in text_slices(batch, "_text"):
-                ids = [None if t is None else codec.encode(t) for t in part.column("_text").to_pylist()]
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
+                texts = part.column("_text").to_pylist()
+                ids = [None if t is None else codec.encode(t) for t in texts]
+                columns, names = [*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"]
+                if check:
+                    same = [t is None or codec.decode(i.tolist()) == t for t, i in zip(texts, ids, strict=True)]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, "round_trip"]
+                yield pa.record_batch(columns, names)
 
     schema = T.StructType([*own, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = schema.add("round_trip", "boolean") if check else schema
     short = docs.where(~is_giant).select(*keep, text.alias("_text")).mapInArrow(run, schema)
     giants = docs.where(is_giant).select(*keep, text.alias("_text"), F.sha2(text, 256).alias("_key"))
     texts = giants.groupBy("_key").agg(F.first("_text").alias("text")).withColumnRenamed("_key", "key")
     traced = _giant_ids(texts, model, chunk)
-    return short.union(giants.join(traced, F.col("_key") == F.col("key")).select(*keep, "ids"))
+    long = giants.join(traced, F.col("_key") == F.col("key"))
+    if check:
+        back = decode(long.select(*keep, "_text", "ids"), model_path)
+        return short.union(back.select(*keep, "ids", (F.col("decoded") == F.col("_text")).alias("round_trip")))
+    return short.union(long.select(*keep, "ids"))
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
