@@ -54,9 +54,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with a flag that decoding them gives the text back."""
-    back = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, MODEL), MODEL)
-    same = F.coalesce(F.col("decoded") == F.col("text"), F.col("text").isNull() & F.col("decoded").isNull())
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+    encoded = sentencepiece_codec.encode(docs, MODEL, keep=["doc_id"], check=True)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Stage]] = [
