@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, toxicity
@@ -28,13 +28,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(_packed(docs), model, ["_row"]).where("score < 0.5").select("_row.*")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """What tells rows apart, in the order of preference: rows with an id first, the least id, then hashes of text and the rest."""
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")))
+    return F.struct(F.isnull("doc_id").alias("void"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.xxhash64(rest).alias("rest"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class stays: that of the least id. Of repeated ids, one row stays."""
-    classes = simhash.simhash_classes(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    kept = materialize(classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"), "n"), "kept")
-    joined = _packed(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    """One row of each SimHash class stays, that of the least row key; rows of one id in different classes all stay."""
+    keyed = docs.select(_row_key(docs).alias("doc_id"), "text")
+    classes = simhash.simhash_classes(keyed).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(classes.select(F.col("doc_id").alias("kept_key"), "n"), "kept")
+    packed = docs.select(_row_key(docs).alias("_key"), F.struct(*docs.columns).alias("_row"))
+    joined = packed.join(kept, F.col("_key").eqNullSafe(F.col("kept_key")))
     once = joined.where("n = 1").select("_row.*")
-    return once.union(joined.where("n > 1").dropDuplicates(["doc_id"]).select("_row.*"))
+    return once.union(joined.where("n > 1").dropDuplicates(["_key"]).select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,18 @@ def test_run_and_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/a/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_rows_of_one_id_are_decided_one_by_one(spark):
+    rng = random.Random(13)
+    own = [prose(rng, 80) for _ in range(12)]
+    rows = [(None, t, 1) for t in own[:4]] + [(7, t, 1) for t in own[4:8]] + [(1, own[8], 1), (9, own[8], 1), (9, own[9], 1)]
+    rows += [(None, own[8], 1), (None, own[0], 2), (None, own[0], 1), (7, own[4], 1), (None, None, 1)]
+    df = spark.createDataFrame([(i, t, n) for i, t, n in rows], "doc_id long, text string, n int")
+    want = {(None, t, 1) for t in own[:4]} | {(7, t, 1) for t in own[4:8]} | {(1, own[8], 1), (9, own[9], 1), (None, None, 1)}
+    kept = []
+    for parts in (1, 5):
+        got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, df.repartition(parts), "").collect()]
+        assert len(got) == len(want) and {r[:2] for r in got} == {r[:2] for r in want}
+        kept.append(sorted(got, key=str))
+    assert kept[0] == kept[1]
