@@ -120,9 +120,15 @@ class Search:
         self.seen += rough.size
         least = self.score[who, -1]
         rough[self.own[who][:, None] == self.ids[rows][None, :]] = -np.inf
+        by_id = np.argsort(self.ids[rows], kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(self.ids[rows][by_id]) != 0])
         if len(rows) > self.k and (empty := np.isneginf(least)).any():
             least = least.copy()
-            least[empty] = np.partition(rough[empty], len(rows) - self.k, axis=1)[:, len(rows) - self.k]
+            per_id = rough[empty]
+            if len(heads) < len(rows):  # an id with several vectors counts once, with its best
+                per_id = np.maximum.reduceat(per_id[:, by_id], heads, axis=1)
+            cut = per_id.shape[1] - self.k
+            least[empty] = np.partition(per_id, cut, axis=1)[:, cut] if cut > 0 else -np.inf
         slack = EPS * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
         qi, vi = np.nonzero((rough >= (least - slack)[:, None]) & ~np.isneginf(rough))
         if not len(qi):
@@ -307,7 +313,8 @@ def nearest(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     home = materialize(searched(queries.select("id", "v", F.lit(float("inf")).alias("reach"), block), False), "home")
     # Once home is searched, the k-th find bounds the reach; fewer than k finds bound nothing.
-    kth = home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    per_id = home.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id is a find once, in however many parts
+    kth = per_id.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     reach = F.when(
         F.col("kth").isNotNull(), F.sqrt(F.greatest(F.aggregate("v", F.lit(radius**2), lambda a, c: a + c * c) - 2 * F.col("kth"), F.lit(0.0)))
     ).otherwise(float("inf"))

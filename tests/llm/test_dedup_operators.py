@@ -234,6 +234,17 @@ def test_exact_search_equals_brute_force(spark, shard_rows, block):
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
 
 
+@pytest.mark.parametrize("shard_rows", [8192, 40])
+def test_an_id_with_many_vectors_is_one_neighbour(spark, shard_rows):
+    rng = random.Random(15)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)]
+    rows += [(777, [8 * c + rng.gauss(0, 0.1) for c in rows[20][1]]) for _ in range(60)] + [(778, [rng.gauss(0, 4) for _ in range(6)]) for _ in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in vptree.nearest(df, k=7, factor=1.0, sample=100, shard_rows=shard_rows, query_block=3).collect())
+    want = slow_nearest(rows, 7)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+
+
 def test_few_vectors_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in vptree.nearest(df).collect()] == [(0, 1, 1)]
