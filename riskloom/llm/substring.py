@@ -7,7 +7,9 @@ paragraph are compared:
   at Jaccard 0.8 (10 bands of 4: 99.5 %), colliding lines verified by exact Jaccard;
 * *passages*, for text repeated inside longer lines or across them: windows of ``window`` (16) words whose
   hash is least among ``near`` (36) neighbours. Any run of ``window + near - 1`` (51) words that two
-  documents share has such a window in common. They are compared whole: one band of all rows.
+  documents share has such a window in common. They are compared whole: one band of all rows. A window that
+  repeats is only a seed: the run round it is followed word by word to both ends of what another document
+  shares, by looking up hashes of the longer runs, so a repeated run is one span whatever was sampled in it.
 
 Equal paragraphs collapse first, with a combine before the shuffle, so copies never meet. What turned out
 to repeat is then looked up in the rest; a bit map of fixed size (8 MB), broadcast, first drops nearly all
@@ -126,6 +128,65 @@ def passages(w: Words, k: int, near: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return at, one[at], mix(two[at])
 
 
+class Phrases:
+    """Hashes of any run of words, from prefix sums: equal runs have equal hashes wherever they lie."""
+
+    def __init__(self, w: Words):
+        self.sums, self.inverse = [], []
+        for base in (int(ODD[230]) | 5, int(ODD[231]) | 5):
+            power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), base, U)]))
+            self.inverse.append(np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), pow(base, -1, 1 << 64), U)])))
+            self.sums.append(np.concatenate([[U(0)], np.cumsum(w.hash * power[:-1], dtype=U)]))
+
+    def hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        sums = self.sums[which]
+        return mix((sums[b] - sums[a]) * self.inverse[which][a] + (b - a).astype(U) * ODD[232 + which])
+
+
+class Stretches:
+    """The chosen passages that may repeat, each with the words to its next and to its last chosen neighbour.
+
+    Two texts that share a run choose the same passages in it but for the last ``near`` words at either end.
+    So where all holders of a passage go on alike up to the neighbour, the run goes on there; where they don't,
+    it ends within ``near`` words or at the neighbour, and every length is tried.
+    """
+
+    def __init__(self, w: Words, window: int, near: int, repeated: np.ndarray):
+        at, one, _ = passages(w, window, near)
+        text = w.text[at]
+        self.begin, self.stop = np.searchsorted(w.text, text, "left"), np.searchsorted(w.text, text, "right")
+        follows = np.concatenate([text[1:] == text[:-1], [False]]) if len(at) else np.zeros(0, bool)
+        self.last = ~follows
+        self.first = np.concatenate([[True], ~follows[:-1]]) if len(at) else np.zeros(0, bool)
+        self.to = np.where(follows, np.concatenate([at[1:], [0]])[: len(at)] + window, self.stop)
+        self.back = np.where(self.first, self.begin, np.concatenate([[0], at[:-1]])[: len(at)])
+        self.at, self.window, self.near = at, window, near
+        self.sides = one ^ ODD[240], one ^ ODD[241]
+        may = in_map(repeated, one)
+        for name in ("begin", "stop", "last", "first", "to", "back", "at"):
+            setattr(self, name, getattr(self, name)[may])
+        self.sides = self.sides[0][may], self.sides[1][may]
+
+    def links(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Side by side (right, then left): which passage and side, and a hash of the words to the neighbour."""
+        right = p.hash(self.at, self.to) ^ (self.last.astype(U) * ODD[242])
+        left = p.hash(self.back, self.at + self.window) ^ (self.first.astype(U) * ODD[242])
+        return np.concatenate(self.sides), np.concatenate([right, left])
+
+    def runs(self, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word runs to look up: the stretch where holders go on alike, every length where they part."""
+        end = self.at + self.window
+        right, left = (in_map(parting, side) for side in self.sides)
+        alike = ~right & np.where(self.last, self.to > end, self.to - end >= self.window)
+        opens = ~left & self.first & (self.back < self.at)
+        a, b = [self.at[alike], self.back[opens]], [self.to[alike], end[opens]]
+        for e in range(1, self.near + 1):
+            r, l = right & (end + e <= self.stop), left & (self.at - e >= self.begin)
+            a += [self.at[r], self.at[l] - e]
+            b += [end[r] + e, end[l]]
+        return np.concatenate(a), np.concatenate(b)
+
+
 def lines(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and word after the last of the lines with at least ``least`` words."""
     if not len(w.hash):
@@ -157,6 +218,48 @@ def _line_rows(w: Words, least: int):
     return a, b, one, two, sets, mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+
+def _longer_runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFrame:
+    """Runs round the passages among ``seeds`` (``h1``) that may repeat: ``doc_id, start_char, end_char, h1, h2``."""
+    repeated = _bit_map(seeds)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = repeated.value
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 20):
+                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
+                side, link = Stretches(w, window, near, bits).links(Phrases(w))
+                yield pa.record_batch([pa.array(side.view(np.int64)), pa.array(link.view(np.int64))], ["side", "link"])
+
+    ways = _texts(docs).mapInArrow(links, "side long, link long").groupBy("side").agg(F.min("link").alias("lo"), F.max("link").alias("hi"))
+    parting = _bit_map(ways.where("lo != hi").select("side"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, part_bits = repeated.value, parting.value
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 20):
+                ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
+                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
+                p = Phrases(w)
+                a, b = Stretches(w, window, near, bits).runs(part_bits)
+                text = w.text[a]
+                yield pa.record_batch(
+                    [
+                        pa.array(ids[text]),
+                        pa.array(w.char(w.start[a], text).astype(np.int32)),
+                        pa.array(w.char(w.end[b - 1], text).astype(np.int32)),
+                        pa.array(p.hash(a, b).view(np.int64)),
+                        pa.array((p.hash(a, b, 1) >> U(32)).astype(np.uint32).view(np.int32)),
+                    ],
+                    ["doc_id", "start_char", "end_char", "h1", "h2"],
+                )
+
+    return _texts(docs).mapInArrow(runs, "doc_id long, start_char int, end_char int, h1 long, h2 int")
+
+
 def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFrame:
     """``doc_id, line, start_char, end_char, h1, h2, bands, shingles``; the last two are null for passages."""
 
@@ -184,8 +287,7 @@ def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFram
                     ["doc_id", "line", "start_char", "end_char", "h1", "h2", "bands", "shingles"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    return rows.mapInArrow(
+    return _texts(docs).mapInArrow(
         run, "doc_id long, line boolean, start_char int, end_char int, h1 long, h2 int, bands array<long>, shingles array<int>"
     )
 
@@ -230,6 +332,12 @@ def _bit_map(values: DataFrame):
     return values.sparkSession.sparkContext.broadcast(bits.view(U))
 
 
+def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``values`` may be in the bit map."""
+    t = values >> U(64 - MAP_BITS)
+    return (bits[(t >> U(6)).astype(np.int64)] >> (t & U(63))) & U(1) != 0
+
+
 def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows whose ``column`` may be among ``values``; none that is gets lost."""
     sent = _bit_map(values)
@@ -237,8 +345,7 @@ def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            t = batch.column(column).to_numpy(zero_copy_only=False).view(U) >> U(64 - MAP_BITS)
-            yield batch.filter(pa.array((bits[(t >> U(6)).astype(np.int64)] >> (t & U(63))) & U(1) != 0))
+            yield batch.filter(pa.array(in_map(bits, batch.column(column).to_numpy(zero_copy_only=False).view(U))))
 
     return df.mapInArrow(run, df.schema)
 
@@ -303,6 +410,13 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int
     same = equal.join(alike.select("h1"), "h1", "left_anti").select("h1", F.col("h2").alias("c2"), "component_id")
     repeated = materialize(alike.union(same), "classes")
     hit = _maybe_in(spans, "h1", repeated.select("h1")).join(repeated, "h1").where("c2 is null or c2 = h2")
+    # Passages are seeds: the runs round them, looked up likewise, reach to the ends of what is repeated. What a
+    # longer run adds stays in the least document that holds the longer run.
+    longer = materialize(_longer_runs(docs, equal.select("h1"), window, near), "runs")
+    kept = longer.groupBy("h1", "h2").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"))
+    kept = materialize(kept.where("component_id != most").drop("most"), "kept-runs")
+    part = ["doc_id", "component_id", "start_char", "end_char"]
+    hit = hit.select(part).union(_maybe_in(longer, "h1", kept.select("h1")).join(kept, ["h1", "h2"]).select(part))
     # Overlapping and touching paragraphs of one component become one span.
     order = Window.partitionBy("doc_id", "component_id").orderBy("start_char", "end_char")
     reach = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))

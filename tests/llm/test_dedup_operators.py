@@ -136,6 +136,38 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert substring.repeats(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_are_covered_to_both_ends(spark):
+    rng = random.Random(16)
+    shared = [prose(rng, n) for n in (51, 60, 84, 100, 400)]  # too small a part of their lines for these to be near copies
+    rows, where = [], {}
+    for i in range(60):
+        head, tail = prose(rng, 100 + rng.randrange(200)), prose(rng, 100 + rng.randrange(200))
+        body = shared[i % 5]
+        rows.append((i, f"{head} {body}; {tail}".strip()))
+        at = rows[-1][1].index(body)
+        where[i] = (i % 5, at, at + len(body))
+    words = shared[3].split()  # document 70 has a part only
+    rows += [(70, prose(rng, 50) + " " + " ".join(words[:70]) + " " + prose(rng, 50))]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {(r["doc_id"], r["component_id"], r["start_char"], r["end_char"]) for r in substring.repeats(df).collect()}
+    assert {(i, k, a, b) for i, (k, a, b) in where.items()} <= got
+    text = dict(rows)
+    assert {text[70][a:b] for i, k, a, b in got if i == 70 and k == 3} == {" ".join(words[:70])}
+
+
+def test_what_a_longer_run_adds_stays_in_its_first_holder(spark):
+    rng = random.Random(17)
+    body = prose(rng, 110).split()
+    rows = [(1, " ".join(body[:70])), (2, " ".join(body)), (3, " ".join(body))]
+    rows = [(i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in rows]
+    text = dict(rows)
+    got = {(r["doc_id"], r["component_id"], text[r["doc_id"]][r["start_char"] : r["end_char"]]) for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    for i in (1, 2, 3):
+        assert [t for d, k, t in got if d == i and k == 1] == [" ".join(body[:70])]
+    for i in (2, 3):
+        assert any(k == 2 and t.endswith(body[-1]) for d, k, t in got if d == i)
+
+
 def test_near_equal_lines_are_clustered_whatever_the_tile(spark):
     rng = random.Random(2)
     base = [prose(rng, 80).split() for _ in range(3)]
