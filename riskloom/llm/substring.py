@@ -3,8 +3,9 @@
 Words are runs of ASCII letters and digits (lower-cased) and non-ASCII characters. Two kinds of
 paragraph are compared:
 
-* *lines* of at least ``least`` words: MinHash over their five-word shingles, in bands tuned for recall
-  at Jaccard 0.8 (10 bands of 4: 99.5 %), colliding lines verified by exact Jaccard;
+* *lines*, and *blocks* of several lines between blank lines, of at least ``least`` (5) words: MinHash over their five-word shingles, in bands tuned for recall
+  at Jaccard 0.8 (10 bands of 4: 99.5 %), colliding ones verified by exact Jaccard. Shorter lines
+  repeat where they are equal;
 * *passages*, for text repeated inside longer lines or across them: windows of ``window`` (16) words whose
   hash is least among ``near`` (36) neighbours. Any run of ``window + near - 1`` (51) words that two
   documents share has such a window in common. They are compared whole: one band of all rows. A window that
@@ -23,7 +24,7 @@ document with the least id and is a removal in the others.
 Result: a row per document, component and maximal span, ``doc_id, component_id`` (the document that
 keeps the text), ``start_char, end_char`` (code points), ``removed``. Documents without a repeat have none.
 
-Defined cases: null and empty texts have no paragraphs; texts of less than ``window`` words have none;
+Defined cases: null and empty texts, and lines without a word, have no paragraphs;
 repeated rows of one ``doc_id`` are one document; null ids take no part; texts are read whole, in slices of
 bounded memory; other columns are ignored.
 """
@@ -39,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, text_slices
+from .common import discard, materialize, text_slices
 from .components import components
 
-SHINGLE, LEAST, WINDOW, NEAR, JACCARD, BANDS, ROWS, TILE = 5, 24, 16, 36, 0.8, 10, 4, 1024
+SHINGLE, LEAST, WINDOW, NEAR, JACCARD, BANDS, ROWS, TILE = 5, 5, 16, 36, 0.8, 10, 4, 1024
 MAP_BITS = 26
 U = np.uint64
 #: Bytes to word characters: A-Z become a-z, 0 is no word character.
@@ -70,7 +71,7 @@ class Words:
         self.begin = np.concatenate([[0], np.cumsum(lengths)])
         if not len(at):
             self.hash = np.zeros(0, U)
-            self.start = self.end = self.text = self.line = np.zeros(0, np.int64)
+            self.start = self.end = self.text = self.line = self.block = np.zeros(0, np.int64)
             self.chars = np.zeros(len(raw) + 1, np.int64)
             return
         fresh = np.concatenate([[True], np.diff(at) > 1])
@@ -81,6 +82,12 @@ class Words:
         powers = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, U))
         self.hash = mix(np.add.reduceat((low[at].astype(U) + U(1)) * powers[place], first))
         self.line = np.cumsum(raw == 10, dtype=np.int64)[self.start]
+        # A line end whose line holds nothing but blanks ends a block, as the end of a text does.
+        ends = np.flatnonzero(raw == 10)
+        solid = np.cumsum(~np.isin(raw, (9, 10, 11, 12, 13, 32)), dtype=np.int64)[ends]
+        void = np.diff(solid, prepend=0) == 0
+        void[np.searchsorted(ends, self.begin[1:] - 1)] = True
+        self.block = np.concatenate([[0], np.cumsum(void)])[self.line]
         self.text = np.searchsorted(self.begin, self.start, "right") - 1
         self.chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
 
@@ -187,16 +194,36 @@ class Stretches:
         return np.concatenate(a), np.concatenate(b)
 
 
-def lines(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and word after the last of the lines with at least ``least`` words."""
-    if not len(w.hash):
+def _units(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word after the last of the runs of words of one number."""
+    if not len(number):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(np.diff(w.line)) + 1
-    a, b = np.concatenate([[0], cut]), np.concatenate([cut, [len(w.hash)]])
+    cut = np.flatnonzero(np.diff(number)) + 1
+    return np.concatenate([[0], cut]), np.concatenate([cut, [len(number)]])
+
+
+def lines(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lines with at least ``least`` words, then the blocks of several such or shorter lines between blank lines."""
+    a, b = _units(w.line)
+    c, d = _units(w.block)
+    several = w.line[c] != w.line[d - 1]
+    a, b = np.concatenate([a, c[several]]), np.concatenate([b, d[several]])
     long = b - a >= max(least, SHINGLE)
     return a[long], b[long]
 
 
+def short_lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of too few words for a shingle, with two hashes: they are compared whole."""
+    a, b = _units(w.line)
+    a, b = a[b - a < SHINGLE], b[b - a < SHINGLE]
+    one, two = np.zeros(len(a), U), np.zeros(len(a), U)
+    for j in range(SHINGLE - 1):
+        has = a + j < b
+        one[has] += w.hash[a[has] + j] * ODD[244 + j]
+        two[has] += w.hash[a[has] + j] * ODD[248 + j]
+    return a, b, mix(one + ODD[252]), mix(two)
+
+
 def _line_rows(w: Words, least: int):
     """Hashes, shingle sets (32 bits, sorted) and band keys of lines."""
     a, b = lines(w, least)
@@ -261,7 +288,7 @@ def _longer_runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> D
 
 
 def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFrame:
-    """``doc_id, line, start_char, end_char, h1, h2, bands, shingles``; the last two are null for passages."""
+    """``doc_id, line, start_char, end_char, h1, h2, bands, shingles``; the last two are null for passages and short lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,17 +297,18 @@ def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFram
                 w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
                 at, p1, p2 = passages(w, window, near)
                 a, b, l1, l2, sets, keys = _line_rows(w, least)
-                first, last = np.concatenate([at, a]), np.concatenate([at + window, b]) - 1
+                c, d, s1, s2 = short_lines(w)
+                first, last = np.concatenate([at, c, a]), np.concatenate([at + window, d, b]) - 1
                 text = w.text[first]
-                none = [None] * len(at)
+                none = [None] * (len(at) + len(c))
                 yield pa.record_batch(
                     [
                         pa.array(ids[text]),
-                        pa.array(np.arange(len(first)) >= len(at)),
+                        pa.array(np.arange(len(first)) >= len(none)),
                         pa.array(w.char(w.start[first], text).astype(np.int32)),
                         pa.array(w.char(w.end[last], text).astype(np.int32)),
-                        pa.array(np.concatenate([p1, l1]).view(np.int64)),
-                        pa.array((np.concatenate([p2, l2]) >> U(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(np.concatenate([p1, s1, l1]).view(np.int64)),
+                        pa.array((np.concatenate([p2, s2, l2]) >> U(32)).astype(np.uint32).view(np.int32)),
                         pa.array([*none, *keys.view(np.int64)], pa.list_(pa.int64())),
                         pa.array([*none, *(s.view(np.int32) for s in sets)], pa.list_(pa.int32())),
                     ],
@@ -392,7 +420,9 @@ def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE) ->
         if rest is not None:
             yield pd.DataFrame(solve(rest) if len(rest) > 1 else [], columns=["a", "b"], dtype="int64")
 
-    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    out = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    out._riskloom_parts = [shared, met, tiles]  # type: ignore[attr-defined]
+    return out
 
 
 def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int = NEAR, jaccard: float = JACCARD) -> DataFrame:
@@ -402,7 +432,10 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int
     # Equal paragraphs: one row each, combined before the shuffle.
     equal = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
     equal = materialize(equal.select("h1", "h2", F.col("least").alias("component_id")), "equal")
-    roots = materialize(components(line_links(found.where("line").select("h1", "bands", "shingles"), jaccard)), "line-roots")
+    links = line_links(found.where("line").select("h1", "bands", "shingles"), jaccard)
+    roots = materialize(components(links), "line-roots")
+    for part in links._riskloom_parts:  # type: ignore[attr-defined]
+        discard(part)
     roots = roots.withColumnRenamed("node", "h1")
     nodes = _maybe_in(spans.where("line").select("h1", "doc_id"), "h1", roots.select("h1")).join(roots, "h1")
     classes = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most")).where("component_id != most")

@@ -168,6 +168,22 @@ def test_what_a_longer_run_adds_stays_in_its_first_holder(spark):
         assert any(k == 2 and t.endswith(body[-1]) for d, k, t in got if d == i)
 
 
+def test_short_lines_and_wrapped_blocks_repeat(spark):
+    rng = random.Random(18)
+    wrap = lambda words, k: "\n".join(" ".join(words[i : i + k]) for i in range(0, len(words), k))
+    line, tiny, block = prose(rng, 20).split(), "Zq zr zs", prose(rng, 90).split()
+    near_line, near_block = [*line[:19], "other"], [*block[:45], "other", *block[46:]]
+    own = [prose(rng, 12) for _ in range(12)]
+    rows = [(1, " ".join(line)), (2, f"{own[0]}\n{' '.join(near_line)}\n{own[1]}"), (3, f"{own[2]}\n{tiny}"), (4, tiny + "\n" + own[3])]
+    rows += [(5, f"{own[4]}\n\n{wrap(block, 12)}\n \t\n{own[5]}"), (6, f"{own[6]}\n\n{wrap(near_block, 7)}\n\n{own[7]}"), (7, own[8]), (8, own[9] + "\n\n" + own[10])]
+    text = dict(rows)
+    got = {(r["doc_id"], r["component_id"], text[r["doc_id"]][r["start_char"] : r["end_char"]]) for r in substring.repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {
+        (1, 1, " ".join(line)), (2, 1, " ".join(near_line)), (3, 3, tiny), (4, 3, tiny),
+        (5, 5, wrap(block, 12)), (6, 5, wrap(near_block, 7)),
+    }
+
+
 def test_near_equal_lines_are_clustered_whatever_the_tile(spark):
     rng = random.Random(2)
     base = [prose(rng, 80).split() for _ in range(3)]
