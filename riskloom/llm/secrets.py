@@ -2,8 +2,9 @@
 
 Base kinds are regular expressions. For the rest, every run of 16 or more token characters is scored
 by two first-order Markov chains over character classes, one trained on random strings and one on
-ordinary identifiers; a run is a secret of kind ``random`` when the log-likelihood ratio passes the
-prior odds and it doesn't touch a base span. All of it is DataFrame functions: ``split`` and
+ordinary identifiers. What a run has outside base spans is cut after each ``=`` and ``/``; neighbouring
+pieces of 16 or more characters are a secret of kind ``random`` when the log-likelihood ratio passes the
+prior odds, so names and paths before a value don't outvote it. All of it is DataFrame functions: ``split`` and
 ``regexp_extract_all`` by one pattern interleave, so running sums of their lengths are the offsets.
 
 Offsets count code points, ends are exclusive. Defined cases: null text is empty text; repeated rows
@@ -24,7 +25,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 BASE = [("assign", ASSIGN), ("access", "AKIA[A-Z0-9]{16,}"), ("hex", "[0-9a-f]{24,}")]
 ASSIGN_LEAST = 6
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
-RANDOM = "random"
+RANDOM, LEAST = "random", 16
 
 #: Character classes of the chains: each letter and digit, and one for each sign; anything else is the last.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -211,6 +212,64 @@ def located(text: Column, pattern: str, kind: str, rank: int, group_least: int =
     return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+def _free(token: Column, base: Column) -> Column:
+    """The parts of a token outside the base spans, as (start, hit)."""
+    end, parts = token["start"] + F.char_length(token["hit"]), "array<struct<start:int,hit:string>>"
+    touching = F.array_sort(F.filter(base, lambda b: (b["start"] < end) & (token["start"] < b["end"])))
+
+    def part(start: Column, stop: Column) -> Column:
+        hit = F.substr(token["hit"], start - token["start"] + 1, F.greatest(stop - start, F.lit(0)))
+        return F.array(F.struct(start.alias("start"), hit.alias("hit"))).cast(parts)
+
+    return F.aggregate(
+        touching,
+        F.struct(token["start"].alias("at"), F.array().cast(parts).alias("out")),
+        lambda acc, b: F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out")),
+        lambda acc: F.concat(acc["out"], part(acc["at"], end)),
+    )
+
+
+def _random_parts(part: Column, table: list[float]) -> Column:
+    """Random spans of a (start, hit): the groups of neighbouring pieces, cut after = and /, of most evidence.
+
+    A group's evidence is its log-likelihood ratio less the rate; it ends where what follows outweighs it or the prior.
+    """
+    n = F.char_length(part["hit"])
+
+    def span(start: Column, end: Column) -> Column:
+        hit = F.substr(part["hit"], start - part["start"] + 1, end - start)
+        return F.array(
+            F.struct(start.alias("start"), F.lit(len(BASE)).alias("rank"), end.alias("end"), F.lit(RANDOM).alias("kind"), hit.alias("hit"))
+        ).cast(f"array<{SPAN}>")
+
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def found(acc: Column) -> Column:
+        good = (acc["peak"] > PRIOR) & (acc["end"] - acc["start"] >= LEAST)
+        return F.when(good, F.concat(acc["out"], span(acc["start"], acc["end"]))).otherwise(acc["out"])
+
+    def state(at: Column, start: Column, end: Column, sum_: Column, peak: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), start.alias("start"), end.alias("end"), sum_.alias("sum"), peak.alias("peak"), out.alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        at, sum_ = acc["at"] + p["long"], acc["sum"] + p["score"]
+        over = (sum_ <= 0) | (sum_ < acc["peak"] - PRIOR)
+        higher = sum_ > acc["peak"]
+        return F.when(over, state(at, at, at, F.lit(0.0), F.lit(0.0), found(acc))).otherwise(
+            state(at, acc["start"], F.when(higher, at).otherwise(acc["end"]), sum_, F.greatest(sum_, acc["peak"]), acc["out"])
+        )
+
+    pieces = F.transform(
+        F.filter(F.split(part["hit"], "(?<=[=/])", -1), lambda p: p != ""),
+        lambda p: F.struct(F.char_length(p).alias("long"), (llr(p, table) - RATE * F.char_length(p)).alias("score")),
+    )
+    start = part["start"]
+    groups = F.aggregate(pieces, state(start, start, start, F.lit(0.0), F.lit(0.0), none), step, found)
+    # Bound to a name, so the groups are made once. What the whole shows is kept where no group shows it.
+    whole = F.when(llr(part["hit"], table) > PRIOR + RATE * n, span(start, start + n)).otherwise(none)
+    return F.get(F.transform(F.array(groups), lambda g: F.when(F.size(g) > 0, g).otherwise(whole)), 0)
+
+
 def scan_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
     """Adds ``base`` and ``added``, arrays of (start, rank, end, kind, hit), to the columns of ``docs``.
 
@@ -226,8 +285,8 @@ def scan_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame
     # The look-behind keeps the matcher from starting again inside a run that was too short.
     tokens = located(text, f"(?<!{TOKEN[:-5]}){TOKEN}", RANDOM, len(BASE))
     out = docs.withColumns({"base": F.concat(*found), "added": tokens})
-    free = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.withColumn("added", F.filter(free, lambda t: llr(t["hit"], table) > PRIOR + RATE * F.char_length(t["hit"])))
+    parts = F.filter(F.flatten(F.transform("added", lambda t: _free(t, F.col("base")))), lambda p: F.char_length(p["hit"]) >= LEAST)
+    return out.withColumn("added", F.flatten(F.transform(parts, lambda p: _random_parts(p, table))))
 
 
 def spans_text(spans: Column) -> Column:

@@ -150,6 +150,23 @@ def test_markov_chains_tell_random_strings(spark):
     assert [got[i] for i in range(len(good))] == [0] * len(good) and all(got[len(good) + i] for i in range(len(bad)))
 
 
+def test_random_values_are_found_behind_names_and_paths(spark):
+    rng = random.Random(19)
+    base62 = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    cases = [("AWS_SECRET_ACCESS_KEY=", key)]
+    for i in range(60):
+        value = "".join(rng.choice(base62) for _ in range(24))
+        cases.append((["CLIENT_CREDENTIAL=", "authorization=", "deployment/configuration/production/"][i % 3], value))
+    texts = [f"see {a}{b} there" for a, b in cases]
+    texts += [f"a0b1c2d3e4f5a0b1c2d3e4f5/{cases[1][1]} x", "deployment/configuration/production/environment=default"]
+    rows = secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s.startswith("random")] for r in rows}
+    inside = lambda i, v: [texts[i][int(a) : int(b)] for _, a, b in spans[i]] == [v]
+    assert inside(0, key) and sum(inside(i, v) for i, (_, v) in enumerate(cases)) >= 0.95 * len(cases)
+    assert len(spans[61]) == 1 and texts[61][int(spans[61][0][1]) : int(spans[61][0][2])].endswith(cases[1][1]) and spans[62] == []
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, 'é token = "abcdef0123456789abcdef01234567" end', 3), (2, None, 4), (3, "plain", 5)], DOCS + ", n_chars long")
     rows = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
