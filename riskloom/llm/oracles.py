@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW
-from .licenses import TEMPLATES, THRESHOLD
+from .licenses import TEMPLATES, THRESHOLD, anchors
 from .queries import CONTROL
 from .vptree import K
 
@@ -51,22 +51,28 @@ FROM d LEFT JOIN p USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 _TEMPLATES = ", ".join(f"({i}, {_q(name)}, {_q(text)})" for i, (name, text) in enumerate(TEMPLATES))
+_ANCHORS = ", ".join(f"({_q(w)}, {p}, {n})" for w, p, n in anchors(TEMPLATES))
+_ONE = r"trim(regexp_replace({}, ' *\n[ \n]*', ' ', 'g'))"
 OP10 = f"""
 WITH t(template, license, text) AS (VALUES {_TEMPLATES}),
 tw AS (SELECT template, license, string_split(trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS w FROM t),
 tg AS (SELECT template, w[i] || ' ' || w[i + 1] AS gram, count(*) AS times FROM tw, unnest(range(1, len(w))) AS x(i) GROUP BY ALL),
 tn AS (SELECT template, license, len(w) - 1 AS n FROM tw),
-f AS (SELECT doc_id, lower(regexp_replace(text, ' *[^A-Za-z0-9\n ][^A-Za-z0-9\n]*| {{2,}}', ' ', 'g')) AS flat FROM documents WHERE text IS NOT NULL),
-u AS (SELECT DISTINCT doc_id, unnest(list_transform(list_concat(string_split(flat, chr(10)), string_split_regex(flat, '\n(?: ?\n)+'), [flat]),
-  lambda l: trim(regexp_replace(l, ' *\n[ \n]*', ' ', 'g')))) AS unit FROM f),
-uw AS (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM u WHERE unit <> ''),
-s AS (SELECT * FROM uw WHERE len(w) >= 2 AND len(w) - 1 <= (SELECT max(n) * (2 - {THRESHOLD}) / {THRESHOLD} FROM tn)),
-g AS (SELECT doc_id, unit, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS gram, count(*) AS times FROM s, unnest(range(1, len(w))) AS x(i) GROUP BY ALL),
-m AS (SELECT doc_id, unit, template, any_value(g.n) AS n, sum(least(g.times, tg.times)) AS shared FROM g JOIN tg USING (gram) GROUP BY ALL),
-r AS (SELECT doc_id, unit, template, license, CAST(2 * shared AS DOUBLE) / (m.n + tn.n) AS dice FROM m JOIN tn USING (template)),
-best AS (SELECT doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches
-  FROM r WHERE dice >= {THRESHOLD} GROUP BY doc_id)
-SELECT d.doc_id, license, dice, licenses, coalesce(n_matches, 0) AS n_matches FROM documents d LEFT JOIN best USING (doc_id)
+an(word, before, words) AS (VALUES {_ANCHORS}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+f AS (SELECT rid, lower(regexp_replace(text, ' *[^A-Za-z0-9\n ][^A-Za-z0-9\n]*| {{2,}}', ' ', 'g')) AS flat FROM docs WHERE text IS NOT NULL),
+ws AS (SELECT rid, string_split({_ONE.format("flat")}, ' ') AS w FROM f),
+wi AS (SELECT rid, array_to_string(w[greatest(1, i - before):i - before + words - 1], ' ') AS unit FROM ws, unnest(range(1, len(w) + 1)) AS x(i) JOIN an ON w[i] = word),
+u AS (SELECT rid, unnest(list_transform(list_concat(string_split(flat, chr(10)), string_split_regex(flat, '\n(?: ?\n)+'), [flat]),
+  lambda l: {_ONE.format("l")})) AS unit FROM f UNION SELECT rid, unit FROM wi),
+uw AS (SELECT rid, unit, string_split(unit, ' ') AS w FROM u WHERE unit <> ''),
+s AS (SELECT * FROM uw WHERE len(w) >= 2 AND len(w) - 1 <= (SELECT max(n) * (2 - {THRESHOLD}) / {THRESHOLD} + 1 FROM tn)),
+g AS (SELECT rid, unit, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS gram, count(*) AS times FROM s, unnest(range(1, len(w))) AS x(i) GROUP BY ALL),
+m AS (SELECT rid, unit, template, any_value(g.n) AS n, sum(least(g.times, tg.times)) AS shared FROM g JOIN tg USING (gram) GROUP BY ALL),
+r AS (SELECT rid, unit, template, license, CAST(2 * shared AS DOUBLE) / (m.n + tn.n) AS dice FROM m JOIN tn USING (template)),
+best AS (SELECT rid, arg_min(license, (-dice, license)) AS license, max(dice) AS dice, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(*) AS n_matches
+  FROM r WHERE dice >= {THRESHOLD} GROUP BY rid)
+SELECT d.doc_id, license, dice, licenses, coalesce(n_matches, 0) AS n_matches FROM docs d LEFT JOIN best USING (rid)
 """
 
 ORACLE_SQL: dict[str, str] = {
