@@ -1,8 +1,9 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Each half-round is an aggregation (minimum, combined on the map side) and a join; no neighbour list
-is ever collected, so a vertex of any degree is as good as another. Every round is written to the
-shared folder and read back, which cuts the lineage and survives lost executors.
+Each half-round is an aggregation (minimum, combined on the map side) and a join, in which the few
+vertices with a large share of all edges are dealt into parts; no neighbour list is ever collected, so
+a vertex may have any degree. Every round is written to the shared folder and read back, which cuts
+the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, join_hot, materialize
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
@@ -24,13 +25,14 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return _oriented(both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    met = join_hot(both, least, ["a"], "n", F.xxhash64("b"))
+    return _oriented(met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_hot(edges, least, ["a"], "n", F.xxhash64("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _oriented(moved.union(least.select("a", F.col("m").alias("b"))))
 
 
@@ -44,7 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges, "edges")
     seen = _state(now)
     while True:
-        after = materialize(_small_star(_large_star(now)), "edges")
+        large = materialize(_large_star(now), "edges")
+        after = materialize(_small_star(large), "edges")
+        discard(large)
         state = _state(after)
         discard(now)
         now = after

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import literal_array, materialize, text_slices
+from .common import discard_all, join_hot, literal_array, materialize, scratch, text_slices
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -161,13 +161,17 @@ def _edge_frame(edges: list[tuple[int, int]]) -> pd.DataFrame:
 
 def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Per document row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (least ``doc_id`` reachable)."""
-    fps = materialize(fingerprints(docs), "fingerprints")
-    # Copies collapse, with a combine before the shuffle; a class is then a set of fingerprints.
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = materialize(components(links(distinct.select("fp"), radius)), "roots").withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    with scratch() as made:
+        fps = materialize(fingerprints(docs), "fingerprints")
+        # Copies collapse, with a combine before the shuffle; a class is then a set of fingerprints.
+        distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+        roots = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+        rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+        named = join_hot(rooted, least, ["root"], "members", F.xxhash64("fp")).select("fp", "component_id", "n")
+        named = materialize(named, "named")
+        discard_all(made, fps, named)
+    # A fingerprint that a third of all rows share is dealt into parts.
+    return join_hot(fps, named, ["fp"], "n", F.xxhash64("doc_id", F.monotonically_increasing_id())).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
