@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, secrets, sentencepiece_codec, simhash, toxicity
-from riskloom.llm.common import materialize, table
+from riskloom.llm.common import discard, discard_all, join_hot, materialize, maybe_in, scratch, table
 from riskloom.llm.queries import MODEL
 
+
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and the whole row as one struct: no column of the input can clash with an operator's own."""
     return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
@@ -23,7 +24,11 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go."""
+    """Documents scored 0.5 or more go.
+
+    Null and empty texts are scored like any other; rows of one id are scored each by their own text; without both
+    classes among the labels every score is their share of toxic ones; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(_packed(docs), model, ["_row"]).where("score < 0.5").select("_row.*")
 
@@ -35,24 +40,38 @@ def _row_key(docs: DataFrame) -> Column:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash class stays, that of the least row key; rows of one id in different classes all stay."""
-    keyed = docs.select(_row_key(docs).alias("doc_id"), "text")
-    classes = simhash.simhash_classes(keyed).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialize(classes.select(F.col("doc_id").alias("kept_key"), "n"), "kept")
-    packed = docs.select(_row_key(docs).alias("_key"), F.struct(*docs.columns).alias("_row"))
-    joined = packed.join(kept, F.col("_key").eqNullSafe(F.col("kept_key")))
-    once = joined.where("n = 1").select("_row.*")
-    return once.union(joined.where("n > 1").dropDuplicates(["_key"]).select("_row.*"))
+    """One row of each SimHash class stays, that of the least row key; rows of one id in different classes all stay.
+
+    Texts stay where they are: the keys that go, or that several equal rows share, make a bit map, and only rows that
+    may be among them are joined with the list. Null ids come after all others; null texts are empty texts, of which
+    one row stays; of fully repeated rows one stays; an empty table stays empty.
+    """
+    with scratch() as made:
+        classes = simhash.simhash_classes(docs.select(_row_key(docs).alias("doc_id"), "text"))
+        judged = classes.groupBy(F.col("doc_id").alias("_key")).agg(
+            F.min(F.col("doc_id") == F.col("component_id")).alias("_stays"), F.count(F.lit(1)).alias("_n")
+        )
+        listed = materialize(judged.where("not _stays or _n > 1"), "listed")
+        discard_all(made, listed)
+    packed = docs.select(_row_key(docs).alias("_key"), F.struct(*docs.columns).alias("_row")).withColumn("_at", F.xxhash64("_key"))
+    at = listed.select(F.xxhash64("_key"))
+    clear = maybe_in(packed, "_at", at, other=True).select("_row.*")
+    doubt = join_hot(maybe_in(packed, "_at", at), listed, ["_key"], "_n", F.xxhash64(F.monotonically_increasing_id()), "left")
+    stays = doubt.where("_stays is null").union(doubt.where("_stays").dropDuplicates(["_key"]))
+    return clear.union(stays.select("_row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    Null texts hold none; rows of one id are judged each; without benchmark items, or without documents, all stay.
+    """
     found = decontaminate.contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
     return found.where(F.size("hit_words") == 0).select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay; the secrets in their texts are replaced, and ``n_chars`` follows."""
+    """Documents stay; the secrets in their texts are replaced, and ``n_chars`` follows. Null texts stay null, with a null ``n_chars``."""
     clean = secrets.redact_secrets(_packed(docs))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -61,7 +80,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, with a flag that decoding them gives the text back."""
+    """Ids of every row, repeated ones included, with a flag that decoding them gives the text back; null texts have null ids."""
     encoded = sentencepiece_codec.encode(docs, MODEL, keep=["doc_id"], check=True)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
@@ -78,10 +97,13 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch() as made:
+            out = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard_all(made, out)
+        discard(docs)
+        docs = out
 
 
 #: Hash fingerprints, a trained model and a tokenizer are beyond SQL; tests hold the stages against brute force.
