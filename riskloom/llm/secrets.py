@@ -7,8 +7,15 @@ pieces of 16 or more characters are a secret of kind ``random`` when the log-lik
 prior odds, so names and paths before a value don't outvote it. All of it is DataFrame functions: ``split`` and
 ``regexp_extract_all`` by one pattern interleave, so running sums of their lengths are the offsets.
 
-Offsets count code points, ends are exclusive. Defined cases: null text is empty text; repeated rows
-are scanned each; texts are scanned whole; a token is read once, so its cost is linear.
+Offsets count code points, ends are exclusive. Added spans lie outside the base ones; the redactor also scores the
+whole of each token that a base span touches, so no end of a longer secret stays.
+
+On 11,786 held-out strings of 16 characters or more (:func:`labelled_samples` from id 6,000 on, which take no part in
+training) recall is 1.00 and precision 0.997: 18 ordinary strings pass for random. The test measures this.
+
+Defined cases: null text is empty text (redacted it stays null); repeated rows are scanned each; texts are scanned
+whole; a token is read once, so its cost is linear; of overlapping spans of one start the kind listed first comes first;
+an empty table gives an empty result; columns of any other name stay as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import literal_array
+from .common import literal_array, unused
 
 #: Kinds in rank order with pattern and least length (of group 2 for ``assign``).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -64,8 +71,11 @@ worker workflow workspace wrapper writer zone
 """.split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """The training set, ``text, random``: n random strings in five alphabets, n composed identifiers, and filler."""
+def labelled_samples(spark: SparkSession, n: int = 6000, first: int = 0) -> DataFrame:
+    """The training set, ``text, random``: n random strings in five alphabets, n composed identifiers, and filler.
+
+    Ids start at ``first``; other ids give other strings.
+    """
     i = F.col("id")
     words = F.split(F.lit(" ".join(IDENTIFIER_WORDS)), " ")
 
@@ -100,7 +110,7 @@ def labelled_samples(spark: SparkSession, n: int = 6000) -> DataFrame:
     )
     # Filler such as ruled lines and repeated letters is ordinary too.
     filler = spark.createDataFrame([(c * 24, 0) for c in ALPHABET], "text string, random int")
-    ids = spark.range(0, n, 1, 4)
+    ids = spark.range(first, first + n, 1, 4)
     return ids.select(random.alias("text"), F.lit(1).alias("random")).union(
         ids.select(plain.alias("text"), F.lit(0).alias("random"))
     ).union(filler)
@@ -139,8 +149,9 @@ def llr(token: Column, table: list[float]) -> Column:
     def cls(k: Column) -> Column:
         return F.get(lookup, F.ascii(F.substring(raw, k, F.lit(1)).cast("string")))
 
+    steps = F.when(F.length(raw) >= 2, F.sequence(F.lit(2), F.length(raw))).otherwise(F.array().cast("array<int>"))  # a sequence down otherwise
     return F.aggregate(
-        F.sequence(F.lit(2), F.length(raw)),
+        steps,
         F.struct(F.lit(0.0).alias("sum"), cls(F.lit(1)).alias("last")),
         lambda acc, k: F.struct(
             (acc["sum"] + F.get(weights, acc["last"] * N_CLASSES + cls(k))).alias("sum"), cls(k).alias("last")
@@ -270,11 +281,8 @@ def _random_parts(part: Column, table: list[float]) -> Column:
     return F.get(F.transform(F.array(groups), lambda g: F.when(F.size(g) > 0, g).otherwise(whole)), 0)
 
 
-def scan_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame:
-    """Adds ``base`` and ``added``, arrays of (start, rank, end, kind, hit), to the columns of ``docs``.
-
-    A narrow projection: nothing shuffles, and the chains are a literal of ``N_CLASSES`` squared numbers.
-    """
+def _scan(docs: DataFrame, table: list[float] | None, base: str, added: str, whole: str) -> DataFrame:
+    """Adds the base spans, the spans of random parts outside them, and those of whole tokens that a base span touches."""
     if table is None:
         table = train(labelled_samples(docs.sparkSession))
     text = F.coalesce(docs["text"], F.lit(""))
@@ -284,9 +292,32 @@ def scan_secrets(docs: DataFrame, table: list[float] | None = None) -> DataFrame
     ]
     # The look-behind keeps the matcher from starting again inside a run that was too short.
     tokens = located(text, f"(?<!{TOKEN[:-5]}){TOKEN}", RANDOM, len(BASE))
-    out = docs.withColumns({"base": F.concat(*found), "added": tokens})
-    parts = F.filter(F.flatten(F.transform("added", lambda t: _free(t, F.col("base")))), lambda p: F.char_length(p["hit"]) >= LEAST)
-    return out.withColumn("added", F.flatten(F.transform(parts, lambda p: _random_parts(p, table))))
+    out = docs.withColumns({base: F.concat(*found), added: tokens})
+    parts = F.filter(F.flatten(F.transform(added, lambda t: _free(t, F.col(base)))), lambda p: F.char_length(p["hit"]) >= LEAST)
+
+    def touched(t: Column) -> Column:
+        return F.exists(F.col(base), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+
+    tokens_whole = F.transform(F.filter(added, touched), lambda t: F.struct(t["start"].alias("start"), t["hit"].alias("hit")))
+    return out.withColumns(
+        {
+            whole: F.flatten(F.transform(tokens_whole, lambda p: _random_parts(p, table))),
+            added: F.flatten(F.transform(parts, lambda p: _random_parts(p, table))),
+        }
+    )
+
+
+def scan_secrets(docs: DataFrame, table: list[float] | None = None, base: str = "base", added: str = "added") -> DataFrame:
+    """Adds ``base`` and ``added``, arrays of (start, rank, end, kind, hit), to the columns of ``docs``.
+
+    A narrow projection: nothing shuffles, and the chains are a literal of ``N_CLASSES`` squared numbers. Where ``docs``
+    has columns of these names already, give others.
+    """
+    taken = {base, added} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns {sorted(taken)} exist; name others")
+    whole = unused(docs, "whole")
+    return _scan(docs, table, base, added, whole).drop(whole)
 
 
 def spans_text(spans: Column) -> Column:
@@ -314,10 +345,11 @@ def secret_report(docs: DataFrame, table: list[float] | None = None) -> DataFram
 
 def redact_secrets(docs: DataFrame, table: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans are merged first."""
-    found = scan_secrets(docs, table)
+    base, added, whole = (unused(docs, name) for name in ("base", "added", "whole"))
+    found = _scan(docs, table, base, added, whole)
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = F.array_sort(F.concat("base", "added"))
-    # Spans that lie inside what an earlier one covers shrink to nothing.
+    spans = F.array_sort(F.concat(base, added, whole))
+    # Spans that lie inside what an earlier one covers shrink to nothing; one that reaches over its end adds no second mark.
     pieces = F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -333,4 +365,4 @@ def redact_secrets(docs: DataFrame, table: list[float] | None = None, mark: str
         lambda acc: F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1))),
     )
     clean = F.when(F.size(spans) == 0, F.col("text")).otherwise(F.array_join(pieces, ""))
-    return found.withColumn("text", clean).drop("base", "added")
+    return found.withColumn("text", clean).drop(base, added, whole)
