@@ -10,19 +10,22 @@ Max-plus products of these weights are associative, so giant documents are scann
 1. a document of over ``giant`` characters is cut into chunks of ``chunk`` characters, rows of their own;
 2. each chunk yields its transfer matrix between boundary states, sparse, weights 0 only. A state is
    the piece that holds the last character before the boundary, and how far it reaches over;
-3. the matrices of a document are multiplied from the left and from the right; the one state that both
-   sides reach is the true one at each boundary;
+3. the matrices are combined associatively, ``fan`` neighbours at a time, level upon level, until each document has one
+   group; from there down each group's states at its boundaries follow from those at its ends: the one state
+   that the products from the left and from the right both reach. No task sees more than ``fan`` matrices;
 4. each chunk backtraces its path between its two states on its own, and the ids are joined in order.
 
-No piece has a blank after another character, so a chunk with blanks is a matrix of rank one: between
-its first and last such place the words are looked up in a bounded cache. Shorter documents are one
-chunk without boundaries and take only this last step, in a narrow pass.
+No piece has a blank after another character, so every path has a boundary before each blank that follows a word.
+Between such places the same lattice is walked word by word, depth first with the longest piece first, and the words
+found are kept in a bounded cache. Documents of up to ``giant`` characters are one chunk without boundaries and take
+only this last step, in a narrow pass. The library reads the vocabulary file, nothing more; tests compare its ids.
 
 Decoding joins the pieces' bytes and drops the leading blank that encoding adds. Encoding is exactly
 reversible: a literal U+2581, which the format would turn into a blank, is written as its three bytes.
 
-Defined cases: null text has null ids; empty text has no ids; repeated rows are encoded each; texts
-are encoded whole. Ids equal the library's for texts without U+2581.
+Defined cases: null text has null ids; empty text has no ids; repeated rows are encoded each; texts of any length
+are encoded whole; an empty table gives an empty result; the columns in ``keep`` stay, other columns don't, and a kept
+column of a name the result needs (``ids``, ``round_trip``) is an error. Ids equal the library's for texts without U+2581.
 """
 
 from __future__ import annotations
@@ -40,8 +43,9 @@ from pyspark.sql import types as T
 
 from .common import materialize, text_slices
 
-CHUNK, GIANT = 32_768, 65_536
-CACHED = 100_000
+CHUNK, GIANT, FAN = 32_768, 65_536, 64
+#: Words, and pairs of pieces, that a worker keeps at most.
+CACHED = 200_000
 BAR = "\u2581"
 UNIT = re.compile(f"{BAR}| *[^ {BAR}]+| +")
 SYNC = re.compile(f"(?<=[^ ]) |(?<={BAR}).|{BAR}", re.S)
@@ -71,6 +75,12 @@ class Codec:
                 self.ids[text], self.scores[text] = i, sp.get_score(i)
                 self.bytes_of.append(text.encode())
         self.longest = max(map(len, self.ids))
+        lengths: dict[str, set[int]] = {}
+        for t in self.ids:
+            if len(t) > 1:
+                lengths.setdefault(t[:2], set()).add(len(t))
+        #: Lengths of the pieces that begin with two characters, longest first.
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.units: dict[str, bytes] = {}
 
@@ -123,16 +133,47 @@ class Codec:
         if found is None:
             if len(self.units) > CACHED:
                 self.units.clear()
-            if u == BAR or u[0] != " " or len(u) > 256:
-                pieces = self.path(u, 0, len(u), ("", 0), None)
-                ids = [i for t in pieces for i in self.to_ids(t)]
-            else:
-                ids = self.library.encode(u[1:]) or self.to_ids(u)  # the library adds the first blank itself
+            ids = [i for t in self.walk(u) for i in self.to_ids(t)]
             found = np.array(ids, np.int32).tobytes()
             if len(u) <= 64:
                 self.units[u] = found
         return found
 
+    def walk(self, u: str) -> list[str]:
+        """The path of weight 0 through a unit's lattice, depth first, longest piece first; dead ends are met once."""
+        n, ids, lengths, pairs = len(u), self.ids, self.lengths, self.pairs
+
+        def starts(p: int) -> Iterator[str]:
+            for k in lengths.get(u[p : p + 2], ()):
+                t = u[p : p + k]
+                if len(t) == k and t in ids:
+                    yield t
+            yield u[p]
+
+        pieces: list[str] = []
+        dead: set[tuple[int, str]] = set()
+        p, last, options = 0, "", [starts(0)]
+        while True:
+            for t in options[-1]:
+                ok = pairs.get((last, t))
+                if ok is None:
+                    ok = self.follows(last, t)
+                if ok and (not dead or (p + len(t), t) not in dead):
+                    pieces.append(t)
+                    p, last = p + len(t), t
+                    break
+            else:
+                options.pop()
+                if not pieces:
+                    raise ValueError("the lattice has no path")
+                dead.add((p, last))
+                p -= len(pieces.pop())
+                last = pieces[-1] if pieces else ""
+                continue
+            if p == n:
+                return pieces
+            options.append(starts(p))
+
     def units_of(self, text: str) -> bytes:
         return b"".join(map(self.unit, UNIT.findall(text)))
 
@@ -249,12 +290,12 @@ def product(left: list[tuple[State, State]], right: list[tuple[State, State]]) -
     return sorted({(a, c) for a, b in left for c in rows.get(b, [])})
 
 
-def resolve(matrices: list[list[tuple[State, State]]]) -> list[State]:
+def resolve(matrices: list[list[tuple[State, State]]], start: State = ("", 0), end: State | None = None) -> list[State]:
     """The one state at every boundary, first and last included, that prefix and suffix products leave."""
-    ahead = [{("", 0)}]
+    ahead = [{start}]
     for m in matrices:
         ahead.append({b for a, b in m if a in ahead[-1]})
-    back = [ahead[-1]]
+    back = [ahead[-1] if end is None else ahead[-1] & {end}]
     for m in reversed(matrices):
         back.append({a for a, b in m if b in back[-1]})
     states = [a & b for a, b in zip(ahead, reversed(back), strict=True)]
@@ -263,7 +304,54 @@ def resolve(matrices: list[list[tuple[State, State]]]) -> list[State]:
     return [next(iter(s)) for s in states]
 
 
-STATE = T.StructType([T.StructField("piece", T.StringType()), T.StructField("over", T.IntegerType())])
+MATRIX = "key string, k int, a string, a_over int, b string, b_over int"
+
+
+def _matrices(rows: pd.DataFrame) -> tuple[list[int], list[list[tuple[State, State]]]]:
+    """A group's matrices in order, with their numbers."""
+    by: dict[int, list[tuple[State, State]]] = {}
+    for r in rows.itertuples():
+        by.setdefault(r.k, []).append(((r.a, r.a_over), (r.b, r.b_over)))
+    numbers = sorted(by)
+    return numbers, [by[k] for k in numbers]
+
+
+def _rows(key: str, entries: list[tuple[int, State, State]]) -> pd.DataFrame:
+    flat = [(key, k, *a, *b) for k, a, b in entries]
+    return pd.DataFrame(flat, columns=["key", "k", "a", "a_over", "b", "b_over"])
+
+
+def boundary_states(matrices: DataFrame, n: int, fan: int = FAN) -> DataFrame:
+    """Transfer matrices (``MATRIX`` rows) of documents with up to ``n`` chunks -> the true state before and after each."""
+    group = F.floor(F.col("k") / fan).cast("int")
+
+    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
+        numbers, ms = _matrices(rows)
+        while len(ms) > 1:  # neighbours pair by pair: the product is associative
+            ms = [product(*ms[i : i + 2]) if i + 1 < len(ms) else ms[i] for i in range(0, len(ms), 2)]
+        return _rows(rows["key"].iloc[0], [(numbers[0] // fan, a, b) for a, b in ms[0]])
+
+    def located(rows: pd.DataFrame, start: State, end: State | None) -> pd.DataFrame:
+        numbers, ms = _matrices(rows)
+        states = resolve(ms, start, end)
+        return _rows(rows["key"].iloc[0], [(k, states[i], states[i + 1]) for i, k in enumerate(numbers)])
+
+    def top(rows: pd.DataFrame) -> pd.DataFrame:
+        return located(rows, ("", 0), None)
+
+    def inner(rows: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+        o = outer.iloc[0]
+        return located(rows, (o["a"], int(o["a_over"])), (o["b"], int(o["b_over"])))
+
+    levels = [matrices]
+    while n > fan:
+        n = -(-n // fan)
+        levels.append(materialize(levels[-1].withColumn("g", group).groupBy("key", "g").applyInPandas(multiply, MATRIX), "products"))
+    states = levels.pop().groupBy("key").applyInPandas(top, MATRIX)
+    while levels:
+        lower = levels.pop().withColumn("g", group).groupBy("key", "g")
+        states = lower.cogroup(states.withColumn("g", F.col("k")).groupBy("key", "g")).applyInPandas(inner, MATRIX)
+    return states
 
 
 def _model(df: DataFrame, path: str):
@@ -271,7 +359,7 @@ def _model(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast((path, f.read()))
 
 
-def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
+def _giant_ids(giants: DataFrame, model, chunk: int, fan: int) -> DataFrame:
     """``key, text`` (distinct keys) -> ``key, ids``; every chunk is a row and may be on any executor."""
     margin = Codec.of(model).longest
     types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_()]
@@ -298,20 +386,6 @@ def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "k", "a", "a_over", "b", "b_over"]
             )
 
-    def scan(matrices: pd.DataFrame) -> pd.DataFrame:
-        by: dict[int, list[tuple[State, State]]] = {}
-        for r in matrices.itertuples():
-            by.setdefault(r.k, []).append(((r.a, r.a_over), (r.b, r.b_over)))
-        states = resolve([by[k] for k in range(len(by))])
-        n = len(by)
-        return pd.DataFrame(
-            {
-                "key": [matrices["key"].iloc[0]] * n, "k": range(n),
-                "a": [s[0] for s in states[:-1]], "a_over": [s[1] for s in states[:-1]],
-                "b": [s[0] for s in states[1:]], "b_over": [s[1] for s in states[1:]],
-            }
-        )
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model)
         for batch in batches:
@@ -328,14 +402,17 @@ def _giant_ids(giants: DataFrame, model, chunk: int) -> DataFrame:
     chunks = materialize(
         giants.mapInArrow(cut, "key string, k int, text string, b int, e int, last boolean").repartition("key", "k"), "chunks"
     )
-    matrices = chunks.mapInArrow(transfers, "key string, k int, a string, a_over int, b string, b_over int")
-    states = matrices.groupBy("key").applyInPandas(scan, "key string, k int, a string, a_over int, b string, b_over int")
+    matrices = materialize(chunks.mapInArrow(transfers, MATRIX), "matrices")
+    most = matrices.agg(F.max("k").alias("k")).first()["k"]
+    states = boundary_states(matrices, 0 if most is None else most + 1, fan)
     joined = chunks.join(states.withColumnRenamed("b", "b_piece"), ["key", "k"])
     traced = joined.select("key", "k", "text", "b", "e", "a", "a_over", "b_piece", "b_over").mapInArrow(trace, "key string, k int, ids array<int>")
     return traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GIANT, keep: list[str] | None = None, check: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GIANT, keep: list[str] | None = None, check: bool = False, fan: int = FAN
+) -> DataFrame:
     """Adds ``ids`` (array of int) to the columns in ``keep`` (``doc_id, text``) of every document row.
 
     With ``check``, also ``round_trip``: whether decoding gives the text back. Short documents are decoded
@@ -364,7 +441,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, giant: int = GI
     short = docs.where(~is_giant).select(*keep, text.alias("_text")).mapInArrow(run, schema)
     giants = docs.where(is_giant).select(*keep, text.alias("_text"), F.sha2(text, 256).alias("_key"))
     texts = giants.groupBy("_key").agg(F.first("_text").alias("text")).withColumnRenamed("_key", "key")
-    traced = _giant_ids(texts, model, chunk)
+    traced = _giant_ids(texts, model, chunk, fan)
     long = giants.join(traced, F.col("_key") == F.col("key"))
     if check:
         back = decode(long.select(*keep, "_text", "ids"), model_path)
