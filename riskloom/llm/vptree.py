@@ -11,12 +11,13 @@ still many shards. Every vector is indexed. Each query searches its own leaf fir
 k-th find then prunes whole leaves (each leaf knows its least and largest distance from each vantage point
 on its path), and the survivors are searched, each shard by a tree of its own, queries in blocks.
 
-Only the sample, the router and one count and a few bounds per leaf are on the driver, all of fixed size.
+Only the sample, the router and one count and a few bounds per leaf are on the driver, all of fixed size. A stored row
+carries its vector, its leaf and the distances on its own path, about as many as the tree is deep.
 
 Defined cases: vectors that are null, empty, zero, of a length other than the commonest, or hold null or
 non-finite components take no part, as query or candidate; ties go to the smaller id; an id with
 several vectors counts once, with its best; fully repeated rows are one; a query's candidates leave out
-its own id; an empty table gives an empty result.
+its own id; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -180,19 +181,26 @@ class Router:
         """Distances from every vantage point, one column each."""
         return np.stack([distances(x, v) for v in self.vantage], 1) if self.vantage else np.zeros((len(x), 0))
 
-    def leaf_of(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int32)
+    def routed(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The leaf of each row, and its distances from the vantage points on the way there, root first."""
+        out, way = np.zeros(len(x), np.int32), [np.zeros(0)] * len(x)
 
-        def down(node: Node, who: np.ndarray) -> None:
+        def down(node: Node, who: np.ndarray, passed: np.ndarray) -> None:
             if node.rows is not None:
                 out[who] = node.leaf
+                for i, d in zip(who, passed, strict=True):
+                    way[i] = d
                 return
-            inside = distances(x[who], node.vantage) < node.radius
-            down(node.inside, who[inside])
-            down(node.outside, who[~inside])
+            d = distances(x[who], node.vantage)
+            inside, passed = d < node.radius, np.hstack([passed, d[:, None]])
+            down(node.inside, who[inside], passed[inside])
+            down(node.outside, who[~inside], passed[~inside])
+
+        down(self.root, np.arange(len(x)), np.zeros((len(x), 0)))
+        return out, way
 
-        down(self.root, np.arange(len(x)))
-        return out
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        return self.routed(x)[0]
 
 
 def clean_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -231,18 +239,16 @@ def nearest(
         r = sent.value
         for b in batches:
             if b.num_rows:
-                x = lifted(_matrix(b.column("v")), r.radius)
-                yield pa.record_batch([b.column("id"), b.column("v"), pa.array(r.leaf_of(x)), pa.array(list(r.table(x)), pa.list_(pa.float64()))], ["id", "v", "leaf", "d"])
+                leaf, way = r.routed(lifted(_matrix(b.column("v")), r.radius))
+                yield pa.record_batch([b.column("id"), b.column("v"), pa.array(leaf), pa.array(way, pa.list_(pa.float64()))], ["id", "v", "leaf", "d"])
 
     placed = materialize(rows.mapInArrow(assign, "id long, v array<double>, leaf int, d array<double>"), "placed")
     depth = max((len(p) for p in router.paths), default=0)
-    steps = [[p[i][0] if i < len(p) else 0 for i in range(depth)] for p in router.paths]
     # One row per leaf: its count, and the reach of its members from each vantage point on its path.
-    path = F.get(F.from_json(F.lit(str(steps)), "array<array<int>>"), F.col("leaf"))
     found = placed.groupBy("leaf").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.min(F.get("d", F.get(path, i))).alias(f"lo{i}") for i in range(depth)],
-        *[F.max(F.get("d", F.get(path, i))).alias(f"hi{i}") for i in range(depth)],
+        *[F.min(F.get("d", F.lit(i))).alias(f"lo{i}") for i in range(depth)],
+        *[F.max(F.get("d", F.lit(i))).alias(f"hi{i}") for i in range(depth)],
     )
     info = {
         r["leaf"]: (-(-r["n"] // shard_rows), [(k_, r[f"lo{i}"], r[f"hi{i}"]) for i, (k_, _) in enumerate(router.paths[r["leaf"]])])
