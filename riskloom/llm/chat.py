@@ -110,13 +110,47 @@ def read_back(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+BLOCK = 256
+
+
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """The text under the loss mask, unescaped: the runs marked so, cut from the formatted text by running sums.
+
+    A cut costs as much as what lies before it, so the text is cut into blocks of runs first.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(mask) - 1) / BLOCK).cast("int")), lambda b: F.slice(mask, b * BLOCK + 1, F.lit(BLOCK)))
+    sized = F.transform(blocks, lambda b: F.struct(F.aggregate(b, F.lit(0), lambda n, run: n + run["chars"]).alias("chars"), b.alias("runs")))
+    none = F.array().cast("array<struct<at:int,chars:int,runs:array<struct<chars:int,loss:boolean>>>>")
+    placed = F.aggregate(
+        sized,
+        F.struct(F.lit(0).alias("at"), none.alias("out")),
+        lambda acc, b: F.struct(
+            (acc["at"] + b["chars"]).alias("at"),
+            F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), b["chars"].alias("chars"), b["runs"].alias("runs")))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+
+    def cut(text: Column, runs: Column) -> Column:
+        return F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+            lambda acc, run: F.struct(
+                (acc["at"] + run["chars"]).alias("at"),
+                F.when(run["loss"], F.concat(acc["out"], F.substr(text, acc["at"] + 1, run["chars"]))).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: unescape(acc["out"]),
+        )
+
+    # Every piece stands in a one-element array, which binds it to a name, so that it is cut once.
+    pieces = F.transform(placed, lambda b: F.get(F.transform(F.array(F.substr(formatted, b["at"] + 1, b["chars"])), lambda t: cut(t, b["runs"])), 0))
+    return F.array_join(pieces, "")
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what reading the formatted text back gives."""
+    """Per conversation, what reading back gives: turns from the formatted text, the loss from what its mask covers."""
     back = formatted.withColumn("turns", read_back(F.col("formatted")))
-    back = back.withColumn(
-        "loss_text",
-        F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"]), ""),
-    )
+    back = back.withColumn("loss_text", under_mask(F.col("formatted"), F.col("loss_mask")))
     said = F.array_join(
         F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""
     )
