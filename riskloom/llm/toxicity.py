@@ -8,7 +8,9 @@ few kilobytes; scoring is one narrow pass over whole texts.
 
 Defined cases: null text is empty text and is scored like any other; a document labelled more than once
 is toxic if any label says so; null labels are no labels; without both classes every score is the share
-of toxic labels (0 without labels); repeated rows get the same score; other columns are ignored.
+of toxic labels (0 without labels); repeated rows get the same score; of several texts under one labelled id the one of
+least hash trains the model, and each is scored by itself; texts of any length are read whole; an empty table of documents
+gives an empty result; columns that ``keep`` doesn't name are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -210,7 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_le
     sample = votes.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     # At most max_train rows of two numbers, so this side has a fixed bound.
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = materialize(picked.dropDuplicates(["doc_id"]), "toxic-train")
+    # Of several texts under one id the one of least hash counts, in whatever order the rows come.
+    one = picked.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("t"), F.max("toxic").alias("toxic"))
+    rows = materialize(one.select("doc_id", "t.text", "toxic"), "toxic-train")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
