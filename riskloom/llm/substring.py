@@ -8,43 +8,49 @@ paragraph are compared:
   repeat where they are equal;
 * *passages*, for text repeated inside longer lines or across them: windows of ``window`` (16) words whose
   hash is least among ``near`` (36) neighbours. Any run of ``window + near - 1`` (51) words that two
-  documents share has such a window in common. They are compared whole: one band of all rows. A window that
-  repeats is only a seed: the run round it is followed word by word to both ends of what another document
-  shares, by looking up hashes of the longer runs, so a repeated run is one span whatever was sampled in it.
-
-Equal paragraphs collapse first, with a combine before the shuffle, so copies never meet. What turned out
-to repeat is then looked up in the rest; a bit map of fixed size (8 MB), broadcast, first drops nearly all
-rows that can't be among it, so they don't shuffle twice. (A full map would drop none, and lose none.)
- A band's
-bucket never emits its pairs: it is cut into tiles of bounded size, a tile verifies its links and
-returns a spanning forest of them, and buckets with the same members are solved once. Components give
-each paragraph its class, and a class that occurs in two documents or more is a repeat: it stays in the
-document with the least id and is a removal in the others.
+  documents share has such a window in common. A window that repeats is a seed: its holder of least id is the
+  reference, and every other holder is followed word by word to both ends of what it shares with that one.
+  Where both go on alike up to the next chosen window a hash of the words between says so; only where they
+  part are the words beside the window compared, and holders that part from the reference at the same word
+  are looked up among each other, so a run is followed to its ends whichever two documents share it.
+
+Equal paragraphs collapse before they are banded: all that leaves a task of a line's copies is one row a
+band. What turned out to repeat is then looked up in the rest; a bit map of 16 bits for each value, up to
+32 MB, first drops the rows that can't be among it, so few shuffle twice. (A full map drops none, and loses
+none.) Shingle sets are made in a second reading, for one holder of each line that collided, and never
+shuffle for the others. A band's bucket never emits its pairs: all members are compared with its least line,
+and only those unlike it meet the whole bucket, in tiles of bounded size that return a spanning forest of
+their links; buckets with the same members are solved once. Lines, spans and seeds that a large share of all
+rows hold are dealt into parts when joined. Components give each paragraph its class, and a class that occurs
+in two documents or more is a repeat: it stays in the document with the least id and is a removal in the others.
 
 Result: a row per document, component and maximal span, ``doc_id, component_id`` (the document that
 keeps the text), ``start_char, end_char`` (code points), ``removed``. Documents without a repeat have none.
 
 Defined cases: null and empty texts, and lines without a word, have no paragraphs;
-repeated rows of one ``doc_id`` are one document; null ids take no part; texts are read whole, in slices of
-bounded memory; other columns are ignored.
+repeated rows of one ``doc_id`` are one document, and what repeats within one only is no repeat; null ids take
+no part; texts of any length are read whole; ties go to the lesser id and the earlier place; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, materialize, text_slices
+from .common import bit_map, discard_all, in_map, join_hot, materialize, maybe_in, scratch, text_slices
 from .components import components
 
 SHINGLE, LEAST, WINDOW, NEAR, JACCARD, BANDS, ROWS, TILE = 5, 5, 16, 36, 0.8, 10, 4, 1024
-MAP_BITS = 26
+#: Shingles that a tile side holds at most, but for a single line of more.
+TILE_SHINGLES = 1 << 20
+PASSAGE, SHORT, LINE = 0, 1, 2
 U = np.uint64
 #: Bytes to word characters: A-Z become a-z, 0 is no word character.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
@@ -104,6 +110,15 @@ class Words:
         return mix(out)
 
 
+def _sliding(values: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
+    """Least or largest of each n neighbours."""
+    out, span = values, 1
+    while span * 2 <= n:
+        out, span = pick(out[:-span], out[span:]), span * 2
+    size = len(values) - n + 1
+    return out[:size] if span == n else pick(out[:size], out[n - span : n - span + size])
+
+
 def passages(w: Words, k: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions and two hashes of the windows of k words that are least among ``near`` neighbours."""
     n = len(w.hash) - k + 1
@@ -123,75 +138,39 @@ def passages(w: Words, k: int, near: int) -> tuple[np.ndarray, np.ndarray, np.nd
     place = np.arange(n) + near * (owner - owner[0])
     padded = np.full(int(place[-1]) + 2 * near, TOP, U)
     padded[place + near - 1] = one
-    least, span = padded, 1
-    while span * 2 <= near:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    if span < near:
-        least = np.minimum(least[: len(padded) - near + 1], least[near - span : near - span + len(padded) - near + 1])
-    chosen = np.zeros(n, bool)
-    for o in range(near):  # some run of ``near`` neighbours has its least here
-        chosen |= one == least[place + o]
+    least = _sliding(padded, near, np.minimum)
+    chosen = one == _sliding(least, near, np.maximum)[place]  # some run of ``near`` neighbours has its least here
     at = np.flatnonzero(chosen & (one != TOP))
-    return at, one[at], mix(two[at])
+    return at, mix(one[at] ^ ODD[241]), mix(two[at])  # least hashes are small ones; scrambled, they spread
 
 
 class Phrases:
     """Hashes of any run of words, from prefix sums: equal runs have equal hashes wherever they lie."""
 
     def __init__(self, w: Words):
-        self.sums, self.inverse = [], []
-        for base in (int(ODD[230]) | 5, int(ODD[231]) | 5):
-            power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), base, U)]))
-            self.inverse.append(np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), pow(base, -1, 1 << 64), U)])))
-            self.sums.append(np.concatenate([[U(0)], np.cumsum(w.hash * power[:-1], dtype=U)]))
-
-    def hash(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
-        sums = self.sums[which]
-        return mix((sums[b] - sums[a]) * self.inverse[which][a] + (b - a).astype(U) * ODD[232 + which])
-
-
-class Stretches:
-    """The chosen passages that may repeat, each with the words to its next and to its last chosen neighbour.
-
-    Two texts that share a run choose the same passages in it but for the last ``near`` words at either end.
-    So where all holders of a passage go on alike up to the neighbour, the run goes on there; where they don't,
-    it ends within ``near`` words or at the neighbour, and every length is tried.
-    """
-
-    def __init__(self, w: Words, window: int, near: int, repeated: np.ndarray):
-        at, one, _ = passages(w, window, near)
-        text = w.text[at]
-        self.begin, self.stop = np.searchsorted(w.text, text, "left"), np.searchsorted(w.text, text, "right")
-        follows = np.concatenate([text[1:] == text[:-1], [False]]) if len(at) else np.zeros(0, bool)
-        self.last = ~follows
-        self.first = np.concatenate([[True], ~follows[:-1]]) if len(at) else np.zeros(0, bool)
-        self.to = np.where(follows, np.concatenate([at[1:], [0]])[: len(at)] + window, self.stop)
-        self.back = np.where(self.first, self.begin, np.concatenate([[0], at[:-1]])[: len(at)])
-        self.at, self.window, self.near = at, window, near
-        self.sides = one ^ ODD[240], one ^ ODD[241]
-        may = in_map(repeated, one)
-        for name in ("begin", "stop", "last", "first", "to", "back", "at"):
-            setattr(self, name, getattr(self, name)[may])
-        self.sides = self.sides[0][may], self.sides[1][may]
-
-    def links(self, p: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """Side by side (right, then left): which passage and side, and a hash of the words to the neighbour."""
-        right = p.hash(self.at, self.to) ^ (self.last.astype(U) * ODD[242])
-        left = p.hash(self.back, self.at + self.window) ^ (self.first.astype(U) * ODD[242])
-        return np.concatenate(self.sides), np.concatenate([right, left])
-
-    def runs(self, parting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word runs to look up: the stretch where holders go on alike, every length where they part."""
-        end = self.at + self.window
-        right, left = (in_map(parting, side) for side in self.sides)
-        alike = ~right & np.where(self.last, self.to > end, self.to - end >= self.window)
-        opens = ~left & self.first & (self.back < self.at)
-        a, b = [self.at[alike], self.back[opens]], [self.to[alike], end[opens]]
-        for e in range(1, self.near + 1):
-            r, l = right & (end + e <= self.stop), left & (self.at - e >= self.begin)
-            a += [self.at[r], self.at[l] - e]
-            b += [end[r] + e, end[l]]
-        return np.concatenate(a), np.concatenate(b)
+        base = int(ODD[230]) | 5
+        power = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), base, U)]))
+        self.inverse = np.multiply.accumulate(np.concatenate([[U(1)], np.full(len(w.hash), pow(base, -1, 1 << 64), U)]))
+        self.sums = np.concatenate([[U(0)], np.cumsum(w.hash * power[:-1], dtype=U)])
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(U) * ODD[232])
+
+
+def neighbours(w: Words, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each chosen passage the word after its next one and the first word of its last one (or the text's ends),
+    and a hash of the words from here to there."""
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(U), none.astype(U)
+    text = w.text[at]
+    begin, stop = np.searchsorted(w.text, text, "left"), np.searchsorted(w.text, text, "right")
+    follows = np.concatenate([text[1:] == text[:-1], [False]])
+    led = np.concatenate([[False], follows[:-1]])
+    to = np.where(follows, np.concatenate([at[1:], [0]]) + window, stop)
+    back = np.where(led, np.concatenate([[0], at[:-1]]), begin)
+    p = Phrases(w)
+    return to, back, p.hash(at, to) ^ (~follows * ODD[242]), p.hash(back, at + window) ^ (~led * ODD[242])
 
 
 def _units(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,71 +203,45 @@ def short_lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return a, b, mix(one + ODD[252]), mix(two)
 
 
-def _line_rows(w: Words, least: int):
-    """Hashes, shingle sets (32 bits, sorted) and band keys of lines."""
+def _ranges(values: np.ndarray, a: np.ndarray, b: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each range [a, b) of ``values``, none of them empty."""
+    ends = np.stack([a, b], 1).ravel()
+    return pick.reduceat(np.append(values, values[:1]), ends)[::2]
+
+
+def _line_hashes(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines and blocks with two hashes of the words in order, and the shingles at all places."""
     a, b = lines(w, least)
-    if not len(a):
-        return a, b, np.zeros(0, U), np.zeros(0, U), [], np.zeros((0, BANDS), U)
     s = w.shingles(SHINGLE)
-    n = b - a - SHINGLE + 1
-    at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    own, first = s[at], np.cumsum(n) - n
-    place = (np.arange(n.sum()) - np.repeat(first, n)).astype(U) * U(2) + U(1)
-    one = mix(np.add.reduceat(mix(own * place), first))
-    two = mix(np.add.reduceat(mix(own + place * ODD[200]), first))
-    keys = np.zeros((len(a), BANDS), U)
-    for k in range(BANDS * ROWS):
-        least_k = np.minimum.reduceat(mix(own * ODD[k] + ODD[k + 50]), first)
-        keys[:, k // ROWS] = keys[:, k // ROWS] * ODD[201] + least_k
-    small = (own >> U(32)).astype(np.uint32)
-    sets = [np.unique(small[f : f + c]) for f, c in zip(first, n, strict=True)]
-    return a, b, one, two, sets, mix(keys + np.arange(BANDS, dtype=np.uint64))
+    if not len(a):
+        return a, b, np.zeros(0, U), np.zeros(0, U), s
+    p = Phrases(w)
+    return a, b, p.hash(a, b), p.hash(a, b) ^ _ranges(mix(s + ODD[200]), a, b - SHINGLE + 1, np.bitwise_xor), s
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+def _band_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Band keys of the shingle ranges [a, b). A 64-bit scramble of a shingle serves two 32-bit hash functions."""
+    keys = np.zeros((len(a), BANDS), U)
+    for k in range(0, BANDS * ROWS, 2):
+        m = mix(s * ODD[k] + ODD[k + 50])
+        for j, half in ((k, (m >> U(32)).astype(np.uint32)), (k + 1, m.astype(np.uint32))):
+            keys[:, j // ROWS] = keys[:, j // ROWS] * ODD[201] + _ranges(half, a, b, np.minimum) + U(1)
+    return mix(keys + np.arange(BANDS, dtype=np.uint64) * ODD[202])
 
 
-def _longer_runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFrame:
-    """Runs round the passages among ``seeds`` (``h1``) that may repeat: ``doc_id, start_char, end_char, h1, h2``."""
-    repeated = _bit_map(seeds)
+def _shingle_sets(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """The distinct shingles of each range, 32 bits, sorted."""
+    small = (s >> U(32)).astype(np.uint32)
+    return [np.unique(small[x:y]) for x, y in zip(a, b, strict=True)]
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = repeated.value
-        for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
-                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
-                side, link = Stretches(w, window, near, bits).links(Phrases(w))
-                yield pa.record_batch([pa.array(side.view(np.int64)), pa.array(link.view(np.int64))], ["side", "link"])
 
-    ways = _texts(docs).mapInArrow(links, "side long, link long").groupBy("side").agg(F.min("link").alias("lo"), F.max("link").alias("hi"))
-    parting = _bit_map(ways.where("lo != hi").select("side"))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, part_bits = repeated.value, parting.value
-        for batch in batches:
-            for part in text_slices(batch, "text", 1 << 20):
-                ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
-                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
-                p = Phrases(w)
-                a, b = Stretches(w, window, near, bits).runs(part_bits)
-                text = w.text[a]
-                yield pa.record_batch(
-                    [
-                        pa.array(ids[text]),
-                        pa.array(w.char(w.start[a], text).astype(np.int32)),
-                        pa.array(w.char(w.end[b - 1], text).astype(np.int32)),
-                        pa.array(p.hash(a, b).view(np.int64)),
-                        pa.array((p.hash(a, b, 1) >> U(32)).astype(np.uint32).view(np.int32)),
-                    ],
-                    ["doc_id", "start_char", "end_char", "h1", "h2"],
-                )
-
-    return _texts(docs).mapInArrow(runs, "doc_id long, start_char int, end_char int, h1 long, h2 int")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
 
 
-def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFrame:
-    """``doc_id, line, start_char, end_char, h1, h2, bands, shingles``; the last two are null for passages and short lines."""
+def _paragraphs(docs: DataFrame, least: int, window: int, near: int, sets: bool = True) -> DataFrame:
+    """``doc_id, kind, line, start_char, end_char, h1, h2, bands, shingles`` (without ``sets`` null; bands and shingles are
+    lines' alone), and for passages ``to_char, back_char``, the far ends of the next and last one, with hashes ``right, left``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,28 +249,200 @@ def _paragraphs(docs: DataFrame, least: int, window: int, near: int) -> DataFram
                 ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
                 w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
                 at, p1, p2 = passages(w, window, near)
-                a, b, l1, l2, sets, keys = _line_rows(w, least)
+                to, back, right, left = neighbours(w, at, window)
                 c, d, s1, s2 = short_lines(w)
+                a, b, l1, l2, s = _line_hashes(w, least)
+                keys = _band_keys(s, a, b - SHINGLE + 1) if len(a) else np.zeros((0, BANDS), U)
+                made = _shingle_sets(s, a, b - SHINGLE + 1) if sets else [None] * len(a)
                 first, last = np.concatenate([at, c, a]), np.concatenate([at + window, d, b]) - 1
-                text = w.text[first]
-                none = [None] * (len(at) + len(c))
+                text, n, none = w.text[first], len(at), [None] * (len(at) + len(c))
+                kind = np.repeat(np.array([PASSAGE, SHORT, LINE], np.int8), [n, len(c), len(a)])
+                void = np.arange(len(first)) >= n
+
+                def beside(values: np.ndarray, void=void, n=n, size=len(first)) -> pa.Array:
+                    return pa.array(np.concatenate([values, np.zeros(size - n, values.dtype)]).astype(np.int32), mask=void)
+
                 yield pa.record_batch(
                     [
                         pa.array(ids[text]),
-                        pa.array(np.arange(len(first)) >= len(none)),
+                        pa.array(kind),
+                        pa.array(kind == LINE),
                         pa.array(w.char(w.start[first], text).astype(np.int32)),
                         pa.array(w.char(w.end[last], text).astype(np.int32)),
                         pa.array(np.concatenate([p1, s1, l1]).view(np.int64)),
                         pa.array((np.concatenate([p2, s2, l2]) >> U(32)).astype(np.uint32).view(np.int32)),
                         pa.array([*none, *keys.view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([*none, *(s.view(np.int32) for s in sets)], pa.list_(pa.int32())),
+                        pa.array([*none, *(x if x is None else x.view(np.int32) for x in made)], pa.list_(pa.int32())),
+                        beside(w.char(w.end[to - 1], text[:n])),
+                        beside(w.char(w.start[back], text[:n])),
+                        beside((right >> U(32)).astype(np.uint32).view(np.int32)),
+                        beside((left >> U(32)).astype(np.uint32).view(np.int32)),
                     ],
-                    ["doc_id", "line", "start_char", "end_char", "h1", "h2", "bands", "shingles"],
+                    ["doc_id", "kind", "line", "start_char", "end_char", "h1", "h2", "bands", "shingles", "to_char", "back_char", "right", "left"],
                 )
 
     return _texts(docs).mapInArrow(
-        run, "doc_id long, line boolean, start_char int, end_char int, h1 long, h2 int, bands array<long>, shingles array<int>"
+        run,
+        "doc_id long, kind byte, line boolean, start_char int, end_char int, h1 long, h2 int, bands array<long>, shingles array<int>, "
+        "to_char int, back_char int, right int, left int",
+    )
+
+
+def _holders(docs: DataFrame, wanted: DataFrame, key: str):
+    """Documents that may hold a (``doc_id``, hash ``key``) of ``wanted``, with ``_at`` (a hash of the id), and the bit map of the pairs."""
+    pairs = bit_map(wanted.select(F.col(key).bitwiseXOR(F.xxhash64("doc_id"))))
+    texts = _texts(docs).withColumn("_at", F.xxhash64("doc_id"))
+    return maybe_in(texts, "_at", wanted.select(F.xxhash64("doc_id"))), pairs
+
+
+def _at_hash(part: pa.RecordBatch) -> np.ndarray:
+    return part.column("_at").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """``h1, shingles`` of the lines ``doc_id, h1`` of ``wanted`` (and of few others), each once."""
+    texts, pairs = _holders(docs, wanted, "h1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 20):
+                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
+                a, b, one, _, s = _line_hashes(w, least)
+                got = in_map(pairs.value, one ^ _at_hash(part)[w.text[a]])
+                sets = _shingle_sets(s, a[got], b[got] - SHINGLE + 1)
+                yield pa.record_batch(
+                    [pa.array(one[got].view(np.int64)), pa.array([x.view(np.int32) for x in sets], pa.list_(pa.int32()))], ["h1", "shingles"]
+                )
+
+    return texts.mapInArrow(run, "h1 long, shingles array<int>").dropDuplicates(["h1"])
+
+
+def _sides(docs: DataFrame, wanted: DataFrame, window: int, near: int) -> DataFrame:
+    """The words beside the passages of ``wanted`` (``doc_id, key``): ``doc_id, h1, rightward, start_char, words`` (hashes of the
+    ``near`` next, outwards), ``reach`` (where each of them ends, or starts)."""
+    texts, pairs = _holders(docs, wanted, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 1 << 20):
+                ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
+                w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
+                at, one, _ = passages(w, window, near)
+                small = (w.hash >> U(32)).astype(np.uint32).view(np.int32)
+                own = _at_hash(part)[w.text[at]]
+                for side in (True, False):
+                    got = in_map(pairs.value, one ^ own ^ RIGHT if side else one ^ own)
+                    here, h = at[got], one[got]
+                    if not len(here):
+                        continue
+                    text = w.text[here]
+                    first = here + window if side else np.maximum(here - near, np.searchsorted(w.text, text, "left"))
+                    last = np.minimum(here + window + near, np.searchsorted(w.text, text, "right")) if side else here
+                    spans = [np.arange(x, y) if side else np.arange(y - 1, x - 1, -1) for x, y in zip(first, last, strict=True)]
+                    size = np.array([len(x) for x in spans])
+                    every = np.concatenate(spans).astype(np.int64)
+                    ends = w.char((w.end if side else w.start)[every], np.repeat(text, size)).astype(np.int32)
+                    cut = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                    yield pa.record_batch(
+                        [
+                            pa.array(ids[text]), pa.array(h.view(np.int64)), pa.array(np.full(len(here), side)),
+                            pa.array(w.char(w.start[here], text).astype(np.int32)),
+                            pa.ListArray.from_arrays(cut, pa.array(small[every])), pa.ListArray.from_arrays(cut, pa.array(ends)),
+                        ],
+                        ["doc_id", "h1", "rightward", "start_char", "words", "reach"],
+                    )
+
+    return texts.mapInArrow(run, "doc_id long, h1 long, rightward boolean, start_char int, words array<int>, reach array<int>").distinct()
+
+
+#: Tells the right side of a passage from its left side in a bit map.
+RIGHT = ODD[240]
+
+
+def _runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFrame:
+    """Repeated runs round the repeated passages ``seeds``: ``doc_id, component_id, start_char, end_char``, with repeats.
+
+    ``seeds`` has ``component_id``, the least holder, and ``n``, the number of rows of each passage.
+    """
+    key = ["h1", "h2"]
+    where = F.struct("start_char", "end_char", "to_char", "back_char", "right", "left")
+    least = seeds.where("doc_id = component_id").groupBy(*key).agg(F.min(where).alias("ref"), F.max("n").alias("weight"))
+    met = join_hot(seeds.where("doc_id != component_id"), least, key, "weight", F.xxhash64("doc_id"))
+    met = materialize(met, "met-seeds")
+
+    def span(doc: Column, a: Column, b: Column) -> Column:
+        return F.struct(doc.alias("doc_id"), F.col("component_id"), a.alias("start_char"), b.alias("end_char"))
+
+    own, kept = F.col("doc_id"), F.col("component_id")
+    alike_right, alike_left = F.col("right") == F.col("ref.right"), F.col("left") == F.col("ref.left")
+    whole = F.explode(
+        F.array(
+            span(own, F.when(alike_left, F.col("back_char")).otherwise(F.col("start_char")), F.when(alike_right, F.col("to_char")).otherwise(F.col("end_char"))),
+            span(kept, F.when(alike_left, F.col("ref.back_char")).otherwise(F.col("ref.start_char")), F.when(alike_right, F.col("ref.to_char")).otherwise(F.col("ref.end_char"))),
+        )
+    )
+    again = seeds.where("doc_id = component_id").select("doc_id", "component_id", "start_char", "end_char")
+    spans = met.select(whole.alias("s")).select("s.*").union(again).distinct()
+    # Where a holder and the reference part before their next chosen window, the words beside this one tell where.
+    side = [*key, "rightward"]
+    row = ["doc_id", "component_id", *key, "start_char", "end_char", "ref", "weight"]
+
+    def sided(right: Column, left: Column) -> DataFrame:
+        return met.select(*row, F.explode(F.array_compact(F.array(F.when(right, F.lit(True)), F.when(left, F.lit(False))))).alias("rightward"))
+
+    hashed = F.when(F.col("rightward"), F.col("h1").bitwiseXOR(F.lit(int(RIGHT.view(np.int64))))).otherwise(F.col("h1")).alias("key")
+
+    def beside(wanted: DataFrame) -> DataFrame:
+        return materialize(_sides(docs, materialize(wanted.select("doc_id", hashed).distinct(), "parting"), window, near), "beside")
+
+    def compared(ours: DataFrame) -> DataFrame:
+        both = join_hot(ours, theirs, side, "parts", F.xxhash64("doc_id"))
+        differs = F.array_position(F.zip_with("words", "ref_words", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        n = F.when(differs == 0, F.size("words")).otherwise(differs.cast("int") - 1)
+        return materialize(both.withColumn("n", n).drop("ref_words", "parts"), "parted")
+
+    part = sided(~alike_right, ~alike_left)
+    refs = part.groupBy(*side).agg(F.min("component_id").alias("doc_id"), F.min("ref.start_char").alias("start_char"), F.max("weight").alias("parts"))
+    words = beside(part.select("doc_id", *side).union(refs.select("doc_id", *side)))
+    theirs = words.join(refs, ["doc_id", "h1", "rightward", "start_char"]).dropDuplicates(side)
+    theirs = materialize(theirs.select(*side, "parts", F.col("words").alias("ref_words"), F.col("reach").alias("ref_reach")), "references")
+    both = compared(part.join(words, ["doc_id", "h1", "rightward", "start_char"]))
+    every = both
+    # One that goes with the reference beyond the next window (there it isn't chosen) may go further with a holder that hasn't parted yet.
+    last = F.get("ref_reach", F.col("n") - 1)
+    past = both.where((F.col("n") > 0) & F.when(F.col("rightward"), last >= F.col("ref.to_char")).otherwise(last <= F.col("ref.back_char")))
+    past = past.groupBy(*side).agg(F.max("weight").alias("parts"))
+    if past.take(1):
+        others = materialize(join_hot(sided(alike_right, alike_left), past, side, "parts", F.xxhash64("doc_id")).drop("parts"), "others")
+        every = both.unionByName(compared(others.join(beside(others), ["doc_id", "h1", "rightward", "start_char"])))
+    end, ref_end = F.get("reach", F.col("n") - 1), F.get("ref_reach", F.col("n") - 1)
+    longer = F.explode(
+        F.array(
+            F.when(F.col("rightward"), span(own, F.col("start_char"), end)).otherwise(span(own, end, F.col("end_char"))),
+            F.when(F.col("rightward"), span(kept, F.col("ref.start_char"), ref_end)).otherwise(span(kept, ref_end, F.col("ref.end_char"))),
+        )
     )
+    spans = spans.union(both.where("n > 0").select(longer.alias("s")).select("s.*").distinct())
+    return spans.union(_surplus(every))
+
+
+def _surplus(parted: DataFrame) -> DataFrame:
+    """What holders that part from the reference after ``n`` words share with each other beyond: it stays in the least of them."""
+    side = ["h1", "h2", "rightward"]
+    row = [*side, "doc_id", "start_char", "end_char", "words", "reach", "n"]
+    more = parted.where(F.size("words") > F.col("n")).select(*row, F.xxhash64(F.slice("words", F.lit(1), F.col("n") + 1)).alias("ahead"))
+    several = more.groupBy(*side, "ahead").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
+    several = several.where("first != last").drop("first", "last")
+    on = join_hot(more, several, [*side, "ahead"], "parts", F.xxhash64("doc_id"))
+    each = on.select(*row, F.explode(F.sequence(F.col("n") + 1, F.size("words"))).alias("e"))
+    each = each.select(*side, "doc_id", "start_char", "end_char", "e", F.xxhash64(F.slice("words", F.lit(1), F.col("e"))).alias("h"), F.get("reach", F.col("e") - 1).alias("at"))
+    each = materialize(each, "surplus")
+    held = each.groupBy(*side, "e", "h").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
+    met = join_hot(each, held.where("component_id != last"), [*side, "e", "h"], "parts", F.xxhash64("doc_id"))
+    far = met.groupBy("doc_id", *side, "start_char", "end_char").agg(F.max(F.struct("e", "component_id", "at")).alias("m"))
+    start = F.when(F.col("rightward"), F.col("start_char")).otherwise(F.col("m.at"))
+    stop = F.when(F.col("rightward"), F.col("m.at")).otherwise(F.col("end_char"))
+    return far.select("doc_id", "m.component_id", start.alias("start_char"), stop.alias("end_char"))
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -350,64 +475,68 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, cols: np.n
     return out
 
 
-def _bit_map(values: DataFrame):
-    """A broadcast bit map of the top bits of a column of hashes: 2^26 bits, whatever the number of rows."""
-    top = values.toDF("v").select(F.shiftrightunsigned("v", 64 - MAP_BITS).alias("t"))
-    words = top.select(F.expr("cast(t >> 6 as int) AS w"), F.expr("shiftleft(1L, cast(t & 63 as int)) AS b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    found = words.toArrow()  # 2^20 rows at most
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
-    return values.sparkSession.sparkContext.broadcast(bits.view(U))
-
-
-def in_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which of ``values`` may be in the bit map."""
-    t = values >> U(64 - MAP_BITS)
-    return (bits[(t >> U(6)).astype(np.int64)] >> (t & U(63))) & U(1) != 0
-
-
-def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """Rows whose ``column`` may be among ``values``; none that is gets lost."""
-    sent = _bit_map(values)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            yield batch.filter(pa.array(in_map(bits, batch.column(column).to_numpy(zero_copy_only=False).view(U))))
-
-    return df.mapInArrow(run, df.schema)
-
+def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE, sets_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``h1, bands`` (lines, with repeats) -> edges ``a, b`` whose components are those of all links.
 
-def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE) -> DataFrame:
-    """``h1, bands, shingles`` (lines, with repeats) -> edges ``a, b`` whose components are those of all links."""
+    ``sets_of`` makes ``h1, shingles`` for a column of lines that collided; without it ``lines`` has the shingles.
+    """
     banded = lines.select("h1", F.explode("bands").alias("key"))
-    ends = banded.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    small = F.hash("h1")  # is a key's line always the same one? 32 bits say so
+    ends = banded.groupBy("key").agg(F.min(small).alias("lo"), F.max(small).alias("hi"))
     shared = materialize(ends.where("lo != hi").select("key"), "bands")
-    met = materialize(_maybe_in(banded, "key", shared.select("key")).join(shared, "key").distinct(), "members")
+    # Copies of a line leave each task once; so many of them weigh no more than one.
+    met = maybe_in(banded, "key", shared).distinct().join(shared, "key")
+    met = materialize(met, "members")
     sizes = met.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.sum(F.xxhash64("h1", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.sum(F.xxhash64("h1", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("h1").alias("leader")
     )
     # Bands that gather the same lines are one bucket.
-    buckets = sizes.groupBy("n", "x", "s").agg(F.min("key").alias("key"))
-    buckets = buckets.select("key", F.ceil(F.col("n") / tile).cast("int").alias("parts"))
-    members = met.join(buckets, "key")
-    sets = _maybe_in(lines.select("h1", "shingles"), "h1", met.select("h1")).groupBy("h1").agg(F.first("shingles").alias("shingles"))
-    part = F.pmod(F.xxhash64("h1", F.lit(2)), "parts").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    # Tile (i, j), i <= j, holds the rows of part i and the columns of part j.
-    sides = members.withColumn("own", part).withColumn("other", other).select(
-        "key", "h1", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"
-    )
-    tiles = materialize(sides.join(sets, "h1"), "tiles")
+    buckets = sizes.groupBy("n", "x", "s").agg(F.min("key").alias("key"), F.min("leader").alias("leader")).drop("x", "s")
+    ids = met.select("h1").distinct()
+    sets = sets_of(ids) if sets_of else maybe_in(lines.select("h1", "shingles"), "h1", ids).dropDuplicates(["h1"])
+    members = join_hot(met, buckets, ["key"], "n", F.xxhash64("h1")).join(sets, "h1")
+    members = materialize(members.select("key", "h1", "leader", "shingles"), "sets")
+    held = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("m"))
+    large = materialize(held.where((F.col("n") > tile) | (F.col("m") > 2 * TILE_SHINGLES)), "large")
+    one = members.join(held.where((F.col("n") <= tile) & (F.col("m") <= 2 * TILE_SHINGLES)).select("key"), "key")
+    zero = F.lit(0)
+    tiles = one.select("key", zero.alias("i"), zero.alias("j"), "h1", F.lit(True).alias("row"), F.lit(True).alias("col"), "shingles")
+    star = None
+    if large.take(1):
+        crowd = materialize(join_hot(members, large, ["key"], "n", F.xxhash64("h1")), "crowd")
+        lead = crowd.where("h1 = leader").select("key", "n", F.col("shingles").alias("lead"))
+        judged = join_hot(crowd.drop("n", "m"), lead, ["key"], "n", F.xxhash64("h1"))
+        common = F.size(F.array_intersect("shingles", "lead"))
+        alike = common >= jaccard * (F.size("shingles") + F.size("lead") - common)
+        judged = materialize(judged.select("key", "h1", "leader", "shingles", alike.alias("alike")), "judged")
+        star = judged.where("alike and h1 != leader").select(F.col("leader").alias("a"), F.col("h1").alias("b"))
+        # Those unlike the leader meet the whole bucket: as rows of tiles whose columns are all members.
+        odd = judged.where("not alike")
+        counts = odd.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.sum(F.size("shingles")).alias("rm")).join(large, "key")
+
+        def parts(n: str, m: str) -> Column:
+            return F.ceil(F.greatest(F.col(n) / tile, F.col(m) / TILE_SHINGLES)).cast("int")
+
+        counts = materialize(counts.select("key", "n", "r", parts("r", "rm").alias("rows"), parts("n", "m").alias("cols")), "counts")
+        mark = F.xxhash64("h1", F.lit(2))
+
+        def dealt(df: DataFrame, weight: str, row: bool) -> DataFrame:
+            at = join_hot(df.select("key", "h1", "shingles"), counts.select("key", weight, "rows", "cols"), ["key"], weight, F.xxhash64("h1"))
+            own, other = ("rows", "cols") if row else ("cols", "rows")
+            mine, every = F.pmod(mark, own).cast("int"), F.explode(F.sequence(zero, F.col(other) - 1))
+            at = at.withColumns({"mine": mine, "every": every})
+            i, j = ("mine", "every") if row else ("every", "mine")
+            return at.select("key", F.col(i).alias("i"), F.col(j).alias("j"), "h1", F.lit(row).alias("row"), F.lit(not row).alias("col"), "shingles")
+
+        tiles = tiles.union(dealt(odd, "r", True)).union(dealt(judged, "n", False))
     keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(g: pd.DataFrame) -> list[tuple[int, int]]:
             g = g.sort_values("h1", kind="stable")
-            sets = [np.asarray(s).view(np.uint32) if isinstance(s, np.ndarray) else np.array(s, np.int32).view(np.uint32) for s in g["shingles"]]
-            own = g["own"].to_numpy()
-            rows, cols = np.flatnonzero(own == g["i"].iloc[0]), np.flatnonzero(own == g["j"].iloc[0])
-            return forest(g["h1"].to_numpy(), sets, rows, cols, jaccard)
+            sets = [np.asarray(s, np.int32).view(np.uint32) for s in g["shingles"]]
+            rows, cols = np.flatnonzero(g["row"].to_numpy(bool)), np.flatnonzero(g["col"].to_numpy(bool))
+            return forest(g["h1"].to_numpy(), sets, rows, cols, jaccard) if len(rows) and len(cols) else []
 
         rest = None
         for batch in batches:
@@ -420,40 +549,57 @@ def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE) ->
         if rest is not None:
             yield pd.DataFrame(solve(rest) if len(rest) > 1 else [], columns=["a", "b"], dtype="int64")
 
-    out = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
-    out._riskloom_parts = [shared, met, tiles]  # type: ignore[attr-defined]
+    found = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
+    return found if star is None else found.union(star)
+
+
+def _line_classes(docs: DataFrame, spans: DataFrame, least: int, jaccard: float) -> DataFrame:
+    """Lines in classes of near copies held by two documents or more: ``h1, component_id, n`` (rows that have them)."""
+    lines = spans.where("line")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        held = maybe_in(lines.select("h1", "doc_id"), "h1", ids).groupBy("h1").agg(F.min("doc_id").alias("doc_id"))
+        return materialize(_sets_of(docs, materialize(held, "holders"), least), "shingles")
+
+    with scratch() as made:
+        roots = components(line_links(lines.select("h1", "bands"), jaccard, sets_of=sets_of)).withColumnRenamed("node", "h1")
+        roots = materialize(roots, "line-roots")
+        held = maybe_in(lines.select("h1", "doc_id"), "h1", roots.select("h1"))
+        held = held.groupBy("h1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).join(roots, "h1")
+        held = materialize(held, "line-holders")
+        classes = held.groupBy("root").agg(F.min("first").alias("component_id"), F.max("last").alias("most"), F.count(F.lit(1)).alias("members"))
+        alike = join_hot(held, classes.where("component_id != most"), ["root"], "members", F.xxhash64("h1"))
+        out = materialize(alike.select("h1", "component_id", "n"), "line-classes")
+        discard_all(made, out)
     return out
 
 
 def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int = NEAR, jaccard: float = JACCARD) -> DataFrame:
     """Spans that repeat across documents: ``doc_id, component_id, start_char, end_char, removed``."""
-    found = materialize(_paragraphs(docs, least, window, near), "paragraphs")
-    spans = found.select("doc_id", "line", "start_char", "end_char", "h1", "h2")
-    # Equal paragraphs: one row each, combined before the shuffle.
-    equal = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
-    equal = materialize(equal.select("h1", "h2", F.col("least").alias("component_id")), "equal")
-    links = line_links(found.where("line").select("h1", "bands", "shingles"), jaccard)
-    roots = materialize(components(links), "line-roots")
-    for part in links._riskloom_parts:  # type: ignore[attr-defined]
-        discard(part)
-    roots = roots.withColumnRenamed("node", "h1")
-    nodes = _maybe_in(spans.where("line").select("h1", "doc_id"), "h1", roots.select("h1")).join(roots, "h1")
-    classes = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most")).where("component_id != most")
-    alike = classes.join(roots, "root").select("h1", F.lit(None).cast("int").alias("c2"), "component_id")
-    same = equal.join(alike.select("h1"), "h1", "left_anti").select("h1", F.col("h2").alias("c2"), "component_id")
-    repeated = materialize(alike.union(same), "classes")
-    hit = _maybe_in(spans, "h1", repeated.select("h1")).join(repeated, "h1").where("c2 is null or c2 = h2")
-    # Passages are seeds: the runs round them, looked up likewise, reach to the ends of what is repeated. What a
-    # longer run adds stays in the least document that holds the longer run.
-    longer = materialize(_longer_runs(docs, equal.select("h1"), window, near), "runs")
-    kept = longer.groupBy("h1", "h2").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"))
-    kept = materialize(kept.where("component_id != most").drop("most"), "kept-runs")
-    part = ["doc_id", "component_id", "start_char", "end_char"]
-    hit = hit.select(part).union(_maybe_in(longer, "h1", kept.select("h1")).join(kept, ["h1", "h2"]).select(part))
-    # Overlapping and touching paragraphs of one component become one span.
-    order = Window.partitionBy("doc_id", "component_id").orderBy("start_char", "end_char")
-    reach = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = hit.withColumn("fresh", F.coalesce(F.col("start_char") > reach + 1, F.lit(True)).cast("int"))
-    runs = runs.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc_id", "component_id", "run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
-    return merged.select("doc_id", "component_id", "start_char", "end_char", (F.col("doc_id") != F.col("component_id")).alias("removed"))
+    with scratch() as made:
+        found = materialize(_paragraphs(docs, least, window, near, sets=False).drop("shingles"), "paragraphs")
+        # Equal paragraphs: one row each, combined before the shuffle.
+        equal = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
+        equal = materialize(equal.where("component_id != most").drop("most"), "equal")
+        alike = _line_classes(docs, found, least, jaccard)
+        part = ["doc_id", "component_id", "start_char", "end_char"]
+        lines = found.where("line").select("doc_id", "start_char", "end_char", "h1")
+        near_hits = join_hot(maybe_in(lines, "h1", alike.select("h1")), alike, ["h1"], "n", F.xxhash64("doc_id")).select(part)
+        # A line in a class of near copies has that class; other paragraphs have the one of their equals.
+        held = join_hot(
+            maybe_in(found.drop("bands"), "h1", equal.select("h1")), equal, ["h1", "h2"], "n", F.xxhash64("doc_id")
+        )
+        held = materialize(held, "held")
+        short = held.where(f"kind = {SHORT}").select(part)
+        same = held.where("line").select(*part, "h1").join(alike.select("h1"), "h1", "left_anti").select(part)
+        runs = _runs(docs, held.where(f"kind = {PASSAGE}"), window, near)
+        hit = near_hits.union(short).union(same).union(runs.select(part)).distinct()
+        # Overlapping and touching paragraphs of one component become one span.
+        order = Window.partitionBy("doc_id", "component_id").orderBy("start_char", "end_char")
+        reach = F.max("end_char").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        joined = hit.withColumn("fresh", F.coalesce(F.col("start_char") > reach + 1, F.lit(True)).cast("int"))
+        joined = joined.withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        merged = joined.groupBy("doc_id", "component_id", "run").agg(F.min("start_char").alias("start_char"), F.max("end_char").alias("end_char"))
+        out = materialize(merged.drop("run"), "spans")
+        discard_all(made, out)
+    return out.select("doc_id", "component_id", "start_char", "end_char", (F.col("doc_id") != F.col("component_id")).alias("removed"))
