@@ -113,11 +113,11 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) ->
 
 # -- filters and joins that hold up under hot keys -----------------------------------------------------
 
-MAP_BITS, BITS_A_VALUE = 28, 16
+MAP_BITS, BITS_A_VALUE = 28, 64
 
 
 def bit_map(values: DataFrame):
-    """A broadcast bit map of one column of 64-bit hashes: 16 bits a value, 2^28 bits (32 MB) at most.
+    """A broadcast bit map of one column of 64-bit hashes: 64 bits a value, 2^28 bits (32 MB) at most.
 
     It has every value; how many others it lets through grows once it is full, what it loses never does.
     """

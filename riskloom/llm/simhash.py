@@ -115,7 +115,8 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Edges (``a, b``) between distinct fingerprints whose components are those of all links."""
     emitted = _emit(fps, radius)
     homes = emitted.where("home").groupBy("half", "variant").count().withColumnRenamed("count", "homes")
-    met = materialize(emitted.join(homes, ["half", "variant"]), "balls")
+    # Spark's size estimates don't see that each row became 66: without the hint it may broadcast them.
+    met = materialize(emitted.join(homes.hint("merge"), ["half", "variant"]), "balls")
     sizes = met.groupBy("half", "variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = met.join(sizes, ["half", "variant"]).withColumns(
         {"rows": F.ceil(F.col("homes") / tile).cast("int"), "cols": F.ceil(F.col("n") / tile).cast("int")}

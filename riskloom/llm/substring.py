@@ -12,10 +12,11 @@ paragraph are compared:
   reference, and every other holder is followed word by word to both ends of what it shares with that one.
   Where both go on alike up to the next chosen window a hash of the words between says so; only where they
   part are the words beside the window compared, and holders that part from the reference at the same word
-  are looked up among each other, so a run is followed to its ends whichever two documents share it.
+  are looked up among each other, so a run is followed to its ends whichever two documents share it. (Of several
+  places in one document where a passage goes on alike the first is followed; the others show the passage itself.)
 
 Equal paragraphs collapse before they are banded: all that leaves a task of a line's copies is one row a
-band. What turned out to repeat is then looked up in the rest; a bit map of 16 bits for each value, up to
+band. What turned out to repeat is then looked up in the rest; a bit map of 64 bits for each value, up to
 32 MB, first drops the rows that can't be among it, so few shuffle twice. (A full map drops none, and loses
 none.) Shingle sets are made in a second reading, for one holder of each line that collided, and never
 shuffle for the others. A band's bucket never emits its pairs: all members are compared with its least line,
@@ -328,13 +329,18 @@ def _sides(docs: DataFrame, wanted: DataFrame, window: int, near: int) -> DataFr
                 ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False))
                 w = Words(part.column("text").cast(pa.large_binary()).to_pylist())
                 at, one, _ = passages(w, window, near)
+                _, _, *ways = neighbours(w, at, window)
                 small = (w.hash >> U(32)).astype(np.uint32).view(np.int32)
                 own = _at_hash(part)[w.text[at]]
-                for side in (True, False):
-                    got = in_map(pairs.value, one ^ own ^ RIGHT if side else one ^ own)
-                    here, h = at[got], one[got]
-                    if not len(here):
+                for side, way in zip((True, False), ways, strict=True):
+                    way = (way >> U(32)) << U(16)
+                    got = np.flatnonzero(in_map(pairs.value, one ^ own ^ way ^ (RIGHT if side else U(0))))
+                    if not len(got):
                         continue
+                    # Of the places in a text where a passage goes on alike, the first.
+                    _, first = np.unique(np.stack([w.text[at[got]].astype(U), one[got], way[got]], 1), axis=0, return_index=True)
+                    got = got[np.sort(first)]
+                    here, h = at[got], one[got]
                     text = w.text[here]
                     first = here + window if side else np.maximum(here - near, np.searchsorted(w.text, text, "left"))
                     last = np.minimum(here + window + near, np.searchsorted(w.text, text, "right")) if side else here
@@ -388,9 +394,14 @@ def _runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFram
     row = ["doc_id", "component_id", *key, "start_char", "end_char", "ref", "weight"]
 
     def sided(right: Column, left: Column) -> DataFrame:
-        return met.select(*row, F.explode(F.array_compact(F.array(F.when(right, F.lit(True)), F.when(left, F.lit(False))))).alias("rightward"))
+        """Holders by side; of a document's places where the passage goes on alike (``way``) the first."""
+        each = met.select(*row, "right", "left", F.explode(F.array_compact(F.array(F.when(right, F.lit(True)), F.when(left, F.lit(False))))).alias("rightward"))
+        each = each.withColumn("way", F.when(F.col("rightward"), F.col("right")).otherwise(F.col("left")))
+        first = each.groupBy("doc_id", "component_id", *side, "way", "ref").agg(*[F.min(c).alias(c) for c in ("start_char", "end_char")], F.max("weight").alias("weight"))
+        return materialize(first, "sides")
 
-    hashed = F.when(F.col("rightward"), F.col("h1").bitwiseXOR(F.lit(int(RIGHT.view(np.int64))))).otherwise(F.col("h1")).alias("key")
+    way = F.shiftleft(F.col("way").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), 16)
+    hashed = F.when(F.col("rightward"), F.col("h1").bitwiseXOR(F.lit(int(RIGHT.view(np.int64))))).otherwise(F.col("h1")).bitwiseXOR(way).alias("key")
 
     def beside(wanted: DataFrame) -> DataFrame:
         return materialize(_sides(docs, materialize(wanted.select("doc_id", hashed).distinct(), "parting"), window, near), "beside")
@@ -402,9 +413,10 @@ def _runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFram
         return materialize(both.withColumn("n", n).drop("ref_words", "parts"), "parted")
 
     part = sided(~alike_right, ~alike_left)
-    refs = part.groupBy(*side).agg(F.min("component_id").alias("doc_id"), F.min("ref.start_char").alias("start_char"), F.max("weight").alias("parts"))
-    words = beside(part.select("doc_id", *side).union(refs.select("doc_id", *side)))
-    theirs = words.join(refs, ["doc_id", "h1", "rightward", "start_char"]).dropDuplicates(side)
+    ref_way = F.when(F.col("rightward"), F.col("ref.right")).otherwise(F.col("ref.left"))
+    refs = part.groupBy(*side).agg(F.min("component_id").alias("doc_id"), F.min("ref.start_char").alias("start_char"), F.min(ref_way).alias("way"), F.max("weight").alias("parts"))
+    words = beside(part.select("doc_id", *side, "way").union(refs.select("doc_id", *side, "way")))
+    theirs = words.join(refs.drop("way"), ["doc_id", "h1", "rightward", "start_char"]).dropDuplicates(side)
     theirs = materialize(theirs.select(*side, "parts", F.col("words").alias("ref_words"), F.col("reach").alias("ref_reach")), "references")
     both = compared(part.join(words, ["doc_id", "h1", "rightward", "start_char"]))
     every = both
@@ -432,14 +444,29 @@ def _surplus(parted: DataFrame) -> DataFrame:
     row = [*side, "doc_id", "start_char", "end_char", "words", "reach", "n"]
     more = parted.where(F.size("words") > F.col("n")).select(*row, F.xxhash64(F.slice("words", F.lit(1), F.col("n") + 1)).alias("ahead"))
     several = more.groupBy(*side, "ahead").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
-    several = several.where("first != last").drop("first", "last")
-    on = join_hot(more, several, [*side, "ahead"], "parts", F.xxhash64("doc_id"))
-    each = on.select(*row, F.explode(F.sequence(F.col("n") + 1, F.size("words"))).alias("e"))
+    several = materialize(several.where("first != last").drop("first", "last"), "several")
+    on = join_hot(maybe_in(more, "ahead", several.select("ahead")), several, [*side, "ahead"], "parts", F.xxhash64("doc_id")).drop("ahead", "parts")
+    # Most go on alike past all the words at hand: those are looked up at that length, only the others at every length.
+    full = materialize(on.withColumn("h", F.xxhash64("words")), "full")
+    alike = full.groupBy(*side, "h").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
+    alike = materialize(alike.where("component_id != last").drop("last"), "alike")
+    at_end = F.struct(F.size("words").alias("e"), "component_id", F.element_at("reach", -1).alias("at")).alias("m")
+    to_end = join_hot(maybe_in(full, "h", alike.select("h")), alike, [*side, "h"], "parts", F.xxhash64("doc_id"))
+    to_end = to_end.select("doc_id", *side, "start_char", "end_char", at_end)
+    rest = full.join(alike, [*side, "h"], "left_anti")
+    each = rest.select(*row, F.explode(F.sequence(F.col("n") + 1, F.size("words"))).alias("e"))
     each = each.select(*side, "doc_id", "start_char", "end_char", "e", F.xxhash64(F.slice("words", F.lit(1), F.col("e"))).alias("h"), F.get("reach", F.col("e") - 1).alias("at"))
     each = materialize(each, "surplus")
-    held = each.groupBy(*side, "e", "h").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
-    met = join_hot(each, held.where("component_id != last"), [*side, "e", "h"], "parts", F.xxhash64("doc_id"))
-    far = met.groupBy("doc_id", *side, "start_char", "end_char").agg(F.max(F.struct("e", "component_id", "at")).alias("m"))
+    # The others' prefixes count as well: of each full length, one row of the least and of the last holder stand for all.
+    ends = alike.select(*side, "h", "component_id")
+    ends = full.select(*side, "h", "n", "words").dropDuplicates([*side, "h"]).join(ends, [*side, "h"])
+    ends = ends.select(*side, "component_id", F.explode(F.sequence(F.col("n") + 1, F.size("words"))).alias("e"), "words")
+    ends = ends.select(*side, F.xxhash64(F.slice("words", F.lit(1), F.col("e"))).alias("h"), "e", F.col("component_id").alias("doc_id"))
+    known = each.select(*side, "h", "e", "doc_id").union(ends)
+    held = known.groupBy(*side, "e", "h").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
+    held = materialize(held.where("component_id != last").drop("last"), "shared-surplus")
+    met = join_hot(maybe_in(each, "h", held.select("h")), held, [*side, "e", "h"], "parts", F.xxhash64("doc_id"))
+    far = met.groupBy("doc_id", *side, "start_char", "end_char").agg(F.max(F.struct("e", "component_id", "at")).alias("m")).union(to_end)
     start = F.when(F.col("rightward"), F.col("start_char")).otherwise(F.col("m.at"))
     stop = F.when(F.col("rightward"), F.col("m.at")).otherwise(F.col("end_char"))
     return far.select("doc_id", "m.component_id", start.alias("start_char"), stop.alias("end_char"))
