@@ -1,8 +1,8 @@
 """Rule packs and the regular-expression dialect they are written in.
 
 Patterns are in RE2 syntax and semantics; :func:`to_java` turns them into java.util.regex patterns that
-match the same strings. A rule may name literals of which one must occur, folded, wherever it
-matches: a cheap substring test that spares the regular expression on most texts.
+match the same strings. A rule may name groups of literals; of each group one must occur, folded, wherever it
+matches: cheap substring tests that spare the regular expression on most texts.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ class Rule:
     severity: str
     confidence: float
     pattern: str
-    #: One of these must occur in the folded text; empty: no such test.
-    needs: tuple[str, ...] = ()
+    #: Of each group one literal must occur in the folded text; empty: no such test.
+    needs: tuple[tuple[str, ...], ...] = ()
+    #: Digits in a row that every match holds.
+    digits: int = 0
 
     @property
     def has_span(self) -> bool:
@@ -107,30 +109,41 @@ _MALWARE = [
     ("MAL09", "PASSWORD_CRACK", "Password cracking tool request", "high", r"(?i)\b(crack|brute\s*force|hash\s*cat|john\s+the\s+ripper)\b.{0,20}\b(password|credential|hash)"),
 ]
 
-#: Literals one of which every match holds, in folded form (lower case, long s as s); own choice, checked by tests.
-_NEEDS = {
-    "INJ01": ("ignore",), "INJ02": ("disregard",), "INJ03": ("prompt", "instruction"),
-    "INJ04": ("unrestricted", "unfiltered", "jailbroken", "dan"), "INJ05": ("pretend",), "INJ06": ("now",), "INJ07": ("forget",),
-    "INJ08": ("mode",), "INJ09": ("developer",), "INJ10": ("system",), "INJ11": ("```",),
-    "INJ12": ("instruction", "prompt", "rules", "guidelines"), "INJ13": ("repeat",), "PII01": ("ssn", "social"),
-    "PII07": ("passport", "license", "licence"), "PII10": ("email",), "OPS01": ("rm",), "OPS02": ("-rf",), "OPS03": ("mkfs",),
-    "OPS04": ("of=/dev/",), "OPS05": ("drop",), "OPS06": ("truncate",), "OPS07": ("delete",), "OPS08": ("chmod",), "OPS09": ("chmod",),
-    "OPS10": ("chown",), "OPS11": ("kill",), "OPS12": ("killall",), "OPS13": ("shutdown", "reboot", "halt"), "OPS14": ("iptables",),
-    "OPS15": ("ufw",), "OPS16": ("setenforce",), "OPS17": ("reg",), "OPS18": ("format",),
-    "EXF01": ("dump", "export", "extract", "download"), "EXF02": ("all", "every"), "EXF03": ("dump",), "EXF04": ("select",),
-    "EXF05": ("csv", "spreadsheet", "report"), "EXF06": ("scrape", "crawl", "harvest"), "MAL01": ("logger",),
-    "MAL02": ("phishing", "login", "harvester"), "MAL03": ("ransom", "crypto"),
-    "MAL04": ("virus", "worm", "trojan", "malware", "spyware", "rootkit"), "MAL05": ("reverse",), "MAL06": ("overflow", "spray", "free"),
-    "MAL07": ("injection", "xss", "site"), "MAL08": ("ddos",), "MAL09": ("crack", "force", "cat", "ripper"),
+#: Groups of literals, of each of which every match holds one, in folded form (lower case, long s as s), the rarest first;
+#: a group is a blank-separated text. Own choice, checked by tests.
+_MAKE, _ALL, _PEOPLE = "write create build make generate", "all every", "user customer employee patient"
+_NEEDS: dict[str, tuple[str, ...]] = {
+    "INJ01": ("ignore", "previous prior above", "instruction prompt rule"), "INJ02": ("disregard", "previous prior above your", "instruction guideline rule"),
+    "INJ03": ("prompt instruction", "system original hidden", "reveal show display print output"), "INJ04": ("unrestricted unfiltered jailbroken dan", "act", "as like"),
+    "INJ05": ("pretend", "rules restrictions unlimited"), "INJ06": ("free unrestricted evil unfiltered", "now", "you"),
+    "INJ07": ("forget", "everything all rules training instructions"), "INJ08": ("sudo admin root", "mode"), "INJ09": ("developer", "mode"),
+    "INJ10": ("system", "[ < ##"), "INJ11": ("```", "system instruction prompt"), "INJ12": ("instruction prompt rules guidelines", "print output echo display"),
+    "INJ13": ("repeat", "above previous system", "text message prompt instructions"), "PII01": ("ssn social",), "PII07": ("passport license licence", "number no # num"),
+    "PII10": ("email", "@", "my personal private"), "OPS01": ("rm", "-rf -f", "/"), "OPS02": ("-rf", "rm"), "OPS03": ("mkfs",), "OPS04": ("of=/dev/", "if="),
+    "OPS05": ("drop", "database table schema"), "OPS06": ("truncate", "table"), "OPS07": ("delete", "where", "from"), "OPS08": ("chmod", "777"), "OPS09": ("chmod", "777"),
+    "OPS10": ("chown", "root"), "OPS11": ("kill", "-9"), "OPS12": ("killall",), "OPS13": ("shutdown reboot halt",), "OPS14": ("iptables",),
+    "OPS15": ("ufw", "disable"), "OPS16": ("setenforce",), "OPS17": ("delete", "reg"), "OPS18": ("format", ":"),
+    "EXF01": ("dump export extract download", _ALL + " entire", "customer user employee patient record data"),
+    "EXF02": ("password email ssn salary address phone", _PEOPLE, _ALL, "list show give send"), "EXF03": ("mysqldump pg_dump mongodump",),
+    "EXF04": ("select", "*", "from"), "EXF05": ("csv spreadsheet report", _ALL, "of with containing"), "EXF06": ("scrape crawl harvest", _ALL + " entire"),
+    "MAL01": ("logger", "key", _MAKE + " code"), "MAL02": ("phishing login harvester", _MAKE), "MAL03": ("ransom crypto", _MAKE),
+    "MAL04": ("virus worm trojan malware spyware rootkit", _MAKE), "MAL05": ("reverse", "shell"), "MAL06": ("exploit attack payload", "overflow spray free"),
+    "MAL07": ("injection xss site", "attack payload exploit script"), "MAL08": ("ddos",), "MAL09": ("password credential hash", "crack force cat ripper"),
 }
+#: Digits in a row that every match of a rule holds.
+_DIGITS = {"PII01": 4, "PII02": 4, "PII03": 13, "PII04": 16, "PII05": 15, "PII06": 4, "PII08": 6, "PII09": 4}
+
+
+def _needs(rule_id: str) -> tuple[tuple[str, ...], ...]:
+    return tuple(tuple(group.split()) for group in _NEEDS.get(rule_id, ()))
 
 
 def _pack(category: str, confidence: float, rows: list[tuple[str, str, str, str, str]]) -> list[Rule]:
-    return [Rule(i, category, t, d, s, confidence, p, _NEEDS.get(i, ())) for i, t, d, s, p in rows]
+    return [Rule(i, category, t, d, s, confidence, p, _needs(i), _DIGITS.get(i, 0)) for i, t, d, s, p in rows]
 
 
 INJECTION_PACK = [
-    Rule(i, INJECTION, "INJECTION_PATTERN", d, s, c, p, _NEEDS.get(i, ())) for i, d, s, c, p in _INJECTION
+    Rule(i, INJECTION, "INJECTION_PATTERN", d, s, c, p, _needs(i)) for i, d, s, c, p in _INJECTION
 ]
 PII_PACK = _pack(PII, PII_CONFIDENCE, _PII)
 RISKY_PACK = _pack(RISKY, RISKY_CONFIDENCE, _RISKY)
@@ -142,7 +155,7 @@ VISIBLE_RULES: list[Rule] = INJECTION_PACK + PII_PACK + RISKY_PACK + EXFIL_PACK
 
 #: An optional pack of our own: common credential shapes. It claims no parity with any other engine's rules.
 SECRETS_PACK: list[Rule] = [
-    Rule(i, SECRETS, t, d, "critical", 0.95, p, n)
+    Rule(i, SECRETS, t, d, "critical", 0.95, p, (n,))
     for i, t, d, p, n in [
         ("SEC01", "PROVIDER_KEY", "Provider API key detected", r"\bsk-[A-Za-z0-9_-]{16,}", ("sk-",)),
         ("SEC02", "AWS_ACCESS_KEY", "AWS access key id detected", r"\bAKIA[A-Z0-9]{16}\b", ("akia",)),

@@ -29,45 +29,84 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _fires(rule: Rule) -> str:
-    hit = f"_text RLIKE {_text(to_java(rule.pattern))}"
-    needed = " OR ".join(f"contains(_folded, {_text(n)})" for n in rule.needs)
-    return f"({needed}) AND {hit}" if needed else hit
+def _fires(rule: Rule, names: tuple[str, str, str]) -> str:
+    plain, low, runs = names
+    tests = [f"{runs} >= {rule.digits}"] if rule.digits else []
+    tests += ["(" + " OR ".join(f"contains({low}, {_text(n)})" for n in group) + ")" for group in rule.needs]
+    return " AND ".join([*tests, f"{plain} RLIKE {_text(to_java(rule.pattern))}"])
 
 
-def _first_span(rule: Rule) -> str:
+def _first_span(rule: Rule, plain: str) -> str:
     """Byte offsets of the first match: the length of what is lazily before it, and its own."""
     pattern = to_java(rule.pattern)
     flags, body = pattern.split(")", 1)
-    start = f"octet_length(regexp_extract(_text, {_text(f'{flags})(?s:^(.*?))(?:{body})')}, 1))"
-    return f"named_struct('start', {start}, 'end', {start} + octet_length(regexp_substr(_text, {_text(pattern)})))"
+    start = f"octet_length(regexp_extract({plain}, {_text(f'{flags})(?s:^(.*?))(?:{body})')}, 1))"
+    return f"named_struct('start', {start}, 'end', {start} + octet_length(regexp_substr({plain}, {_text(pattern)})))"
 
 
-def _finding(rule: Rule) -> str:
-    location = _first_span(rule) if rule.has_span else f"CAST(NULL AS {LOCATION})"
+def _finding(rule: Rule, plain: str) -> str:
+    location = _first_span(rule, plain) if rule.has_span else f"CAST(NULL AS {LOCATION})"
     fields = [("category", rule.category), ("type", rule.type), ("detail", rule.detail)]
     named = ", ".join(f"'{k}', {_text(v)}" for k, v in fields)
     return f"named_struct({named}, 'confidence', {rule.confidence}D, 'severity', {_text(rule.severity)}, 'location', {location})"
 
 
-def _each(df: DataFrame, content: str, cases: list[str], kind: str, name: str) -> DataFrame:
-    """Adds array ``name`` of the cases that hold. One SQL text: a pack is a single expression to build and parse."""
+#: The longest runs of digits that rules ask for, and a pattern for each.
+RUNS = sorted({r.digits for r in VISIBLE_RULES if r.digits})
+
+
+def _longest_run(text: Column) -> Column:
+    """The greatest of ``RUNS`` that some run of digits in the text reaches, 0 if none: a text without digits is read once."""
+    longest = F.lit(0)
+    for n in RUNS:  # a longer run holds every shorter one, so the first test that fails ends it
+        longest = F.when(text.rlike(f"[0-9]{{{n}}}"), F.greatest(longest, F.lit(n))).otherwise(longest)
+    return F.when(text.rlike(f"[0-9]{{{RUNS[0]}}}"), longest).otherwise(F.lit(0))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over the cores where a scan gives few partitions, as one file of one row group does.
+
+    A scan with at least half as many partitions as there are cores stays as it is, and so does whatever has been
+    shuffled, or streams: large inputs are never moved for this.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in plan.executedPlan().nodeName() or plan.toRdd().getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores)
+
+
+def _each(df: DataFrame, content: str, rules: list[Rule], made, kind: str, name: str) -> DataFrame:
+    """Adds array ``name`` of what ``made(rule, text)`` is for the rules that fire. One SQL text: a pack is a single expression to build and parse."""
+    names = tuple(_unused(df, n) for n in ("_text", "_folded", "_digits"))
     text = F.coalesce(F.col(content), F.lit(""))
-    made = f"filter(array({', '.join(cases)}), f -> f IS NOT NULL)" if cases else f"CAST(array() AS array<{kind}>)"
-    ready = df.withColumns({"_text": text, "_folded": folded(text)})
-    return ready.withColumn(name, F.expr(made)).drop("_text", "_folded")
+    ready = df.withColumn(names[0], text)
+    runs = _longest_run(F.col(names[0])) if any(r.digits for r in rules) else F.lit(0)
+    ready = ready.withColumns({names[1]: folded(F.col(names[0])), names[2]: runs})
+    cases = [f"CASE WHEN {_fires(r, names)} THEN {made(r, names[0])} END" for r in rules]
+    found = f"filter(array({', '.join(cases)}), f -> f IS NOT NULL)" if cases else f"CAST(array() AS array<{kind}>)"
+    return ready.withColumn(name, F.expr(found)).drop(*names)
 
 
 def detect(df: DataFrame, rules: list[Rule] | None = None, content: str = "content") -> DataFrame:
     """Adds ``findings``. Null content is empty content."""
-    cases = [f"CASE WHEN {_fires(r)} THEN {_finding(r)} END" for r in (VISIBLE_RULES if rules is None else rules)]
-    return _each(df, content, cases, FINDING, "findings")
+    return _each(df, content, VISIBLE_RULES if rules is None else rules, _finding, FINDING, "findings")
 
 
 def rule_hits(df: DataFrame, rules: list[Rule], key: str, content: str = "content") -> DataFrame:
     """``key, rule_id`` for every rule that fires."""
-    cases = [f"CASE WHEN {_fires(r)} THEN {_text(r.id)} END" for r in rules]
-    return _each(df, content, cases, "string", "_hits").select(key, F.explode("_hits").alias("rule_id"))
+    hits = _unused(df, "_hits")
+    return _each(df, content, rules, lambda r, _: _text(r.id), "string", hits).select(key, F.explode(hits).alias("rule_id"))
 
 
 def or_ok(findings: Column) -> Column:

@@ -22,14 +22,13 @@ def values(rows: list[tuple]) -> str:
 
 PROMPTS = f"prompts(idx, content) AS ({values(list(enumerate(corpus.PROMPTS)))})"
 _RANK = {s: i + 1 for i, s in enumerate(SEVERITIES)}
-RULES = "rules(no, id, category, type, detail, confidence, severity, rank, weight, pattern) AS ({})".format(
-    values(
-        [
-            (n, r.id, r.category, r.type, r.detail, f"CAST({r.confidence} AS DOUBLE)", r.severity, _RANK[r.severity], WEIGHTS[_RANK[r.severity] - 1], r.pattern)
-            for n, r in enumerate(VISIBLE_RULES)
-        ]
-    ).replace("'CAST(", "CAST(").replace(" AS DOUBLE)'", " AS DOUBLE)")
-)
+def rules_cte(rules: list[Rule]) -> str:
+    rows = [(n, r.id, r.category, r.type, r.detail, f"CAST({r.confidence} AS DOUBLE)", r.severity, _RANK[r.severity], WEIGHTS[_RANK[r.severity] - 1], r.pattern) for n, r in enumerate(rules)]
+    listed = values(rows).replace("'CAST(", "CAST(").replace(" AS DOUBLE)'", " AS DOUBLE)")
+    return f"rules(no, id, category, type, detail, confidence, severity, rank, weight, pattern) AS ({listed})"
+
+
+RULES = rules_cte(VISIBLE_RULES)
 
 
 def spans_sql(text: str, rules: list[Rule]) -> str:
@@ -50,12 +49,13 @@ def flag(name: str, category: str) -> str:
 
 
 _TOOLS = " ".join(f"WHEN {q(k)} THEN {[*v]}" if v else f"WHEN {q(k)} THEN CAST([] AS VARCHAR[])" for k, v in corpus.TOOLS.items())
-BASE = f"""WITH {PROMPTS}, {RULES},
-hits AS (SELECT idx, no FROM prompts, rules WHERE regexp_matches(content, pattern)),
+HITS = f"""hits AS (SELECT idx, no FROM prompts, rules WHERE regexp_matches(content, pattern)),
 pf AS (SELECT p.idx, any_value(p.content) AS content, count(no) AS n_findings, coalesce(max(rank), 0) AS worst,
   CAST(least({MAX_SCORE}, coalesce(sum(weight), 0)) AS INTEGER) AS base, count(DISTINCT category) AS n_cat,
   {flag("sec", SECRETS)}, {flag("mal", MALWARE)}, {flag("inj", INJECTION)}, {flag("pii", PII)}, {flag("exf", EXFIL)}, {flag("ops", RISKY)}
-  FROM prompts p LEFT JOIN hits USING (idx) LEFT JOIN rules USING (no) GROUP BY p.idx),
+  FROM prompts p LEFT JOIN hits USING (idx) LEFT JOIN rules USING (no) GROUP BY p.idx)"""
+BASE = f"""WITH {PROMPTS}, {RULES},
+{HITS},
 requests AS (SELECT event_id AS event_no, 'evt_' || event_id AS event_id, ts, 't' || (user_id % 5) AS tenant_id, 's' || user_id AS session_id,
   {corpus.PROFILES}[event_id % {len(corpus.PROFILES)} + 1] AS policy_profile,
   CASE event_type {_TOOLS} ELSE CAST([] AS VARCHAR[]) END AS tools, CAST((event_id * 7 + user_id) % {len(corpus.PROMPTS)} AS INTEGER) AS idx FROM events),

@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import EXFIL_PACK, INJECTION_PACK, MALWARE_PACK, PII_PACK, RISKY_PACK, VISIBLE_RULES, Rule
+from ..functions.rules import EXFIL_PACK, INJECTION_PACK, MALWARE_PACK, PACKS, PII_PACK, RISKY_PACK, VISIBLE_RULES, Rule
 from ..operators import audit, policy, stats
-from ..operators.detect import detect, or_ok, rule_hits
-from ..operators.govern import PolicyConfig, default_config, govern, governance_audit, resolve_profile
+from ..operators.detect import dealt, detect, or_ok, rule_hits
+from ..operators.govern import PolicyConfig, default_config, govern, governance_audit, remote_profile, resolve_profile
 from ..operators.rewrite import safe_rewrite
 from ..operators.session import session_profiles
 from ..sources import ingest
@@ -51,7 +51,7 @@ def _hits(rules: list[Rule]) -> Query:
             F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.col("text").alias("content")
         )
         asked = corpus.requests(spark, sf_dir).select(F.lit("requests").alias("source"), F.col("event_no").alias("key"), "content")
-        rows = docs.union(pages).union(turns).union(asked).withColumn("at", F.struct("source", "key"))
+        rows = dealt(docs).union(dealt(pages)).union(dealt(turns)).union(asked).withColumn("at", F.struct("source", "key"))
         return rule_hits(rows, rules, "at").select("at.source", "at.key", "rule_id")
 
     return run
@@ -231,6 +231,51 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response_rows(_decided(spark, sf_dir))
 
 
+#: A response document, field by field, as text; nothing is written for an empty optional field.
+_RESPONSE = (
+    f"{sql.BASE} {sql.SESSIONS}, {sql.redact_sql('')}, found AS (SELECT idx, string_agg("
+    "'{\"category\":' || to_json(category) || ',\"type\":' || to_json(type) || ',\"detail\":' || to_json(detail) || ',\"confidence\":' || confidence || ',\"severity\":' || to_json(severity) "
+    "|| CASE WHEN span_start IS NULL THEN '' ELSE ',\"location\":{\"start\":' || span_start || ',\"end\":' || span_end || '}' END || '}', ',' ORDER BY no) AS list "
+    f"FROM (SELECT idx, no, {sql.spans_sql('content', VISIBLE_RULES)} FROM hits JOIN prompts USING (idx)) JOIN rules USING (no) GROUP BY idx), "
+    "body AS (SELECT event_id, '{\"event_id\":' || to_json(event_id) || ',\"tenant_id\":' || to_json(tenant_id) || ',\"session_id\":' || to_json(session_id) "
+    "|| ',\"policy_profile\":' || to_json(policy_profile) || ',\"risk_level\":' || to_json(risk_level) || ',\"risk_score\":' || risk_score || ',\"findings\":[' "
+    "|| coalesce(list, '{\"category\":\"OK\",\"type\":\"NONE\",\"detail\":\"No security issues detected\",\"confidence\":1.0,\"severity\":\"none\"}') || ']' "
+    "|| CASE WHEN risk_level = 'SAFE' OR safe = '' THEN '' ELSE ',\"safe_rewrite\":' || to_json(safe) END || ',\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '\"' "
+    "|| CASE WHEN reasoning = '' THEN '' ELSE ',\"reasoning\":' || to_json(reasoning) END "
+    "|| CASE WHEN len(factors) = 0 THEN '' ELSE ',\"decision_factors\":' || to_json(factors) END || '}' AS value FROM d JOIN rewritten USING (idx) LEFT JOIN found USING (idx)) "
+    "SELECT event_id, replace(replace(replace(value, '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') AS value FROM body"
+)
+
+
+@query("response_json", _RESPONSE)
+def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.responses(_decided(spark, sf_dir))
+
+
+@query("access_log", f"{sql.BASE} {sql.SESSIONS} SELECT event_id, '[' || risk_level || '] ' || event_id || ' | score=' || risk_score || ' | findings=' || n_findings AS line FROM d")
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.access_log(_decided(spark, sf_dir))
+
+
+#: Whole documents as prompts under all packs, the secrets pack included, each profile in turn.
+_SECRETS_RULES = PACKS["visible+secrets"]
+
+
+@query(
+    "secrets_decisions",
+    f"WITH prompts AS (SELECT doc_id AS idx, coalesce(text, '') AS content FROM documents), {sql.rules_cte(_SECRETS_RULES)}, {sql.HITS}, "
+    "e AS (SELECT pf.*, idx AS event_no, ['strict', 'moderate', 'permissive'][idx % 3 + 1] AS policy_profile, false AS priv FROM pf), "
+    f"{sql.decided('policy_profile')} SELECT event_no, policy_profile, risk_level, risk_score, reasoning, sec AS has_secret FROM d",
+)
+def secrets_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    profile = F.get(F.array(*[F.lit(p) for p in ("strict", "moderate", "permissive")]), F.pmod("doc_id", F.lit(3)).cast("int"))
+    rows = docs.select(F.col("doc_id").alias("event_no"), F.col("text").alias("content"), profile.alias("policy_profile"), F.array().cast("array<string>").alias("tool_capabilities"))
+    done = policy.evaluate(detect(rows, _SECRETS_RULES))
+    secret = F.exists("findings", lambda f: f["category"] == "SECRETS")
+    return done.select("event_no", "policy_profile", "risk_level", "risk_score", "reasoning", secret.alias("has_secret"))
+
+
 # -- audit and counters -------------------------------------------------------------------------------
 
 
@@ -298,6 +343,9 @@ SHAPES: list[tuple[str, str | None, str | None]] = [
     ("[%n]", None, ingest.INVALID),
     ('{"content":"ok","context":{"tool_capabilities":"shell"}}', None, ingest.INVALID),
     ('{"content":null,"event_id":"e%n"}', "", ingest.EMPTY),
+    ('{"content":"first %n","Content":"last %n"}', "last %n", None),
+    ('{"content":"kept %n","content":null,"context":{"trust_level":"a","trust_level":"b"}}', "kept %n", None),
+    ('{"content":"x","content":5}', None, ingest.INVALID),
 ]
 
 
@@ -311,8 +359,8 @@ def _shape(i: int) -> Column:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "events").select(F.col("event_id").alias("event_no"), _shape(0).alias("value"))
-    return ingest.decode(lines)
+    lines = dealt(_table(spark, sf_dir, "events").select("event_id"))
+    return ingest.decode(lines.select(F.col("event_id").alias("event_no"), _shape(0).alias("value")))
 
 
 def _shape_sql(i: int) -> str:
@@ -336,12 +384,12 @@ def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "request_defaults",
     f"{_SHAPED} SELECT event_no, CASE event_no % {len(SHAPES)} WHEN 0 THEN 'e' || event_no "
-    "ELSE 'evt_' || substr(sha256('' || chr(31) || CASE event_no % 10 WHEN 1 THEN 's' ELSE '' END || chr(31) || content), 1, 16) END AS event_id, "
-    "CASE event_no % 10 WHEN 0 THEN 'moderate' WHEN 2 THEN 'foo' ELSE 'strict' END AS policy_profile, "
-    "CAST(CASE event_no % 10 WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS n_tools FROM x WHERE reject IS NULL",
+    f"ELSE 'evt_' || substr(sha256('' || chr(31) || CASE event_no % {len(SHAPES)} WHEN 1 THEN 's' ELSE '' END || chr(31) || content || chr(31) || event_no), 1, 16) END AS event_id, "
+    f"CASE event_no % {len(SHAPES)} WHEN 0 THEN 'moderate' WHEN 2 THEN 'foo' ELSE 'strict' END AS policy_profile, "
+    f"CAST(CASE event_no % {len(SHAPES)} WHEN 0 THEN 1 ELSE 0 END AS INTEGER) AS n_tools FROM x WHERE reject IS NULL",
 )
 def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = ingest.with_defaults(ingest.accepted(_documents(spark, sf_dir)))
+    done = ingest.with_defaults(ingest.accepted(_documents(spark, sf_dir)), ["event_no"])
     return done.select("event_no", "event_id", "policy_profile", F.size("tool_capabilities").alias("n_tools"))
 
 
@@ -385,6 +433,57 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class _Answers:
+    """A fetcher with one answer; an error is raised."""
+
+    def __init__(self, answer: str | Exception):
+        self.answer = answer
+
+    def fetch(self, url: str, timeout_ms: int) -> str:
+        if isinstance(self.answer, Exception):
+            raise self.answer
+        return self.answer
+
+
+#: What remotes answer, by name: a known profile, an unknown one, none, and a failure.
+REMOTES: dict[str, str | Exception] = {"known": "permissive", "unknown": "lenient", "empty": "", "down": OSError("refused")}
+
+
+@query(
+    "remote_precedence",
+    "SELECT event_id AS event_no, remote, CASE WHEN event_id % 3 = 0 THEN 'strict' WHEN remote = 'known' THEN 'permissive' ELSE 'moderate' END AS profile "
+    f"FROM events, (VALUES {', '.join(f'({sql.q(n)})' for n in REMOTES)}) AS r(remote)",
+)
+def remote_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    override = F.when(F.col("event_id") % 3 == 0, "strict").when(F.col("event_id") % 3 == 1, "")
+    cfg = PolicyConfig(profile="moderate", remote_override_url="http://control/profile")
+    events, out = _table(spark, sf_dir, "events").select("event_id"), None
+    for name, answer in REMOTES.items():
+        profile = resolve_profile(override, remote_profile(cfg, _Answers(answer)), cfg)
+        part = events.select(F.col("event_id").alias("event_no"), F.lit(name).alias("remote"), profile.alias("profile"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+#: Comments that annotate a function with a policy, and some that don't.
+ANNOTATIONS = [
+    '// @Policy(profile="strict", block=true, rewrite=false)', '# @Policy(rewrite=true, remote="http://control/p")', "@Policy(profile=strict)",
+    "no policy here", '@Policy(profile="moderate")  @Policy(profile="strict")', "@Policy()",
+]
+
+
+@query(
+    "annotation_configs",
+    f"WITH t(n, text) AS ({sql.values(list(enumerate(ANNOTATIONS)))}), p AS (SELECT n, regexp_extract(text, '@Policy\\(([^)]+)\\)', 1) AS s FROM t) "
+    """SELECT n, regexp_extract(s, 'profile\\s*=\\s*"([^"]+)"', 1) AS profile, regexp_matches(s, 'block\\s*=\\s*true') AS block,
+    regexp_matches(s, 'rewrite\\s*=\\s*true') AS rewrite, regexp_extract(s, 'remote\\s*=\\s*"([^"]+)"', 1) AS remote FROM p""",
+)
+def annotation_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = [PolicyConfig.from_annotation(t) for t in ANNOTATIONS]
+    rows = [(n, c.profile, c.block_on_violation, c.allow_rewrite, c.remote_override_url) for n, c in enumerate(read)]
+    return spark.createDataFrame(rows, "n int, profile string, block boolean, rewrite boolean, remote string")
+
+
 @query(
     "govern_audit",
     f"{_GOVERNED} {sql.decided(sql.q('strict'))} SELECT risk_level, risk_score, CAST(n_findings AS INTEGER) AS finding_count, "

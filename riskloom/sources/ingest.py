@@ -1,7 +1,8 @@
 """Requests in: JSON decoding with its rejects, defaults; responses out.
 
-Decoding follows a case-insensitive JSON decoder: keys match in any case, unknown keys are ignored, a
-value of the wrong type makes the document invalid, null stands for the zero value.
+Decoding follows a case-insensitive JSON decoder that reads one value: keys match in any case, unknown keys are
+ignored, a value of the wrong type makes the document invalid, null stands for the zero value. Of keys given
+several times the last wins; null then leaves a text as it was, and drops a context; contexts otherwise add up.
 """
 
 from __future__ import annotations
@@ -13,49 +14,88 @@ from pyspark.sql import functions as F
 TEXT_FIELDS = ("event_id", "tenant_id", "session_id", "content", "policy_profile")
 INVALID, EMPTY = "invalid JSON", "content is required"
 DEFAULT_PROFILE, EVENT_PREFIX = "strict", "evt_"
+#: Signs that responses escape.
+UNSAFE = ("<", ">", "&", "\u2028", "\u2029")
 
 
-def _field(entries: Column, name: str) -> Column:
-    """The last value whose key matches in any case, as variant."""
-    found = F.filter(entries, lambda e: F.lower(e["key"]) == name)
-    return F.try_element_at(F.transform(found, lambda e: e["value"]), F.lit(-1))
+#: What a strict JSON reader refuses.
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _entries(variant: Column) -> Column:
-    return F.map_entries(F.try_variant_get(variant, "$", "map<string,variant>"))
+def _entries(text: Column, kind: str = "variant") -> Column:
+    """The members of a JSON object in document order, repeated keys included; null if it is none."""
+    return F.map_entries(F.from_json(text, f"map<string,{kind}>", STRICT))
 
 
-def _kind(v: Column) -> Column:
-    return F.when(v.isNull() | F.is_variant_null(v), F.lit("null")).otherwise(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0))
+def _named(entries: Column, name: str) -> Column:
+    """Values whose key matches in any case, in order."""
+    found = F.filter(entries, lambda e: F.translate(F.lower(e["key"]), "\u017f", "s") == name)
+    return F.transform(found, lambda e: e["value"])
+
+
+def _is(v: Column, kind: str) -> Column:
+    """Null, or of a kind."""
+    return v.isNull() | F.is_variant_null(v) | F.schema_of_variant(v).startswith(kind)
+
+
+def _void(v: Column) -> Column:
+    return v.isNull() | F.is_variant_null(v)
+
+
+def _texts(values: Column) -> Column:
+    """The last text that isn't null, else the empty one."""
+    said = F.filter(values, lambda v: ~_void(v))
+    return F.coalesce(F.try_variant_get(F.try_element_at(said, F.lit(-1)), "$", "string"), F.lit(""))
+
+
+def _once(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
+    """``kept`` and new columns, each made once per row: a filter further up doesn't go below the generator."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
 
 
 def decode(lines: DataFrame, value: str = "value") -> DataFrame:
-    """One JSON document per row -> request columns and ``reject`` (null if the request is good)."""
+    """One JSON document per row -> the other columns, request columns and ``reject`` (null if the request is good).
+
+    Sets ``spark.sql.variant.allowDuplicateKeys`` for the session: a key repeated deep inside a document is no error.
+    Other columns must not be named like request columns.
+    """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in lines.columns if c != value]
-    parsed = lines.withColumn("_v", F.try_parse_json(F.col(value)))
-    parsed = parsed.withColumn("_object", _kind(F.col("_v")) == "OBJECT")
-    parsed = parsed.withColumn("_entries", F.when(F.col("_object"), _entries(F.col("_v"))))
-    fields = {f"_{n}": _field(F.col("_entries"), n) for n in (*TEXT_FIELDS, "context")}
-    parsed = parsed.withColumns(fields)
-    context = F.when(_kind(F.col("_context")) == "OBJECT", _entries(F.col("_context")))
-    parsed = parsed.withColumn("_inside", context)
-    parsed = parsed.withColumns({"_tools": _field(F.col("_inside"), "tool_capabilities"), "_trust": _field(F.col("_inside"), "trust_level")})
-    wrong = ~F.col("_object")
-    for n in (*TEXT_FIELDS, "trust"):
-        wrong = wrong | ~_kind(F.col(f"_{n}")).isin("null", "STRING")
-    wrong = wrong | ~_kind(F.col("_context")).isin("null", "OBJECT") | ~_kind(F.col("_tools")).isin("null", "ARRAY")
-    tools = F.try_variant_get(F.col("_tools"), "$", "array<variant>")
-    wrong = wrong | F.exists(F.coalesce(tools, F.array().cast("array<variant>")), lambda t: ~_kind(t).isin("null", "STRING"))
-    text = {n: F.coalesce(F.try_variant_get(F.col(f"_{n}"), "$", "string"), F.lit("")) for n in (*TEXT_FIELDS, "trust")}
-    parsed = parsed.withColumn("_wrong", F.coalesce(wrong, F.lit(True)))
-    good = ~F.col("_wrong")
-    names = F.transform(tools, lambda t: F.coalesce(F.try_variant_get(t, "$", "string"), F.lit("")))
-    return parsed.select(
+    document = F.col(value)
+    nothing = document.rlike(r"^[ \t\r\n]*null[ \t\r\n]*$")  # a null document is a request of zero values
+    read = _once(lines, kept, entries_=_entries(document), raw_=_entries(document, "string"), nothing_=nothing)
+    members = F.col("entries_")
+    context = _named(members, "context")
+    cut = F.coalesce(F.array_max(F.transform(context, lambda v, i: F.when(_void(v), i + 1).otherwise(0))), F.lit(0))
+    given = F.filter(_named(F.col("raw_"), "context"), lambda v, i: i >= cut)
+    named = {n: _named(members, n) for n in TEXT_FIELDS}
+    wrong = ~F.forall(context, lambda v: _is(v, "OBJECT"))
+    for n in TEXT_FIELDS:
+        wrong = wrong | ~F.forall(named[n], lambda v: _is(v, "STRING"))
+    read = _once(
+        read, kept, ok_=members.isNotNull() | F.coalesce("nothing_", F.lit(False)), wrong_=F.coalesce(wrong, F.lit(False)),
+        inside_=F.flatten(F.transform(given, lambda t: F.coalesce(_entries(t), F.array().cast("array<struct<key:string,value:variant>>")))),
+        **{f"{n}_": _texts(named[n]) for n in TEXT_FIELDS},
+    )
+    inside = F.col("inside_")
+    tools, trust = _named(inside, "tool_capabilities"), _named(inside, "trust_level")
+    lists = F.transform(tools, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>")))
+    odd = ~F.forall(tools, lambda v: _is(v, "ARRAY")) | ~F.forall(trust, lambda v: _is(v, "STRING"))
+    odd = odd | F.exists(F.flatten(lists), lambda t: ~_is(t, "STRING"))
+    last = F.coalesce(F.try_element_at(lists, F.lit(-1)), F.array().cast("array<variant>"))
+    names = F.transform(last, lambda t: F.coalesce(F.try_variant_get(t, "$", "string"), F.lit("")))
+    fields = [f"{n}_" for n in TEXT_FIELDS]
+    read = _once(
+        read, [*kept, *fields], bad_=~F.col("ok_") | F.col("wrong_") | F.coalesce(odd, F.lit(False)),
+        tools_=F.coalesce(names, F.array().cast("array<string>")), trust_=F.coalesce(_texts(trust), F.lit("")),
+    )
+    good = ~F.col("bad_")
+    return read.select(
         *kept,
-        *[F.when(good, text[n]).alias(n) for n in TEXT_FIELDS],
-        F.when(good, F.coalesce(names, F.array().cast("array<string>"))).alias("tool_capabilities"),
-        F.when(good, text["trust"]).alias("trust_level"),
-        F.when(F.col("_wrong"), INVALID).when(text["content"] == "", EMPTY).alias("reject"),
+        *[F.when(good, F.coalesce(F.col(f"{n}_"), F.lit(""))).alias(n) for n in TEXT_FIELDS],
+        F.when(good, F.col("tools_")).alias("tool_capabilities"),
+        F.when(good, F.col("trust_")).alias("trust_level"),
+        F.when(~good, INVALID).when(F.coalesce(F.col("content_"), F.lit("")) == "", EMPTY).alias("reject"),
     )
 
 
@@ -67,9 +107,15 @@ def rejected(decoded: DataFrame) -> DataFrame:
     return decoded.where("reject is not null")
 
 
-def with_defaults(requests: DataFrame) -> DataFrame:
-    """Event ids from the row's content where there is none (so a replay gives the same), strict profile, no tools."""
-    texts = [F.coalesce(F.col(c), F.lit("")) for c in ("tenant_id", "session_id", "content")]
+def with_defaults(requests: DataFrame, position: list[str] | None = None) -> DataFrame:
+    """Event ids where there is none, strict profile, no tools.
+
+    An id is a hash of tenant, session, content, the time ``ts`` if there is one, and the columns in ``position``, which tell
+    where a request comes from (file and row, topic and offset): a replay gives the same ids, and requests that
+    differ in any of these have ids of their own.
+    """
+    parts = ["tenant_id", "session_id", "content", *(["ts"] if "ts" in requests.columns else []), *(position or [])]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts]
     made = F.concat(F.lit(EVENT_PREFIX), F.substring(F.sha2(F.concat_ws("\x1f", *texts), 256), 1, 16))
     return requests.withColumns(
         {
@@ -85,7 +131,8 @@ def health(spark) -> DataFrame:
 
 
 def responses(decided: DataFrame) -> DataFrame:
-    """Response documents, one JSON text per row, empty optional fields left out."""
+    """Response documents, one JSON text per row, empty optional fields left out; ``<``, ``>``, ``&`` and the two Unicode line
+    ends are written as escapes, so a document may stand in a web page."""
     from ..operators.audit import TIME_FORMAT
     from ..operators.detect import or_ok
 
@@ -96,4 +143,13 @@ def responses(decided: DataFrame) -> DataFrame:
         F.nullif("reasoning", F.lit("")).alias("reasoning"),
         F.when(F.size("decision_factors") > 0, F.col("decision_factors")).alias("decision_factors"),
     )
-    return fields.select("event_id", F.to_json(F.struct(*fields.columns)).alias("value"))
+    body = F.to_json(F.struct(*fields.columns))
+    for sign in UNSAFE:  # they occur inside texts only
+        body = F.replace(body, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return fields.select("event_id", body.alias("value"))
+
+
+def access_log(decided: DataFrame) -> DataFrame:
+    """One line per request: level, id, score and number of findings."""
+    line = F.format_string("[%s] %s | score=%d | findings=%d", "risk_level", "event_id", "risk_score", F.size("findings"))
+    return decided.select("event_id", line.alias("line"))
