@@ -222,7 +222,8 @@ def _windows(whole: Column, places: list[tuple[str, int, int]]) -> Column:
 
         return F.flatten(F.transform(at, lambda x: F.transform(F.try_element_at(found, x["word"]), lambda place: window(x, place))))
 
-    return F.when(whole.rlike(f"(?:^| )(?:{'|'.join(words)})(?: |$)"), _bound(F.split(whole, " "), laid)).otherwise(none)
+    some = F.array(*[F.lit(w) for w in words])
+    return _bound(F.split(whole, " "), lambda ws: F.when(F.arrays_overlap(ws, some), laid(ws)).otherwise(none))
 
 
 MATCH = "array<struct<unit:string,license:string,dice:double,template:int>>"
@@ -242,8 +243,8 @@ def matched(text: Column, templates: list[tuple[str, str]] | None = None, thresh
 
     def units(flat: Column) -> Column:
         one = lambda u: F.trim(F.regexp_replace(u, " *\n[ \n]*", " "))
-        split = F.transform(F.concat(F.split(flat, "\n", -1), F.split(flat, "\n(?: ?\n)+", -1), F.array(flat)), one)
-        return F.array_distinct(F.concat(split, _windows(one(flat), anchors(templates))))
+        split = F.transform(F.concat(F.split(flat, "\n", -1), F.split(flat, "\n(?: ?\n)+", -1)), one)
+        return _bound(one(flat), lambda whole: F.array_distinct(F.concat(split, F.array(whole), _windows(whole, anchors(templates)))))
 
     def bigrams(unit: Column) -> Column:
         return _bound(F.split(unit, " "), lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))

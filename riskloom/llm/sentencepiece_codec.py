@@ -75,14 +75,19 @@ class Codec:
                 self.ids[text], self.scores[text] = i, sp.get_score(i)
                 self.bytes_of.append(text.encode())
         self.longest = max(map(len, self.ids))
-        lengths: dict[str, set[int]] = {}
+        #: Beginnings of pieces: 1 if longer pieces begin so, plus 2 for a piece itself.
+        self.begun: dict[str, int] = {}
         for t in self.ids:
+            for k in range(2, len(t)):
+                self.begun[t[:k]] = self.begun.get(t[:k], 0) | 1
             if len(t) > 1:
-                lengths.setdefault(t[:2], set()).add(len(t))
-        #: Lengths of the pieces that begin with two characters, longest first.
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
+                self.begun[t] = self.begun.get(t, 0) | 2
+        #: Weights by the first piece of a pair, then the second; how many there are.
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+        #: Ids of words, lately used ones and those before.
         self.units: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, model) -> Codec:
@@ -109,12 +114,17 @@ class Codec:
 
     def follows(self, a: str, b: str) -> bool:
         """Weight 0 (True) or minus infinity between neighbours; ``a`` is empty at the start."""
-        key = a, b
-        if key not in self.pairs:
-            if len(self.pairs) > CACHED:
+        known = self.pairs.get(a)
+        if known is None:
+            known = self.pairs[a] = {}
+        found = known.get(b)
+        if found is None:
+            if self.n_pairs > CACHED:
                 self.pairs.clear()
-            self.pairs[key] = self.merge(a + b) == ([a, b] if a else [b])
-        return self.pairs[key]
+                known, self.n_pairs = self.pairs.setdefault(a, {}), 0
+            found = known[b] = self.merge(a + b) == ([a, b] if a else [b])
+            self.n_pairs += 1
+        return found
 
     def at(self, text: str, p: int) -> Iterator[str]:
         """The pieces that start at ``p``; a single character always does."""
@@ -131,36 +141,63 @@ class Codec:
         """Ids of a word with the blanks before it, as int32 bytes."""
         found = self.units.get(u)
         if found is None:
-            if len(self.units) > CACHED:
-                self.units.clear()
-            ids = [i for t in self.walk(u) for i in self.to_ids(t)]
-            found = np.array(ids, np.int32).tobytes()
+            found = self.older.get(u)
+            if found is None:
+                found = np.array([i for t in self.walk(u) for i in self.to_ids(t)], np.int32).tobytes()
             if len(u) <= 64:
+                if len(self.units) >= CACHED // 2:
+                    self.older, self.units = self.units, {}
                 self.units[u] = found
         return found
 
-    def walk(self, u: str) -> list[str]:
-        """The path of weight 0 through a unit's lattice, depth first, longest piece first; dead ends are met once."""
-        n, ids, lengths, pairs = len(u), self.ids, self.lengths, self.pairs
+    def ends(self, u: str, p: int) -> list[int]:
+        """Where the pieces that start at ``p`` end, longest last."""
+        n, begun = len(u), self.begun
+        k = p + 1
+        out = [k]
+        while k < n:
+            k += 1
+            kind = begun.get(u[p:k])
+            if kind is None:
+                break
+            if kind > 1:
+                out.append(k)
+            if kind == 2:
+                break
+        return out
 
-        def starts(p: int) -> Iterator[str]:
-            for k in lengths.get(u[p : p + 2], ()):
-                t = u[p : p + k]
-                if len(t) == k and t in ids:
-                    yield t
-            yield u[p]
+    def walk(self, u: str) -> list[str]:
+        """The path of weight 0 through a unit's lattice: the longest piece that fits, again and again; from a dead end
+        :meth:`search` finds it. There is one such path only, so whatever reaches the end is it."""
+        pieces: list[str] = []
+        n, p, last = len(u), 0, ""
+        while p < n:
+            known = self.pairs.get(last)
+            for e in reversed(self.ends(u, p)):
+                t = u[p:e]
+                ok = known.get(t) if known is not None else None
+                if ok is None:
+                    ok = self.follows(last, t)
+                    known = self.pairs.get(last)
+                if ok:
+                    break
+            else:
+                return self.search(u)
+            pieces.append(t)
+            p, last = e, t
+        return pieces
 
+    def search(self, u: str) -> list[str]:
+        """The path depth first, longest piece first; dead ends are met once."""
         pieces: list[str] = []
         dead: set[tuple[int, str]] = set()
-        p, last, options = 0, "", [starts(0)]
+        p, last, options = 0, "", [iter(self.ends(u, 0)[::-1])]
         while True:
-            for t in options[-1]:
-                ok = pairs.get((last, t))
-                if ok is None:
-                    ok = self.follows(last, t)
-                if ok and (not dead or (p + len(t), t) not in dead):
+            for e in options[-1]:
+                t = u[p:e]
+                if self.follows(last, t) and (e, t) not in dead:
                     pieces.append(t)
-                    p, last = p + len(t), t
+                    p, last = e, t
                     break
             else:
                 options.pop()
@@ -170,12 +207,14 @@ class Codec:
                 p -= len(pieces.pop())
                 last = pieces[-1] if pieces else ""
                 continue
-            if p == n:
+            if p == len(u):
                 return pieces
-            options.append(starts(p))
+            options.append(iter(self.ends(u, p)[::-1]))
 
     def units_of(self, text: str) -> bytes:
-        return b"".join(map(self.unit, UNIT.findall(text)))
+        units, unit = self.units, self.unit
+        out = [units.get(u) or unit(u) for u in UNIT.findall(text)]
+        return b"".join(out)
 
     # -- the scan -------------------------------------------------------------------------------
 

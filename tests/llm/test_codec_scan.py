@@ -28,6 +28,7 @@ def test_encoding_does_not_ask_the_library(codec, monkeypatch):
 
     monkeypatch.setattr(codec, "library", no)
     codec.units.clear()
+    codec.older.clear()
     assert [codec.encode(t).tolist() for t in texts] == want
 
 
@@ -35,7 +36,7 @@ def test_a_walk_is_the_path_of_the_scan(codec):
     rng = random.Random(42)
     for _ in range(400):
         u = " " + "".join(rng.choice([b for b in BITS if b not in (" ", "  ", "▁")]) for _ in range(rng.randint(1, 40)))
-        assert codec.walk(u) == codec.path(u, 0, len(u), ("", 0), None) == codec.merge(u)
+        assert codec.walk(u) == codec.search(u) == codec.path(u, 0, len(u), ("", 0), None) == codec.merge(u)
 
 
 @pytest.mark.parametrize("fan", [2, 3, 64])
