@@ -106,7 +106,17 @@ def detect(df: DataFrame, rules: list[Rule] | None = None, content: str = "conte
 def rule_hits(df: DataFrame, rules: list[Rule], key: str, content: str = "content") -> DataFrame:
     """``key, rule_id`` for every rule that fires."""
     hits = _unused(df, "_hits")
-    return _each(df, content, rules, lambda r, _: _text(r.id), "string", hits).select(key, F.explode(hits).alias("rule_id"))
+    found = _each(df, content, rules, lambda r, _: _text(r.id), "string", hits)
+    return exploded(found, [key], hits, "rule_id")
+
+
+def exploded(df: DataFrame, kept: list[str], array: str, name: str, at: str | None = None) -> DataFrame:
+    """``kept`` and the elements of ``array``, none of them null, with their places.
+
+    An inner explode would have the optimizer test the array's size below it, and so make the findings twice.
+    """
+    every = F.posexplode_outer(array).alias(at, name) if at else F.explode_outer(array).alias(name)
+    return df.select(*kept, every).where(F.col(name).isNotNull())
 
 
 def or_ok(findings: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import EXFIL_PACK, INJECTION_PACK, MALWARE_PACK, PACKS, PII_PACK, RISKY_PACK, VISIBLE_RULES, Rule
 from ..operators import audit, policy, stats
-from ..operators.detect import dealt, detect, or_ok, rule_hits
+from ..operators.detect import dealt, detect, exploded, or_ok, rule_hits
 from ..operators.govern import PolicyConfig, default_config, govern, governance_audit, remote_profile, resolve_profile
 from ..operators.rewrite import safe_rewrite
 from ..operators.session import session_profiles
@@ -90,7 +90,7 @@ _FINDING = "category, type, detail, confidence, severity"
     "FROM e JOIN sp USING (idx) JOIN rules USING (no)",
 )
 def findings_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _requests(spark, sf_dir).select("event_no", F.posexplode("findings").alias("n", "f"))
+    rows = exploded(_requests(spark, sf_dir), ["event_no"], "findings", "f", "n")
     return rows.select("event_no", "n", *[f"f.{c}" for c in _FINDING.split(", ")], F.col("f.location.start").alias("span_start"), F.col("f.location.end").alias("span_end"))
 
 
@@ -104,7 +104,7 @@ def findings_exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = detect(_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), PII_PACK)
-    return rows.select("doc_id", F.explode("findings").alias("f")).select(
+    return exploded(rows, ["doc_id"], "findings", "f").select(
         "doc_id", "f.type", F.col("f.location.start").alias("span_start"), F.col("f.location.end").alias("span_end")
     )
 
