@@ -51,16 +51,16 @@ def _finding(rule: Rule, plain: str) -> str:
     return f"named_struct({named}, 'confidence', {rule.confidence}D, 'severity', {_text(rule.severity)}, 'location', {location})"
 
 
-#: The longest runs of digits that rules ask for, and a pattern for each.
+#: Lengths of runs of digits that rules ask for.
 RUNS = sorted({r.digits for r in VISIBLE_RULES if r.digits})
 
 
 def _longest_run(text: Column) -> Column:
-    """The greatest of ``RUNS`` that some run of digits in the text reaches, 0 if none: a text without digits is read once."""
-    longest = F.lit(0)
-    for n in RUNS:  # a longer run holds every shorter one, so the first test that fails ends it
-        longest = F.when(text.rlike(f"[0-9]{{{n}}}"), F.greatest(longest, F.lit(n))).otherwise(longest)
-    return F.when(text.rlike(f"[0-9]{{{RUNS[0]}}}"), longest).otherwise(F.lit(0))
+    """The greatest of ``RUNS`` that some run of digits in the text reaches, 0 if none; the first test that fails ends it."""
+    out = F
+    for reached, n in zip([0, *RUNS], RUNS, strict=False):
+        out = out.when(~text.rlike(f"[0-9]{{{n}}}"), reached)
+    return out.otherwise(RUNS[-1])
 
 
 def _unused(df: DataFrame, name: str) -> str:
