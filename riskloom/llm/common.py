@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -82,6 +83,13 @@ def discard(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver's JVM collects what refers to them: let it, so that a job of
+    many steps doesn't hold the files of all of them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """Collects what :func:`materialize` makes meanwhile, so that it can be discarded once it isn't needed."""

@@ -44,8 +44,8 @@ from pyspark.sql import types as T
 from .common import materialize, text_slices
 
 CHUNK, GIANT, FAN = 32_768, 65_536, 64
-#: Words, and pairs of pieces, that a worker keeps at most.
-CACHED = 200_000
+#: Words (of two generations each), tails of words, and pairs of pieces that a worker keeps at most.
+CACHED, PAIRS = 100_000, 200_000
 BAR = "\u2581"
 UNIT = re.compile(f"{BAR}| *[^ {BAR}]+| +")
 SYNC = re.compile(f"(?<=[^ ]) |(?<={BAR}).|{BAR}", re.S)
@@ -88,6 +88,12 @@ class Codec:
         #: Ids of words, lately used ones and those before.
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[tuple[str, str], tuple[str, ...] | None] = {}
+        self.same = {t: t for t in self.ids}
+        #: Order in which pieces of several characters merge, and what each is made of.
+        order = {x: k for k, x in enumerate(sorted({self.scores[t] for t in self.ids if len(t) > 1}, reverse=True))}
+        self.rank = {t: order[self.scores[t]] for t in self.ids if len(t) > 1}
+        self.made_of: dict[str, tuple[str, str] | None] = {}
 
     @classmethod
     def of(cls, model) -> Codec:
@@ -112,17 +118,56 @@ class Codec:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def halves(self, t: str) -> tuple[str, str] | None:
+        """The two pieces whose merge makes ``t``, in the encoding of ``t`` alone; None if that isn't ``t``."""
+        found = self.made_of.get(t, self)
+        if found is self:
+            parts, found = list(t), None
+            while len(parts) > 1:
+                best, at = None, -1
+                for i in range(len(parts) - 1):
+                    s = self.scores.get(parts[i] + parts[i + 1])
+                    if s is not None and (best is None or s > best):
+                        best, at = s, i
+                if at < 0:
+                    break
+                if len(parts) == 2:
+                    found = parts[0], parts[1]
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.made_of[t] = found
+        return found
+
+    def stable(self, a: str, b: str) -> bool:
+        """Whether two neighbours stay as they are when encoded together: the later merge of the two is undone, step by
+        step, and no merge across their border may have come before it. Of equal merges the left one comes first."""
+        if (len(a) > 1 and self.halves(a) is None) or (len(b) > 1 and self.halves(b) is None):
+            return False
+        if not a:
+            return True
+        rank, before = self.rank, len(self.rank) + 1
+        while True:
+            across = rank.get(a + b)
+            if across is not None and across < before:
+                return False
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            if ra > rb:
+                before, a = ra, self.halves(a)[1]  # type: ignore[index]
+            elif rb >= 0:
+                before, b = rb + 1, self.halves(b)[0]  # type: ignore[index]
+            else:
+                return True
+
     def follows(self, a: str, b: str) -> bool:
         """Weight 0 (True) or minus infinity between neighbours; ``a`` is empty at the start."""
         known = self.pairs.get(a)
         if known is None:
-            known = self.pairs[a] = {}
+            known = self.pairs[self.same.get(a, a)] = {}
         found = known.get(b)
         if found is None:
-            if self.n_pairs > CACHED:
+            if self.n_pairs > PAIRS:
                 self.pairs.clear()
                 known, self.n_pairs = self.pairs.setdefault(a, {}), 0
-            found = known[b] = self.merge(a + b) == ([a, b] if a else [b])
+            found = known[self.same.get(b, b)] = self.stable(a, b)
             self.n_pairs += 1
         return found
 
@@ -145,7 +190,7 @@ class Codec:
             if found is None:
                 found = np.array([i for t in self.walk(u) for i in self.to_ids(t)], np.int32).tobytes()
             if len(u) <= 64:
-                if len(self.units) >= CACHED // 2:
+                if len(self.units) >= CACHED:
                     self.older, self.units = self.units, {}
                 self.units[u] = found
         return found
@@ -167,25 +212,41 @@ class Codec:
         return out
 
     def walk(self, u: str) -> list[str]:
-        """The path of weight 0 through a unit's lattice: the longest piece that fits, again and again; from a dead end
-        :meth:`search` finds it. There is one such path only, so whatever reaches the end is it."""
-        pieces: list[str] = []
-        n, p, last = len(u), 0, ""
-        while p < n:
-            known = self.pairs.get(last)
-            for e in reversed(self.ends(u, p)):
-                t = u[p:e]
-                ok = known.get(t) if known is not None else None
-                if ok is None:
-                    ok = self.follows(last, t)
-                    known = self.pairs.get(last)
-                if ok:
+        """The path of weight 0 through a unit's lattice. There is one such path only, so whatever reaches the end is it."""
+        if len(u) > 64:
+            return self.search(u)
+        found = self.tail("", u)
+        if found is None:
+            raise ValueError("the lattice has no path")
+        return list(found)
+
+    def tail(self, last: str, rest: str) -> tuple[str, ...] | None:
+        """The path through ``rest`` after the piece ``last``, the longest piece first; None from a dead end. Words that end
+        alike share their tails, which are kept."""
+        key = last, rest
+        found = self.tails.get(key, self)
+        if found is not self:
+            return found
+        found, known, n = None, self.pairs.get(last), len(rest)
+        for e in reversed(self.ends(rest, 0)):
+            t = rest[:e]
+            ok = known.get(t) if known is not None else None
+            if ok is None:
+                ok = self.follows(last, t)
+                known = self.pairs.get(last)
+            if ok:
+                t = self.same.get(t, t)
+                if e == n:
+                    found = (t,)
                     break
-            else:
-                return self.search(u)
-            pieces.append(t)
-            p, last = e, t
-        return pieces
+                more = self.tail(t, rest[e:])
+                if more is not None:
+                    found = (t, *more)
+                    break
+        if len(self.tails) >= CACHED:
+            self.tails.clear()
+        self.tails[key] = found
+        return found
 
     def search(self, u: str) -> list[str]:
         """The path depth first, longest piece first; dead ends are met once."""

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bit_map, discard_all, in_map, join_hot, materialize, maybe_in, scratch, text_slices
+from .common import bit_map, discard_all, in_map, join_hot, materialize, maybe_in, release, scratch, text_slices
 from .components import components
 
 SHINGLE, LEAST, WINDOW, NEAR, JACCARD, BANDS, ROWS, TILE = 5, 5, 16, 36, 0.8, 10, 4, 1024
@@ -254,9 +254,10 @@ def _paragraphs(docs: DataFrame, least: int, window: int, near: int, sets: bool
                 c, d, s1, s2 = short_lines(w)
                 a, b, l1, l2, s = _line_hashes(w, least)
                 keys = _band_keys(s, a, b - SHINGLE + 1) if len(a) else np.zeros((0, BANDS), U)
-                made = _shingle_sets(s, a, b - SHINGLE + 1) if sets else [None] * len(a)
+                made = _shingle_sets(s, a, b - SHINGLE + 1) if sets else []
                 first, last = np.concatenate([at, c, a]), np.concatenate([at + window, d, b]) - 1
-                text, n, none = w.text[first], len(at), [None] * (len(at) + len(c))
+                text, n = w.text[first], len(at)
+                line = np.arange(len(first)) >= n + len(c)
                 kind = np.repeat(np.array([PASSAGE, SHORT, LINE], np.int8), [n, len(c), len(a)])
                 void = np.arange(len(first)) >= n
 
@@ -272,8 +273,8 @@ def _paragraphs(docs: DataFrame, least: int, window: int, near: int, sets: bool
                         pa.array(w.char(w.end[last], text).astype(np.int32)),
                         pa.array(np.concatenate([p1, s1, l1]).view(np.int64)),
                         pa.array((np.concatenate([p2, s2, l2]) >> U(32)).astype(np.uint32).view(np.int32)),
-                        pa.array([*none, *keys.view(np.int64)], pa.list_(pa.int64())),
-                        pa.array([*none, *(x if x is None else x.view(np.int32) for x in made)], pa.list_(pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(line * BANDS)]).astype(np.int32)), pa.array(keys.view(np.int64).ravel()), mask=pa.array(~line)),
+                        pa.array([None] * (n + len(c)) + [x.view(np.int32) for x in made], pa.list_(pa.int32())) if sets else pa.nulls(len(first), pa.list_(pa.int32())),
                         beside(w.char(w.end[to - 1], text[:n])),
                         beside(w.char(w.start[back], text[:n])),
                         beside((right >> U(32)).astype(np.uint32).view(np.int32)),
@@ -419,6 +420,7 @@ def _runs(docs: DataFrame, seeds: DataFrame, window: int, near: int) -> DataFram
     theirs = words.join(refs.drop("way"), ["doc_id", "h1", "rightward", "start_char"]).dropDuplicates(side)
     theirs = materialize(theirs.select(*side, "parts", F.col("words").alias("ref_words"), F.col("reach").alias("ref_reach")), "references")
     both = compared(part.join(words, ["doc_id", "h1", "rightward", "start_char"]))
+    release(docs.sparkSession)
     every = both
     # One that goes with the reference beyond the next window (there it isn't chosen) may go further with a holder that hasn't parted yet.
     last = F.get("ref_reach", F.col("n") - 1)
@@ -465,6 +467,7 @@ def _surplus(parted: DataFrame) -> DataFrame:
     known = each.select(*side, "h", "e", "doc_id").union(ends)
     held = known.groupBy(*side, "e", "h").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("parts"))
     held = materialize(held.where("component_id != last").drop("last"), "shared-surplus")
+    release(parted.sparkSession)
     met = join_hot(maybe_in(each, "h", held.select("h")), held, [*side, "e", "h"], "parts", F.xxhash64("doc_id"))
     far = met.groupBy("doc_id", *side, "start_char", "end_char").agg(F.max(F.struct("e", "component_id", "at")).alias("m")).union(to_end)
     start = F.when(F.col("rightward"), F.col("start_char")).otherwise(F.col("m.at"))
@@ -514,6 +517,7 @@ def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE, set
     # Copies of a line leave each task once; so many of them weigh no more than one.
     met = maybe_in(banded, "key", shared).distinct().join(shared, "key")
     met = materialize(met, "members")
+    release(lines.sparkSession)
     sizes = met.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h1")).alias("x"), F.sum(F.xxhash64("h1", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s"), F.min("h1").alias("leader")
     )
@@ -559,22 +563,35 @@ def line_links(lines: DataFrame, jaccard: float = JACCARD, tile: int = TILE, set
     keys = ["key", "i", "j"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(g: pd.DataFrame) -> list[tuple[int, int]]:
-            g = g.sort_values("h1", kind="stable")
+        def solve(g: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+            """Edges of the tiles between ``cuts``; the columns are taken apart once for all of them."""
+            ids, row, col = g["h1"].to_numpy(), g["row"].to_numpy(bool), g["col"].to_numpy(bool)
             sets = [np.asarray(s, np.int32).view(np.uint32) for s in g["shingles"]]
-            rows, cols = np.flatnonzero(g["row"].to_numpy(bool)), np.flatnonzero(g["col"].to_numpy(bool))
-            return forest(g["h1"].to_numpy(), sets, rows, cols, jaccard) if len(rows) and len(cols) else []
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a == 2:
+                    x, y = sets[a], sets[a + 1]
+                    least = jaccard * max(len(x), len(y))  # sets so unlike in size aren't compared
+                    if min(len(x), len(y)) >= least and (row[a] and col[a + 1] or row[a + 1] and col[a]):
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if common >= jaccard * (len(x) + len(y) - common):
+                            edges.append((int(ids[a]), int(ids[a + 1])))
+                elif b - a > 2:
+                    rows, cols = np.flatnonzero(row[a:b]), np.flatnonzero(col[a:b])
+                    if len(rows) and len(cols):
+                        edges += forest(ids[a:b], sets[a:b], rows, cols, jaccard)
+            return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
         rest = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch])
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             k = batch[keys].to_numpy()
             cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            edges = [e for a, b in zip([0, *cuts[:-1]], cuts, strict=False) for e in (solve(batch.iloc[a:b]) if b - a > 1 else [])]
             rest = batch.iloc[cuts[-1] :] if len(cuts) else batch
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+            if len(cuts):
+                yield solve(batch.iloc[: cuts[-1]], np.concatenate([[0], cuts]))
         if rest is not None:
-            yield pd.DataFrame(solve(rest) if len(rest) > 1 else [], columns=["a", "b"], dtype="int64")
+            yield solve(rest, np.array([0, len(rest)]))
 
     found = tiles.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
     return found if star is None else found.union(star)
@@ -609,6 +626,7 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int
         equal = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"))
         equal = materialize(equal.where("component_id != most").drop("most"), "equal")
         alike = _line_classes(docs, found, least, jaccard)
+        release(docs.sparkSession)
         part = ["doc_id", "component_id", "start_char", "end_char"]
         lines = found.where("line").select("doc_id", "start_char", "end_char", "h1")
         near_hits = join_hot(maybe_in(lines, "h1", alike.select("h1")), alike, ["h1"], "n", F.xxhash64("doc_id")).select(part)
@@ -617,6 +635,7 @@ def repeats(docs: DataFrame, least: int = LEAST, window: int = WINDOW, near: int
             maybe_in(found.drop("bands"), "h1", equal.select("h1")), equal, ["h1", "h2"], "n", F.xxhash64("doc_id")
         )
         held = materialize(held, "held")
+        release(docs.sparkSession)
         short = held.where(f"kind = {SHORT}").select(part)
         same = held.where("line").select(*part, "h1").join(alike.select("h1"), "h1", "left_anti").select(part)
         runs = _runs(docs, held.where(f"kind = {PASSAGE}"), window, near)

@@ -39,6 +39,17 @@ def test_a_walk_is_the_path_of_the_scan(codec):
         assert codec.walk(u) == codec.search(u) == codec.path(u, 0, len(u), ("", 0), None) == codec.merge(u)
 
 
+def test_the_local_test_equals_an_encoding_of_both(codec):
+    rng = random.Random(45)
+    pieces = [t for t in codec.ids if len(t) < 9]
+    for k in range(40_000):
+        a = rng.choice(pieces)
+        b = rng.choice(pieces) if k % 2 else a[-rng.randint(1, len(a)) :] + rng.choice("aeinst")
+        if b in codec.ids or len(b) == 1:
+            assert codec.stable(a, b) == (codec.merge(a + b) == [a, b]), (a, b)
+    assert all(codec.stable("", t) == (codec.merge(t) == [t]) for t in rng.sample(pieces, 2000))
+
+
 @pytest.mark.parametrize("fan", [2, 3, 64])
 def test_levels_of_any_fan_give_the_same_ids(spark, codec, fan):
     rng = random.Random(43)
