@@ -222,8 +222,10 @@ def _windows(whole: Column, places: list[tuple[str, int, int]]) -> Column:
 
         return F.flatten(F.transform(at, lambda x: F.transform(F.try_element_at(found, x["word"]), lambda place: window(x, place))))
 
-    some = F.array(*[F.lit(w) for w in words])
-    return _bound(F.split(whole, " "), lambda ws: F.when(F.arrays_overlap(ws, some), laid(ws)).otherwise(none))
+    some = F.lit(False)
+    for w in words:
+        some = some | F.contains(whole, F.lit(w))
+    return F.when(some, _bound(F.split(whole, " "), laid)).otherwise(none)
 
 
 MATCH = "array<struct<unit:string,license:string,dice:double,template:int>>"
