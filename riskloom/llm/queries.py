@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, ring, secrets, sentencepiece_codec, simhash, substring, toxicity, vptree
+from . import chat, decontaminate, licenses, ring, secrets, sentencepiece_codec, simhash, substring, toxicity, vptree, whitening
 from .common import table
 
 SHARDS = 40
@@ -64,6 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_vp_trees": op2_vp_trees,
@@ -75,4 +79,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scan": op10_license_scan,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
