@@ -75,9 +75,29 @@ best AS (SELECT rid, arg_min(license, (-dice, license)) AS license, max(dice) AS
 SELECT d.doc_id, license, dice, licenses, coalesce(n_matches, 0) AS n_matches FROM docs d LEFT JOIN best USING (rid)
 """
 
+OP11 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+u AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM u, (VALUES (1), (2), (3), (4)) AS ks(k)),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT * FROM g WHERE f >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k >= 2),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS j FROM c),
+parts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS part, array_to_string(w[j + 1:], ' ') AS rest FROM cuts),
+s AS (SELECT parts.*, b.f AS l, e.f AS r, CAST((2000000::HUGEINT * a) // (b.f + e.f) AS BIGINT) AS score FROM parts
+  JOIN often b ON b.lang = parts.lang AND b.phrase = part JOIN often e ON e.lang = parts.lang AND e.phrase = rest),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM c WHERE k > 2),
+inside AS (SELECT lang, phrase, max(a) AS top FROM longer GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE top IS NULL OR 100 * top < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_vp_trees": OP2,
     "op3_chat_format": OP3,
     "op5_decontaminate": OP5,
     "op10_license_scan": OP10,
+    "op11_collocations": OP11,
 }

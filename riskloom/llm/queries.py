@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licenses, quality, ring, secrets, sentencepiece_codec, simhash, substring, toxicity, vptree, whitening
+from . import chat, collocations, decontaminate, licenses, quality, ring, secrets, sentencepiece_codec, simhash, substring, toxicity, vptree, whitening
 from .common import table
 
 SHARDS = 40
@@ -64,6 +64,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
     "op12_quality_rules": op12_quality_rules,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
