@@ -1,8 +1,8 @@
 """Rule packs and the regular-expression dialect they are written in.
 
-Patterns are in RE2 syntax and semantics; :func:`to_java` turns them into java.util.regex patterns that
-match the same strings. A rule may name groups of literals; of each group one must occur, folded, wherever it
-matches: cheap substring tests that spare the regular expression on most texts.
+Patterns are in RE2 syntax and semantics; :func:`.re2.to_java` turns them into java.util.regex patterns that
+match the same strings. What a text must hold for a rule to fire, literals and runs of digits, is derived from
+the pattern, of a user's own rules as well: cheap tests that spare the regular expression on most texts.
 """
 
 from __future__ import annotations
@@ -10,10 +10,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from .re2 import digit_run, required
+
 SECRETS, INJECTION, PII = "SECRETS", "PROMPT_INJECTION", "PII"
 RISKY, EXFIL, MALWARE, OK = "RISKY_OPERATIONS", "DATA_EXFILTRATION", "MALWARE_INTENT", "OK"
 
 
+#: Shorter runs of digits are in most texts and not looked for.
+LEAST_RUN = 4
+
+
 @dataclass(frozen=True)
 class Rule:
     id: str
@@ -23,10 +29,24 @@ class Rule:
     severity: str
     confidence: float
     pattern: str
-    #: Of each group one literal must occur in the folded text; empty: no such test.
-    needs: tuple[tuple[str, ...], ...] = ()
-    #: Digits in a row that every match holds.
-    digits: int = 0
+    #: Of each group one literal must occur in the folded text; None: as the pattern says, empty: no such test.
+    needs: tuple[tuple[str, ...], ...] | None = None
+    #: Digits in a row that every match holds; None: as the pattern says, 0: no such test.
+    digits: int | None = None
+
+    @property
+    def literals(self) -> tuple[tuple[str, ...], ...]:
+        if self.needs is not None:
+            return self.needs
+        # Where a long run of digits is looked for, single digits say nothing more.
+        return tuple(g for g in required(self.pattern) if not (self.run and all(s.isdigit() for s in g)))
+
+    @property
+    def run(self) -> int:
+        if self.digits is not None:
+            return self.digits
+        found = digit_run(self.pattern)
+        return found if found >= LEAST_RUN else 0
 
     @property
     def has_span(self) -> bool:
@@ -109,42 +129,11 @@ _MALWARE = [
     ("MAL09", "PASSWORD_CRACK", "Password cracking tool request", "high", r"(?i)\b(crack|brute\s*force|hash\s*cat|john\s+the\s+ripper)\b.{0,20}\b(password|credential|hash)"),
 ]
 
-#: Groups of literals, of each of which every match holds one, in folded form (lower case, long s as s), the rarest first;
-#: a group is a blank-separated text. Own choice, checked by tests.
-_MAKE, _ALL, _PEOPLE = "write create build make generate", "all every", "user customer employee patient"
-_NEEDS: dict[str, tuple[str, ...]] = {
-    "INJ01": ("ignore", "previous prior above", "instruction prompt rule"), "INJ02": ("disregard", "previous prior above your", "instruction guideline rule"),
-    "INJ03": ("prompt instruction", "system original hidden", "reveal show display print output"), "INJ04": ("unrestricted unfiltered jailbroken dan", "act", "as like"),
-    "INJ05": ("pretend", "rules restrictions unlimited"), "INJ06": ("free unrestricted evil unfiltered", "now", "you"),
-    "INJ07": ("forget", "everything all rules training instructions"), "INJ08": ("sudo admin root", "mode"), "INJ09": ("developer", "mode"),
-    "INJ10": ("system", "[ < ##"), "INJ11": ("```", "system instruction prompt"), "INJ12": ("instruction prompt rules guidelines", "print output echo display"),
-    "INJ13": ("repeat", "above previous system", "text message prompt instructions"), "PII01": ("ssn social",), "PII07": ("passport license licence", "number no # num"),
-    "PII10": ("email", "@", "my personal private"), "OPS01": ("rm", "-rf -f", "/"), "OPS02": ("-rf", "rm"), "OPS03": ("mkfs",), "OPS04": ("of=/dev/", "if="),
-    "OPS05": ("drop", "database table schema"), "OPS06": ("truncate", "table"), "OPS07": ("delete", "where", "from"), "OPS08": ("chmod", "777"), "OPS09": ("chmod", "777"),
-    "OPS10": ("chown", "root"), "OPS11": ("kill", "-9"), "OPS12": ("killall",), "OPS13": ("shutdown reboot halt",), "OPS14": ("iptables",),
-    "OPS15": ("ufw", "disable"), "OPS16": ("setenforce",), "OPS17": ("delete", "reg"), "OPS18": ("format", ":"),
-    "EXF01": ("dump export extract download", _ALL + " entire", "customer user employee patient record data"),
-    "EXF02": ("password email ssn salary address phone", _PEOPLE, _ALL, "list show give send"), "EXF03": ("mysqldump pg_dump mongodump",),
-    "EXF04": ("select", "*", "from"), "EXF05": ("csv spreadsheet report", _ALL, "of with containing"), "EXF06": ("scrape crawl harvest", _ALL + " entire"),
-    "MAL01": ("logger", "key", _MAKE + " code"), "MAL02": ("phishing login harvester", _MAKE), "MAL03": ("ransom crypto", _MAKE),
-    "MAL04": ("virus worm trojan malware spyware rootkit", _MAKE), "MAL05": ("reverse", "shell"), "MAL06": ("exploit attack payload", "overflow spray free"),
-    "MAL07": ("injection xss site", "attack payload exploit script"), "MAL08": ("ddos",), "MAL09": ("password credential hash", "crack force cat ripper"),
-}
-#: Digits in a row that every match of a rule holds.
-_DIGITS = {"PII01": 4, "PII02": 4, "PII03": 13, "PII04": 16, "PII05": 15, "PII06": 4, "PII08": 6, "PII09": 4}
-
-
-def _needs(rule_id: str) -> tuple[tuple[str, ...], ...]:
-    return tuple(tuple(group.split()) for group in _NEEDS.get(rule_id, ()))
-
-
 def _pack(category: str, confidence: float, rows: list[tuple[str, str, str, str, str]]) -> list[Rule]:
-    return [Rule(i, category, t, d, s, confidence, p, _needs(i), _DIGITS.get(i, 0)) for i, t, d, s, p in rows]
+    return [Rule(i, category, t, d, s, confidence, p) for i, t, d, s, p in rows]
 
 
-INJECTION_PACK = [
-    Rule(i, INJECTION, "INJECTION_PATTERN", d, s, c, p, _needs(i)) for i, d, s, c, p in _INJECTION
-]
+INJECTION_PACK = [Rule(i, INJECTION, "INJECTION_PATTERN", d, s, c, p) for i, d, s, c, p in _INJECTION]
 PII_PACK = _pack(PII, PII_CONFIDENCE, _PII)
 RISKY_PACK = _pack(RISKY, RISKY_CONFIDENCE, _RISKY)
 EXFIL_PACK = _pack(EXFIL, EXFIL_CONFIDENCE, _EXFIL)
@@ -155,72 +144,19 @@ VISIBLE_RULES: list[Rule] = INJECTION_PACK + PII_PACK + RISKY_PACK + EXFIL_PACK
 
 #: An optional pack of our own: common credential shapes. It claims no parity with any other engine's rules.
 SECRETS_PACK: list[Rule] = [
-    Rule(i, SECRETS, t, d, "critical", 0.95, p, (n,))
-    for i, t, d, p, n in [
-        ("SEC01", "PROVIDER_KEY", "Provider API key detected", r"\bsk-[A-Za-z0-9_-]{16,}", ("sk-",)),
-        ("SEC02", "AWS_ACCESS_KEY", "AWS access key id detected", r"\bAKIA[A-Z0-9]{16}\b", ("akia",)),
-        ("SEC03", "GITHUB_TOKEN", "GitHub token detected", r"\bgh[pousr]_[A-Za-z0-9]{36}", ("gh",)),
-        ("SEC04", "API_KEY_ASSIGNMENT", "API key assignment detected", r"(?i)\b(api_?key|secret|token|password)\b\s*[:=]\s*[^\s]{8,}", ("key", "secret", "token", "password")),
-        ("SEC05", "PRIVATE_KEY", "Private key block detected", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("private key",)),
-        ("SEC06", "URL_CREDENTIALS", "Credentials in a URL detected", r"(?i)[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/]+@", ("://",)),
-        ("SEC07", "BEARER_TOKEN", "Bearer token detected", r"(?i)\bbearer\s+[a-z0-9_-]+\.[a-z0-9_-]+\.[a-z0-9_-]+", ("bearer",)),
+    Rule(i, SECRETS, t, d, "critical", 0.95, p)
+    for i, t, d, p in [
+        ("SEC01", "PROVIDER_KEY", "Provider API key detected", r"\bsk-[A-Za-z0-9_-]{16,}"),
+        ("SEC02", "AWS_ACCESS_KEY", "AWS access key id detected", r"\bAKIA[A-Z0-9]{16}\b"),
+        ("SEC03", "GITHUB_TOKEN", "GitHub token detected", r"\bgh[pousr]_[A-Za-z0-9]{36}"),
+        ("SEC04", "API_KEY_ASSIGNMENT", "API key assignment detected", r"(?i)\b(api_?key|secret|token|password)\b\s*[:=]\s*[^\s]{8,}"),
+        ("SEC05", "PRIVATE_KEY", "Private key block detected", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+        ("SEC06", "URL_CREDENTIALS", "Credentials in a URL detected", r"(?i)[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/]+@"),
+        ("SEC07", "BEARER_TOKEN", "Bearer token detected", r"(?i)\bbearer\s+[a-z0-9_-]+\.[a-z0-9_-]+\.[a-z0-9_-]+"),
     ]
 ]
 PACKS: dict[str, list[Rule]] = {"visible": VISIBLE_RULES, "visible+secrets": SECRETS_PACK + VISIBLE_RULES}
 
-EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-BLANK = r"\t\n\f\r "
-KELVIN, LONG_S = r"\x{212A}", r"\x{017F}"
-
-
-def to_java(pattern: str) -> str:
-    """An RE2 pattern as a java.util.regex pattern with RE2's ASCII ``\\b`` and ``\\s``, its dot, and its case folding."""
-    fold = pattern.startswith("(?i)")
-    out, i, in_class = ["(?d)"], 0, False
-    if fold:
-        out[0] = "(?id)"
-        pattern = pattern[4:]
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            e = pattern[i + 1]
-            if e == "b" and not in_class:
-                out.append(EDGE)
-            elif e == "s":
-                out.append(BLANK if in_class else f"[{BLANK}]")
-            elif e in "<>":
-                out.append(e)
-            else:
-                out.append(c + e)
-            i += 2
-            continue
-        if in_class:
-            if c == "]":
-                in_class = False
-            elif fold and pattern[i + 1 : i + 2] == "-" and pattern[i + 2 : i + 3] not in ("]", ""):
-                low, high = c.lower(), pattern[i + 2].lower()
-                out.append(pattern[i : i + 3] + (KELVIN if low <= "k" <= high else "") + (LONG_S if low <= "s" <= high else ""))
-                i += 3
-                continue
-            elif fold and c in "kK":
-                c += KELVIN
-            elif fold and c in "sS":
-                c += LONG_S
-        elif c == "[":
-            in_class = True
-            if pattern[i + 1 : i + 2] == "^":
-                out.append("[^")
-                i += 2
-                continue
-        elif fold and c in "kK" and not (i and pattern[i - 1] == "?"):
-            c = f"[{c}{KELVIN}]"
-        elif fold and c in "sS":
-            c = f"[{c}{LONG_S}]"
-        out.append(c)
-        i += 1
-    return "".join(out)
-
-
 def rule_named(rule_id: str) -> Rule:
     return next(r for r in PACKS["visible+secrets"] if r.id == rule_id)
 

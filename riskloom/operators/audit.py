@@ -3,7 +3,14 @@
 A signature covers the entry's fields and the signature before it. A chain is sequential by nature, so chains are
 kept per chain key (tenant and day, say): rows are dealt by key, sorted, and each task streams through
 its chains with one signature in memory. An empty key list is the single chain over everything.
-Verification needs no order of work: every row is signed anew and compared, and must follow its predecessor.
+
+Verification needs no order of work: every row is signed anew and compared, and must follow its predecessor. A chain of any
+length is checked in ranges of ``RANGE_ROWS`` entries, each by itself; only its first entry is compared with the last signature
+of the range before, which crosses over as one row a range.
+
+A chain that is cut off at its end still verifies. So a closed chain gets a *seal*: the root of a Merkle tree over its
+signatures (``FAN`` children a node, leaves and nodes hashed apart), the number of its entries, and an HMAC of both. The inner nodes, a
+sixteenth of the entries, say which entries differ when the root does, and give proofs of inclusion that need no other entry.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ from pyspark.sql.window import Window
 # The signed fields in order, and what joins them.
 FIELDS = ("event_id", "tenant_id", "session_id", "timestamp", "risk_level", "risk_score", "finding_count", "policy_profile", "prev_signature")
 JOINT = "|"
+#: Entries checked as one range, children of a node, and what tells leaves from nodes.
+RANGE_ROWS, FAN, LEAF, NODE = 100_000, 16, "\x00", "\x01"
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -60,7 +69,8 @@ def sign_alone(rows: DataFrame, secret: str) -> DataFrame:
 def chain(rows: DataFrame, secret: str, keys: list[str] | None = None) -> DataFrame:
     """Adds ``seq, prev_signature, signature``; the order inside a chain is (ts, event_id)."""
     keys = keys or []
-    spread = rows.repartition(*keys) if keys else rows.coalesce(1)
+    # One task signs a single chain; an exchange, so that what comes before isn't done in that task as well.
+    spread = rows.repartition(*keys) if keys else rows.repartition(1)
     ordered = spread.sortWithinPartitions(*keys, "ts", "event_id")
     names = [f.name for f in ordered.schema]
 
@@ -85,9 +95,139 @@ def chain(rows: DataFrame, secret: str, keys: list[str] | None = None) -> DataFr
     return ordered.mapInPandas(run, out)
 
 
-def verify(chained: DataFrame, secret: str, keys: list[str] | None = None) -> DataFrame:
+def _range(rows: int) -> Column:
+    return F.floor(F.col("seq") / rows).alias("_range")
+
+
+def verify(chained: DataFrame, secret: str, keys: list[str] | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Adds ``valid``: the signature fits the row, and the row follows its predecessor in the chain."""
-    order = Window.partitionBy(*(keys or [])).orderBy("seq")
-    follows = F.col("prev_signature") == F.coalesce(F.lag("signature").over(order), F.lit(""))
+    keys = keys or []
+    rows = chained.select("*", _range(range_rows))
+    tails = rows.groupBy(*keys, "_range").agg(F.max_by("signature", "seq").alias("_tail"))
+    tails = tails.select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("_range") + 1).alias("_next"), "_tail")
+    same = F.col("_range") == F.col("_next")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    order = Window.partitionBy(*keys, "_range").orderBy("seq")
+    before = F.coalesce(F.lag("signature").over(order), F.when(F.row_number().over(order) == 1, F.col("_tail")), F.lit(""))
     fits = F.col("signature") == hmac_sha256(secret, payload(F.col("prev_signature")))
-    return chained.withColumn("valid", F.coalesce(fits & follows, F.lit(False)))
+    valid = F.coalesce(fits & (F.col("prev_signature") == before), F.lit(False))
+    return rows.join(tails, same, "left").select(*chained.columns, valid.alias("valid"))
+
+
+# -- seals ---------------------------------------------------------------------------------------------
+
+
+def _hash(mark: str, text: Column) -> Column:
+    return F.sha2(F.encode(F.concat(F.lit(mark), text), "UTF-8"), 256)
+
+
+def leaves(log: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, level, node, digest``: an entry's place in its chain and the hash of its signature."""
+    return log.select(*keys, F.lit(0).alias("level"), F.col("seq").cast("long").alias("node"), _hash(LEAF, F.col("signature")).alias("digest"))
+
+
+def merkle(log: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``keys, level, node, digest, top``: the inner nodes of each chain's tree; ``top`` marks its root, at the first level of one node.
+
+    A node hashes the digests of its children in order; each level shuffles a ``fan``-th of the one below. A chain of one entry
+    has a root of one child. Repeated entries are children of a node each.
+    """
+    keys = keys or []
+    longest = log.agg(F.max("seq")).first()[0]
+    level, out = leaves(log, keys), None
+    # What a chain has is told by its own last place, not by the longest chain's.
+    level = level.join(level.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("node").alias("last")), _same(keys), "inner").drop(*[f"_{k}" for k in keys]) if keys else level.crossJoin(F.broadcast(level.agg(F.max("node").alias("last"))))
+    k = 0
+    while k == 0 or fan**k <= (longest or 0):
+        k += 1
+        grouped = level.groupBy(*keys, F.expr(f"node div {fan}").alias("node"))
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: c["digest"]), "")  # at most fan, but for repeated entries
+        made = grouped.agg(_hash(NODE, children).alias("digest"), F.first("last").alias("last"))
+        size = fan**k
+        made = made.select(*keys, F.lit(k).alias("level"), "node", "digest", "last", (F.col("last") < size).alias("top"))
+        out = made if out is None else out.unionByName(made)
+        level = made.where("not top").drop("top")
+    return out.drop("last")
+
+
+def _same(keys: list[str], left: str = "", right: str = "_") -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}"))
+    return condition
+
+
+def _sealed(keys: list[str], secret: str) -> Column:
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return hmac_sha256(secret, F.concat_ws(JOINT, *named, F.col("entries").cast("string"), "root"))
+
+
+def seal(log: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``keys, entries, root, seal``: one row a chain."""
+    keys = keys or []
+    roots = merkle(log, keys, fan).where("top").select(*keys, F.col("digest").alias("root"))
+    counted = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"))
+    counted = counted.withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = roots.join(counted, _same(keys)).drop(*[f"_{k}" for k in keys]) if keys else roots.crossJoin(F.broadcast(counted))
+    return both.withColumn("seal", _sealed(keys, secret)).select(*keys, "entries", "root", "seal")
+
+
+def check_seals(log: DataFrame, seals: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``keys, status, entries, found``: how each chain's log compares with its seal.
+
+    ``whole``; ``forged`` (the seal itself isn't ours); ``missing`` (no entry left); ``unsealed`` (no seal); ``shorter``,
+    ``longer`` or ``changed`` (as many entries, not the same).
+    """
+    keys = keys or []
+    now = seal(log, secret, keys, fan).select(*keys, F.col("entries").alias("found"), F.col("root").alias("now"))
+    then = seals.withColumn("ours", F.col("seal") == _sealed(keys, secret)).withColumnsRenamed({k: f"_{k}" for k in keys})
+    both = now.join(then, _same(keys), "full")
+    status = (
+        F.when(F.col("root").isNull(), "unsealed").when(~F.col("ours"), "forged").when(F.col("now").isNull(), "missing")
+        .when(F.col("now") == F.col("root"), "whole").when(F.col("found") < F.col("entries"), "shorter").when(F.col("found") > F.col("entries"), "longer").otherwise("changed")
+    )
+    named = [F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in keys]
+    return both.select(*named, status.alias("status"), F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def locate(log: DataFrame, nodes: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``keys, first, last``: ranges of ``fan`` places in which the log differs from what the stored tree's lowest nodes say."""
+    keys = keys or []
+    then = nodes.where("level = 1").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_node"), F.col("digest").alias("_digest"))
+    now = merkle(log, keys, fan).where("level = 1").select(*keys, "node", "digest")
+    both = now.join(then, _same(keys) & (F.col("node") == F.col("_node")), "full")
+    node = F.coalesce("node", "_node")
+    named = [F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in keys]
+    differs = ~F.col("digest").eqNullSafe(F.col("_digest"))
+    return both.where(differs).select(*named, (node * fan).alias("first"), (node * fan + fan - 1).alias("last"))
+
+
+def proofs(wanted: DataFrame, log: DataFrame, nodes: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``wanted`` (``keys, seq`` and more) with ``proof``: for each level the digests beside the entry's own, and where that stands among them."""
+    keys = keys or []
+    height = nodes.agg(F.max("level")).first()[0] or 1
+    every = leaves(log, keys).unionByName(nodes.where("not top").select(*keys, "level", "node", "digest"))
+    ask = wanted.withColumns({"_id": F.struct(*keys, "seq"), "_level": F.explode(F.sequence(F.lit(0), F.lit(height - 1)))})
+    ask = ask.withColumn("_parent", F.floor(F.col("seq") / F.pow(F.lit(fan), F.col("_level") + 1)).cast("long")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    beside = every.withColumn("_up", F.expr(f"node div {fan}"))
+    met = ask.join(beside, _same(keys) & (F.col("_level") == F.col("level")) & (F.col("_parent") == F.col("_up")))
+    children = F.array_sort(F.collect_list(F.struct("node", "digest")))
+    steps = met.groupBy("_id", "_level").agg(children.alias("c"), F.first("_parent").alias("_parent"))
+    at = F.floor(F.col("_id.seq") / F.pow(F.lit(fan), F.col("_level"))).cast("long")
+    steps = steps.select("_id", F.struct("_level", F.array_position(F.transform("c", lambda c: c["node"]), at).alias("place"), F.transform("c", lambda c: c["digest"]).alias("digests")).alias("step"))
+    made = steps.groupBy("_id").agg(F.array_sort(F.collect_list("step")).alias("proof"))  # a step a level
+    made = made.select(*[F.col(f"_id.{k}").alias(f"_{k}") for k in keys], F.col("_id.seq").alias("_seq"), "proof")
+    return wanted.join(made, _same(keys) & (F.col("seq") == F.col("_seq"))).drop("_seq", *[f"_{k}" for k in keys])
+
+
+def proven(signature: Column, proof: Column, root: Column) -> Column:
+    """Whether a proof leads from an entry's signature to the root."""
+    start = F.struct(_hash(LEAF, signature).alias("digest"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, s: Column) -> Column:
+        ok = acc["ok"] & F.coalesce(F.get(s["digests"], (s["place"] - 1).cast("int")) == acc["digest"], F.lit(False))
+        return F.struct(_hash(NODE, F.array_join(s["digests"], "")).alias("digest"), ok.alias("ok"))
+
+    end = F.aggregate(proof, start, step)
+    return F.coalesce(end["ok"] & (end["digest"] == root), F.lit(False))

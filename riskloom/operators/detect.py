@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import OK, VISIBLE_RULES, Rule, to_java
+from ..functions.re2 import to_java
+from ..functions.rules import OK, VISIBLE_RULES, Rule
 
 LOCATION = "struct<start:int,end:int>"
 FINDING = f"struct<category:string,type:string,detail:string,confidence:double,severity:string,location:{LOCATION}>"
@@ -31,8 +32,8 @@ def _text(value: str) -> str:
 
 def _fires(rule: Rule, names: tuple[str, str, str]) -> str:
     plain, low, runs = names
-    tests = [f"{runs} >= {rule.digits}"] if rule.digits else []
-    tests += ["(" + " OR ".join(f"contains({low}, {_text(n)})" for n in group) + ")" for group in rule.needs]
+    tests = [f"{runs} >= {rule.run}"] if rule.run else []
+    tests += ["(" + " OR ".join(f"contains({low}, {_text(n)})" for n in group) + ")" for group in rule.literals]
     return " AND ".join([*tests, f"{plain} RLIKE {_text(to_java(rule.pattern))}"])
 
 
@@ -51,16 +52,15 @@ def _finding(rule: Rule, plain: str) -> str:
     return f"named_struct({named}, 'confidence', {rule.confidence}D, 'severity', {_text(rule.severity)}, 'location', {location})"
 
 
-#: Lengths of runs of digits that rules ask for.
-RUNS = sorted({r.digits for r in VISIBLE_RULES if r.digits})
-
-
-def _longest_run(text: Column) -> Column:
-    """The greatest of ``RUNS`` that some run of digits in the text reaches, 0 if none; the first test that fails ends it."""
+def _longest_run(text: Column, rules: list[Rule]) -> Column:
+    """The greatest length that one of the rules asks for and some run of digits in the text reaches, 0 if none; the first test that fails ends it."""
+    lengths = sorted({r.run for r in rules if r.run})
+    if not lengths:
+        return F.lit(0)
     out = F
-    for reached, n in zip([0, *RUNS], RUNS, strict=False):
+    for reached, n in zip([0, *lengths], lengths, strict=False):
         out = out.when(~text.rlike(f"[0-9]{{{n}}}"), reached)
-    return out.otherwise(RUNS[-1])
+    return out.otherwise(lengths[-1])
 
 
 def _unused(df: DataFrame, name: str) -> str:
@@ -91,8 +91,7 @@ def _each(df: DataFrame, content: str, rules: list[Rule], made, kind: str, name:
     names = tuple(_unused(df, n) for n in ("_text", "_folded", "_digits"))
     text = F.coalesce(F.col(content), F.lit(""))
     ready = df.withColumn(names[0], text)
-    runs = _longest_run(F.col(names[0])) if any(r.digits for r in rules) else F.lit(0)
-    ready = ready.withColumns({names[1]: folded(F.col(names[0])), names[2]: runs})
+    ready = ready.withColumns({names[1]: folded(F.col(names[0])), names[2]: _longest_run(F.col(names[0]), rules)})
     cases = [f"CASE WHEN {_fires(r, names)} THEN {made(r, names[0])} END" for r in rules]
     found = f"filter(array({', '.join(cases)}), f -> f IS NOT NULL)" if cases else f"CAST(array() AS array<{kind}>)"
     return ready.withColumn(name, F.expr(found)).drop(*names)

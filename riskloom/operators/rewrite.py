@@ -79,6 +79,11 @@ def redact(content: Column, findings: Column, overlap: str = "sequential") -> Co
 
 
 def safe_rewrite(df: DataFrame, overlap: str = "sequential") -> DataFrame:
-    """Adds ``safe_rewrite``: the redacted text where the level isn't SAFE, else null."""
-    gate = (F.col("risk_level") != SAFE) & (F.size("findings") > 0)
+    """Adds ``safe_rewrite``: the redacted text where the level isn't SAFE, else null.
+
+    A level isn't SAFE where there are findings, and only there; so rows that aren't decided yet can be redacted as well.
+    """
+    gate = F.size("findings") > 0
+    if "risk_level" in df.columns:
+        gate = (F.col("risk_level") != SAFE) & gate
     return df.withColumn("safe_rewrite", F.when(gate, redact(F.col("content"), F.col("findings"), overlap)))

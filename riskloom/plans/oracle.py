@@ -171,6 +171,22 @@ chained AS (SELECT event_id, tenant_id, day, seq, '' AS prev_signature, {signed.
 """
 
 
+def merkle_sql(secret: str, levels: int = 5) -> str:
+    """CTEs up to ``seals`` over ``chained``: a tree of 16 children a node for each chain, up to 16^levels entries."""
+    parts = [
+        "k0 AS (SELECT tenant_id, day, seq AS node, sha256(from_hex('00') || encode(signature)) AS d, max(seq) OVER (PARTITION BY tenant_id, day) AS last FROM chained)"
+    ]
+    for k in range(1, levels + 1):
+        open_ = f" WHERE last >= {audit.FAN ** (k - 1)}" if k > 1 else ""
+        parts.append(
+            f"k{k} AS (SELECT tenant_id, day, node // {audit.FAN} AS node, sha256(from_hex('01') || encode(string_agg(d, '' ORDER BY node))) AS d, any_value(last) AS last "
+            f"FROM k{k - 1}{open_} GROUP BY tenant_id, day, node // {audit.FAN})"
+        )
+    tops = " UNION ALL ".join(f"SELECT tenant_id, day, last + 1 AS entries, d AS root FROM k{k} WHERE last < {audit.FAN**k}" for k in range(1, levels + 1))
+    sealed = hmac_sql(secret, "tenant_id || '|' || day || '|' || entries || '|' || root")
+    return ", ".join([*parts, f"tops AS ({tops})", f"seals AS (SELECT *, {sealed} AS seal FROM tops)"])
+
+
 def recursive(sql: str) -> str:
     return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 

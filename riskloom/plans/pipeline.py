@@ -12,7 +12,7 @@ from ..operators.audit import chain, entries
 from ..operators.detect import detect, or_ok
 from ..operators.policy import evaluate
 from ..operators.rewrite import safe_rewrite
-from ..operators.session import decide_sessions
+from ..operators.session import SEGMENT_ROWS, decide_sessions
 from ..operators.stats import by_decision
 from ..sources.ingest import with_defaults
 
@@ -24,13 +24,17 @@ class ScanConfig:
     overlap: str = "sequential"
     secret: str = "dev-secret"
     chain_keys: tuple[str, ...] = ("tenant_id", "day")
+    segment_rows: int = SEGMENT_ROWS
 
 
 def scan(requests: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:
-    """Requests with ``findings``, decision and ``safe_rewrite``; one shuffle (on the session) if sessions count."""
+    """Requests with ``findings``, decision and ``safe_rewrite``; one shuffle (on session and segment) if sessions count.
+
+    Texts are redacted before that shuffle, so a plan that doesn't ask for ``content`` doesn't move it.
+    """
     cfg = cfg or ScanConfig()
-    found = detect(with_defaults(requests), PACKS[cfg.pack])
-    return safe_rewrite(decide_sessions(found) if cfg.sessions else evaluate(found), cfg.overlap)
+    found = safe_rewrite(detect(with_defaults(requests), PACKS[cfg.pack]), cfg.overlap)
+    return decide_sessions(found, cfg.segment_rows) if cfg.sessions else evaluate(found)
 
 
 def audit_log(decided: DataFrame, cfg: ScanConfig | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from ..operators.govern import PolicyConfig, default_config, govern, governance_
 from ..operators.rewrite import safe_rewrite
 from ..operators.session import session_profiles
 from ..sources import ingest
+from ..sources.shared import written
 from ..streaming import scan as streams
 from . import corpus
 from . import oracle as sql
@@ -207,6 +208,22 @@ def session_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("event_no", "risk_level", "risk_score", "reasoning")
 
 
+#: Every event as a request without ids: one session over the whole table, in many segments.
+_SHARED_BUCKET = f"{sql.BASE} {sql.SESSIONS}".replace("tenant_id || ':' || session_id AS session_key", "'anonymous' AS session_key")
+
+
+@query(
+    "session_shared_bucket",
+    f"{_SHARED_BUCKET} {_SIGNALS} remembered AS recent_categories, risk_level, risk_score, esc AS recent_attack_escalation FROM d",
+)
+def session_shared_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nobody = corpus.requests(spark, sf_dir).withColumns({"tenant_id": F.lit(""), "session_id": F.lit(None).cast("string")})
+    return scan(nobody, ScanConfig(segment_rows=2_000)).select(
+        "event_no", "session_key", "recent_scans", "recent_reviews", "recent_blocks", F.array_join("recent_categories", ",").alias("recent_categories"),
+        "risk_level", "risk_score", "recent_attack_escalation",
+    )
+
+
 @query(
     "session_profile_final",
     f"{sql.BASE} {sql.SESSIONS}, t AS (SELECT session_key, count(*) AS scans, count(*) FILTER (risk_level = 'REVIEW') AS reviews, "
@@ -302,6 +319,55 @@ def audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if("valid").alias("valid"))
 
 
+_CHAINED = f"{sql.BASE} {sql.SESSIONS} {sql.chain_sql(SECRET)}"
+_CHAIN_KEYS = ["tenant_id", "day"]
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chained log, written once: trees read it several times."""
+    return written(audit_log(_decided(spark, sf_dir), ScanConfig(secret=SECRET)), "log")
+
+
+@query("audit_seals", sql.recursive(f"{_CHAINED}, {sql.merkle_sql(SECRET)} SELECT tenant_id, day, entries, root, seal FROM seals"))
+def audit_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.seal(_log(spark, sf_dir), SECRET, _CHAIN_KEYS)
+
+
+# What happens to a sealed log, by tenant: t1 loses its last two entries, t2 has one altered, t3 loses the first, t4 gets one more.
+@query(
+    "audit_seal_check",
+    f"{sql.BASE} n AS (SELECT tenant_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM e GROUP BY ALL), "
+    "m AS (SELECT *, CASE tenant_id WHEN 't1' THEN greatest(n - 2, 0) WHEN 't3' THEN n - 1 WHEN 't4' THEN n + 1 ELSE n END AS found FROM n) "
+    "SELECT tenant_id, day, CASE WHEN found = 0 THEN 'missing' WHEN found < n THEN 'shorter' WHEN found > n THEN 'longer' WHEN tenant_id = 't2' AND n > 1 THEN 'changed' ELSE 'whole' END AS status, "
+    "n AS entries, found, CASE WHEN tenant_id = 't1' THEN found // 16 * 16 WHEN tenant_id = 't3' OR (tenant_id = 't2' AND n > 1) THEN 0 WHEN tenant_id = 't4' THEN n // 16 * 16 END AS first_bad FROM m",
+)
+def audit_seal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    seals, nodes = written(audit.seal(log, SECRET, _CHAIN_KEYS), "seals"), written(audit.merkle(log, _CHAIN_KEYS), "nodes")
+    places = log.groupBy(*_CHAIN_KEYS).agg(F.max("seq").alias("last"))
+    rows = log.join(places, _CHAIN_KEYS)
+    kept = rows.where("NOT (tenant_id = 't1' AND seq > last - 2) AND NOT (tenant_id = 't3' AND seq = 0)")
+    altered = F.when((F.col("tenant_id") == "t2") & (F.col("seq") == 1), F.reverse("signature")).otherwise(F.col("signature"))
+    added = rows.where("tenant_id = 't4' AND seq = last").withColumn("seq", F.col("seq") + 1)
+    bent = written(kept.withColumn("signature", altered).unionByName(added).drop("last"), "bent")
+    where = audit.locate(bent, nodes, _CHAIN_KEYS).groupBy(*_CHAIN_KEYS).agg(F.min("first").alias("first_bad"))
+    return audit.check_seals(bent, seals, SECRET, _CHAIN_KEYS).join(where, _CHAIN_KEYS, "left").select(*_CHAIN_KEYS, "status", "entries", "found", "first_bad")
+
+
+@query(
+    "audit_proofs",
+    f"{sql.BASE} n AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, strftime(ts, '%Y-%m-%d')) AS n FROM e) "
+    "SELECT event_id, CAST(CASE WHEN n <= 16 THEN 1 WHEN n <= 256 THEN 2 WHEN n <= 4096 THEN 3 ELSE 4 END AS INTEGER) AS steps, true AS proven, false AS proven_elsewhere FROM n",
+)
+def audit_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    nodes = written(audit.merkle(log, _CHAIN_KEYS), "nodes")
+    roots = nodes.where("top").select(*_CHAIN_KEYS, F.col("digest").alias("root"))
+    proofs = audit.proofs(log.select("event_id", *_CHAIN_KEYS, "seq", "signature"), log, nodes, _CHAIN_KEYS).join(roots, _CHAIN_KEYS)
+    elsewhere = audit.proven(F.col("signature"), F.col("proof"), F.sha2(F.encode("root", "UTF-8"), 256))
+    return proofs.select("event_id", F.size("proof").alias("steps"), audit.proven(F.col("signature"), F.col("proof"), F.col("root")).alias("proven"), elsewhere.alias("proven_elsewhere"))
+
+
 @query(
     "stats_by_decision",
     f"{sql.BASE} {sql.SESSIONS}, l(risk_level) AS (VALUES ('SAFE'), ('REVIEW'), ('BLOCK')) "
