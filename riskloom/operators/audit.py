@@ -50,7 +50,7 @@ def entries(decided: DataFrame) -> DataFrame:
         F.date_format("ts", TIME_FORMAT).alias("timestamp"),
         "risk_level",
         "risk_score",
-        F.size("findings").alias("finding_count"),
+        F.col("finding_count") if "finding_count" in decided.columns else F.size("findings").alias("finding_count"),
         "policy_profile",
         "ts",
     )
@@ -66,13 +66,22 @@ def sign_alone(rows: DataFrame, secret: str) -> DataFrame:
     return rows.withColumns({"prev_signature": F.lit(""), "signature": hmac_sha256(secret, payload(F.lit("")))})
 
 
-def chain(rows: DataFrame, secret: str, keys: list[str] | None = None) -> DataFrame:
-    """Adds ``seq, prev_signature, signature``; the order inside a chain is (ts, event_id)."""
+def chain(rows: DataFrame, secret: str, keys: list[str] | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Adds ``seq, prev_signature, signature``; the order inside a chain is (ts, event_id).
+
+    ``heads`` (``keys, seq0, prev0``) are chains that go on: entries they have, and the last one's signature.
+    """
     keys = keys or []
+    names = rows.columns
     # One task signs a single chain; an exchange, so that what comes before isn't done in that task as well.
     spread = rows.repartition(*keys) if keys else rows.repartition(1)
+    if heads is None:
+        spread = spread.withColumns({"seq0": F.lit(0).cast("long"), "prev0": F.lit("")})
+    else:
+        begun = heads.select(*[F.col(k).alias(f"_{k}") for k in keys], "seq0", "prev0")
+        spread = spread.join(begun, _same(keys), "left").drop(*[f"_{k}" for k in keys])
+        spread = spread.withColumns({"seq0": F.coalesce("seq0", F.lit(0)).cast("long"), "prev0": F.coalesce("prev0", F.lit(""))})
     ordered = spread.sortWithinPartitions(*keys, "ts", "event_id")
-    names = [f.name for f in ordered.schema]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, prev, seq = None, "", 0
@@ -80,9 +89,9 @@ def chain(rows: DataFrame, secret: str, keys: list[str] | None = None) -> DataFr
         for batch in batches:
             before, signatures, numbers = [], [], []
             chains = list(map(tuple, batch[keys].astype(object).where(batch[keys].notna(), None).to_numpy())) if keys else [()] * len(batch)
-            for c, row in zip(chains, zip(*(batch[f] for f in FIELDS[:-1]), strict=True), strict=True):
+            for c, seq0, prev0, row in zip(chains, batch["seq0"], batch["prev0"], zip(*(batch[f] for f in FIELDS[:-1]), strict=True), strict=True):
                 if c != last:
-                    last, prev, seq = c, "", 0
+                    last, prev, seq = c, prev0, seq0
                 text = JOINT.join([*("" if pd.isna(x) else str(x) for x in row), prev])
                 before.append(prev)
                 prev = hmac.new(key, text.encode(), "sha256").hexdigest()
@@ -91,7 +100,7 @@ def chain(rows: DataFrame, secret: str, keys: list[str] | None = None) -> DataFr
                 seq += 1
             yield batch[names].assign(seq=numbers, prev_signature=before, signature=signatures)
 
-    out = StructType(list(ordered.schema)).add("seq", "long").add("prev_signature", "string").add("signature", "string")
+    out = StructType([rows.schema[n] for n in names]).add("seq", "long").add("prev_signature", "string").add("signature", "string")
     return ordered.mapInPandas(run, out)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +14,10 @@ from ..operators.govern import PolicyConfig, default_config, govern, governance_
 from ..operators.rewrite import safe_rewrite
 from ..operators.session import session_profiles
 from ..sources import ingest
-from ..sources.shared import written
+from ..sources.shared import new_path, written
 from ..streaming import scan as streams
+from ..streaming import store
+from ..streaming.memory import remembered_decisions, rocksdb
 from . import corpus
 from . import oracle as sql
 from .pipeline import ScanConfig, audit_log, response_rows, scan
@@ -571,18 +572,27 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.from_events(spark, rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"))
 
 
-def _run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what there is, into a memory table, and return that."""
-    name = f"riskloom_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    started = writer.start()
+def _stored(stream: DataFrame, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream over what there is, into files in the shared folder, and return those.
+
+    ``append``: Spark's file sink; ``complete``: each batch's whole result replaces the one before.
+    """
+    spark = stream.sparkSession
+    out, state = out or new_path(spark, "stream"), state or new_path(spark, "state")
+    writer = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    with rocksdb(spark):
+        started = writer.start()
     started.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query("stream_stats", f"{sql.BASE} {sql.decided('policy_profile')} SELECT risk_level, count(*) AS n FROM d GROUP BY risk_level")
 def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(streams.decision_counts(_event_stream(spark, sf_dir)), "complete")
+    return _stored(streams.decision_counts(_event_stream(spark, sf_dir)), "complete")
 
 
 @query(
@@ -590,7 +600,7 @@ def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{sql.BASE} {sql.decided('policy_profile')} SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, tenant_id, risk_level, count(*) AS n FROM d GROUP BY ALL",
 )
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _run(streams.tumbling_counts(_event_stream(spark, sf_dir)), "complete")
+    counted = _stored(streams.tumbling_counts(_event_stream(spark, sf_dir)), "complete")
     return counted.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tenant_id", "risk_level", "n")
 
 
@@ -599,7 +609,64 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{sql.BASE} {sql.SESSIONS} {_SIGNALS} event_id, risk_level, risk_score, esc AS recent_attack_escalation FROM d".replace("SELECT event_no, session_key", "SELECT session_key"),
 )
 def stream_session_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _run(streams.session_decisions(_event_stream(spark, sf_dir)), "append")
+    done = _stored(streams.session_decisions(_event_stream(spark, sf_dir)))
     return done.select(
         "session_key", "recent_scans", "recent_reviews", "recent_blocks", "event_id", "risk_level", "risk_score", "recent_attack_escalation"
     )
+
+
+#: Idle sessions are forgotten after more than any session rests, so the answer is that of the batch plan; state on RocksDB.
+_IDLE_MS = 10 * 366 * 86_400_000
+
+
+@query(
+    "stream_session_memory",
+    f"{sql.BASE} {sql.SESSIONS} {_SIGNALS} event_id, risk_level, risk_score, esc AS recent_attack_escalation FROM d".replace("SELECT event_no, session_key", "SELECT session_key"),
+)
+def stream_session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _stored(remembered_decisions(_event_stream(spark, sf_dir), _IDLE_MS))
+    return done.select("session_key", "recent_scans", "recent_reviews", "recent_blocks", "event_id", "risk_level", "risk_score", "recent_attack_escalation")
+
+
+def _stored_log(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a stream of decisions, appended to a stored audit log; its path."""
+    path = new_path(spark, "audit-log")
+    writer = remembered_decisions(_event_stream(spark, sf_dir)).writeStream.option("checkpointLocation", new_path(spark, "state"))
+    with rocksdb(spark):
+        started = writer.foreachBatch(store.appender(path, SECRET)).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return path
+
+
+@query("stream_audit_log", ORACLE_SQL["audit_chain"])
+def stream_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.log(spark, _stored_log(spark, sf_dir)).select("event_id", "tenant_id", "day", "seq", "prev_signature", "signature")
+
+
+@query("stream_counters", ORACLE_SQL["stats_totals"])
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.totals(spark, _stored_log(spark, sf_dir))
+
+
+#: Events arrive in three parts: the older half, the newer half, and last every tenth event of the older half, held up on its way.
+_LATE = 10
+
+
+@query(
+    "stream_late_windows",
+    f"{sql.BASE} {sql.decided('policy_profile')}, m AS (SELECT quantile_disc(ts, 0.5) AS mid FROM d), "
+    f"a AS (SELECT d.*, date_trunc('hour', ts) AS w, ts <= mid AND event_no % {_LATE} = 0 AS late FROM d, m), "
+    "marks AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 10 MINUTE AS mark FROM a) "
+    "SELECT strftime(w, '%Y-%m-%d %H') AS hour, tenant_id, risk_level, count(*) AS n FROM a, marks WHERE NOT late AND w + INTERVAL 1 HOUR <= mark GROUP BY ALL",
+)
+def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows come out once, when the watermark has passed them; what comes for them later is dropped, what isn't over is held back."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    mid = events.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(ts)) AS mid")).first()["mid"] or 0
+    part = F.when(F.unix_micros("ts") > mid, 2).when(F.col("event_id") % _LATE == 0, 3).otherwise(1)
+    arrivals, state, out = (new_path(spark, tag) for tag in ("arrivals", "state", "stream"))
+    for k in (1, 2, 3):  # each time the stream is started anew and goes on where it was
+        events.where(part == k).write.mode("append").parquet(arrivals)
+        rows = spark.readStream.schema(events.schema).parquet(arrivals)
+        counted = _stored(streams.tumbling_counts(corpus.from_events(spark, rows)), out=out, state=state)
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tenant_id", "risk_level", "n")
