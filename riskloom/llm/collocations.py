@@ -48,8 +48,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[.,;:!?\n\x0B\f\r]"
 GAP = byte_set(0x20, 0x09)
 HASH_BYTES = 5
-#: Hash buckets in one task: many, so that tasks get alike.
-BUCKETS_A_TASK = 4
+#: Hash buckets in one task: several, so that tasks get alike; rows of packed hashes that duckdb gets at once.
+BUCKETS_A_TASK, ROWS_AT_ONCE = 4, 256
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -183,6 +183,17 @@ def packed(h: np.ndarray, w: np.ndarray, buckets: int) -> Iterator[pa.RecordBatc
     yield pa.record_batch([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("hashes", "weights", "large"))], list(rows))
 
 
+def unpacked(rows: pa.RecordBatch) -> pa.Table:
+    """``h, w``: all hashes, their bucket in front, and their weights."""
+    low, at = joined(rows.column("hashes"))
+    wide = np.zeros((len(low) // HASH_BYTES, 8), np.uint8)
+    wide[:, :HASH_BYTES] = low.reshape(-1, HASH_BYTES)
+    bucket = np.repeat(rows.column("bucket").to_numpy().astype(np.uint64), np.diff(at) // HASH_BYTES)
+    w = joined(rows.column("weights"))[0].astype(np.int64)
+    w[w == 255] = joined(rows.column("large"))[0].view("<i8")
+    return pa.table({"h": wide.view("<u8").ravel() | (bucket << np.uint64(8 * HASH_BYTES)), "w": w})
+
+
 def code(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
     """What a counted hash is known by afterwards: all of it mixed, as a bit map wants."""
     return seed_mix((bucket.astype(np.uint64) << np.uint64(8 * HASH_BYTES)) | low)
@@ -195,14 +206,8 @@ def frequent_codes(rows: DataFrame, buckets: int, least: int) -> DataFrame:
         counted = Bucket("h UBIGINT, w BIGINT")
         try:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    b, low, weights, large = (batch.column(c)[i].as_py() for c in ("bucket", "hashes", "weights", "large"))
-                    wide = np.zeros((len(weights), 8), np.uint8)
-                    wide[:, :HASH_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, HASH_BYTES)
-                    w = np.frombuffer(weights, np.uint8).astype(np.int64)
-                    w[w == 255] = np.frombuffer(large, "<i8")
-                    h = wide.view("<u8").ravel() | np.uint64(b << (8 * HASH_BYTES))
-                    counted.add(pa.table({"h": pa.array(h, pa.uint64()), "w": w}))
+                for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                    counted.add(unpacked(batch.slice(i, ROWS_AT_ONCE)))
             for found in counted.found(f"SELECT h FROM seen GROUP BY h HAVING sum(w) >= {least}"):
                 h = found.column("h").to_numpy()
                 yield pa.record_batch([pa.array(seed_mix(h).view(np.int64))], ["v"])
@@ -266,10 +271,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _slices(batches):
-            for k, at in chained(s).items():
-                if k > 2:
-                    first, w = s.counted(at, k)
-                    yield from packed(s.hashes(first, k), w, buckets)
+            found = [(k, *s.counted(at, k)) for k, at in chained(s).items() if k > 2]
+            yield from packed(np.concatenate([s.hashes(first, k) for k, first, _ in found]), np.concatenate([w for _, _, w in found]), buckets)
 
     longer = materialize(frequent_codes(every.mapInArrow(more, hashed), buckets, least), "longer")
     long_map = bit_map(longer)

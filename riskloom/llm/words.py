@@ -30,11 +30,12 @@ def cut(data: np.ndarray, bounds: np.ndarray, inside: np.ndarray) -> tuple[pa.Ar
     """Maximal runs of ``inside`` bytes that stay within a text, and the number of the first run of each text (last: of all)."""
     begins = np.zeros(len(data) + 1, bool)
     begins[bounds] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | begins[1 : len(data)]
+    breaks = begins[1 : len(data)]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | breaks
+    last[:-1] &= ~inside[1:] | breaks
     starts = np.flatnonzero(first)
-    before = np.cumsum(inside)
-    offsets = np.append(before[starts] - 1, before[-1] if len(data) else 0)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(last) + 1 - starts))
     return _strings(offsets, data[inside]), np.searchsorted(starts, bounds)
 
 
