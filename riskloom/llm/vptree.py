@@ -273,7 +273,6 @@ def nearest(
                 own, table = r.leaf_of(x), r.table(x)
                 reach = b.column("reach").to_numpy(zero_copy_only=False)
                 block = b.column("block").to_numpy(zero_copy_only=False)
-                take, where, pieces = [], [], []
                 for leaf, (n_parts, spans) in leaves.value.items():
                     if reached:
                         bound = np.zeros(len(q))
@@ -282,16 +281,13 @@ def nearest(
                         go = np.flatnonzero((own != leaf) & (factor * bound <= reach + EPS))
                     else:
                         go = np.flatnonzero(own == leaf)
-                    for p in range(n_parts):
-                        take.append(go)
-                        where.append(np.full(len(go), leaf, np.int32))
-                        pieces.append(np.full(len(go), p, np.int32))
-                take_, where_, pieces_ = np.concatenate(take), np.concatenate(where), np.concatenate(pieces)
-                picked_ = b.take(pa.array(take_))
-                yield pa.record_batch(
-                    [pa.array(where_), pa.array(pieces_), pa.array(block[take_]), *(picked_.column(c) for c in ("id", "v", "reach"))],
-                    ["leaf", "part", "block", "id", "v", "reach"],
-                )
+                    # A batch a shard, of no more rows than came in: however many shards survive, one is in memory.
+                    for p in range(n_parts if len(go) else 0):
+                        picked_ = b.take(pa.array(go))
+                        yield pa.record_batch(
+                            [pa.array(np.full(len(go), leaf, np.int32)), pa.array(np.full(len(go), p, np.int32)), pa.array(block[go]), *(picked_.column(c) for c in ("id", "v", "reach"))],
+                            ["leaf", "part", "block", "id", "v", "reach"],
+                        )
 
         return run
 
@@ -306,7 +302,8 @@ def nearest(
         return pd.DataFrame({"query_id": q[ok], "vec_id": s.found[ok], "score": s.score[ok]})
 
     blocks = max(1, -(-(n // every) // query_block))
-    block = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(blocks)).cast("int").alias("block")
+    # By id and vector: an id may have any number of vectors, and they are queries of their own until their finds meet.
+    block = F.pmod(F.xxhash64(F.lit(5), "id", "v"), F.lit(blocks)).cast("int").alias("block")
     routed = "leaf int, part int, block int, id long, v array<double>, reach double"
 
     def searched(q: DataFrame, reached: bool) -> DataFrame:
