@@ -116,7 +116,7 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
     n = 0
     for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.encode("text", "UTF-8").alias("t")).toLocalIterator():
         text = bytes(r["t"] or b"")
-        size = len(text.split()) + 1
+        size = len(words_of(text)) + 1
         if block and n + size > most:
             yield block
             block, n = [], 0
