@@ -313,7 +313,7 @@ def scan_secrets(docs: DataFrame, table: list[float] | None = None, base: str =
     A narrow projection: nothing shuffles, and the chains are a literal of ``N_CLASSES`` squared numbers. Where ``docs``
     has columns of these names already, give others.
     """
-    taken = {base, added} & set(docs.columns)
+    taken = {base.lower(), added.lower()} & {c.lower() for c in docs.columns}  # Spark tells names apart by letters, not by case
     if taken:
         raise ValueError(f"columns {sorted(taken)} exist; name others")
     whole = unused(docs, "whole")
