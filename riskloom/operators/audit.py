@@ -77,6 +77,9 @@ def chain(rows: DataFrame, secret: str, keys: list[str] | None = None, heads: Da
     spread = rows.repartition(*keys) if keys else rows.repartition(1)
     if heads is None:
         spread = spread.withColumns({"seq0": F.lit(0).cast("long"), "prev0": F.lit("")})
+    elif not keys:
+        head = heads.first()
+        spread = spread.withColumns({"seq0": F.lit(head["seq0"] if head else 0).cast("long"), "prev0": F.lit(head["prev0"] if head else "")})
     else:
         begun = heads.select(*[F.col(k).alias(f"_{k}") for k in keys], "seq0", "prev0")
         spread = spread.join(begun, _same(keys), "left").drop(*[f"_{k}" for k in keys])
@@ -142,11 +145,13 @@ def merkle(log: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> Dat
     A node hashes the digests of its children in order; each level shuffles a ``fan``-th of the one below. A chain of one entry
     has a root of one child. Repeated entries are children of a node each.
     """
-    keys = keys or []
+    if not keys:
+        return merkle(log.withColumn("_all", F.lit(0)), ["_all"], fan).drop("_all")
     longest = log.agg(F.max("seq")).first()[0]
     level, out = leaves(log, keys), None
     # What a chain has is told by its own last place, not by the longest chain's.
-    level = level.join(level.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("node").alias("last")), _same(keys), "inner").drop(*[f"_{k}" for k in keys]) if keys else level.crossJoin(F.broadcast(level.agg(F.max("node").alias("last"))))
+    ends = level.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("node").alias("last"))
+    level = level.join(ends, _same(keys)).drop(*[f"_{k}" for k in keys])
     k = 0
     while k == 0 or fan**k <= (longest or 0):
         k += 1
@@ -174,12 +179,16 @@ def _sealed(keys: list[str], secret: str) -> Column:
 
 def seal(log: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
     """``keys, entries, root, seal``: one row a chain."""
-    keys = keys or []
+    if not keys:
+        return _seal(log.withColumn("_all", F.lit(0)), secret, ["_all"], [], fan).drop("_all")
+    return _seal(log, secret, keys, keys, fan)
+
+
+def _seal(log: DataFrame, secret: str, keys: list[str], named: list[str], fan: int) -> DataFrame:
     roots = merkle(log, keys, fan).where("top").select(*keys, F.col("digest").alias("root"))
-    counted = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("entries"))
-    counted = counted.withColumnsRenamed({k: f"_{k}" for k in keys})
-    both = roots.join(counted, _same(keys)).drop(*[f"_{k}" for k in keys]) if keys else roots.crossJoin(F.broadcast(counted))
-    return both.withColumn("seal", _sealed(keys, secret)).select(*keys, "entries", "root", "seal")
+    counted = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("entries"))
+    both = roots.join(counted, _same(keys)).withColumn("seal", _sealed(named, secret))
+    return both.select(*keys, "entries", "root", "seal")
 
 
 def check_seals(log: DataFrame, seals: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:

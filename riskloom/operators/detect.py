@@ -70,17 +70,23 @@ def _unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: The largest input, by Spark's estimate, that is dealt anew.
+DEALT_BYTES = 1 << 30
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """Rows dealt over the cores where a scan gives few partitions, as one file of one row group does.
 
     A scan with at least half as many partitions as there are cores stays as it is, and so does whatever has been
-    shuffled, or streams: large inputs are never moved for this.
+    shuffled, or streams, or is larger than ``DEALT_BYTES``: large inputs are never moved for this.
     """
     if df.isStreaming:
         return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > DEALT_BYTES:
+        return df
     if "AdaptiveSparkPlan" in plan.executedPlan().nodeName() or plan.toRdd().getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores)

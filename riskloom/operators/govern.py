@@ -12,14 +12,14 @@ import json
 import os
 import urllib.request
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import wraps
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rules import Rule, parse_annotation
+from ..functions.rules import ANNOTATION, SETTING, Rule, parse_annotation
 from .audit import sign_alone
 from .detect import detect
 from .policy import BLOCK, REVIEW, evaluate
@@ -85,6 +85,55 @@ def remote_profile(cfg: PolicyConfig, fetcher: ProfileFetcher | None = None) ->
     return name if name in PROFILES else ""
 
 
+class LatestProfile:
+    """A remote's profile as a stream sees it: fetched anew for each micro-batch, the last good one where that fails.
+
+    ``versions`` has (batch, profile, fetched) of every batch so far; a batch that is run again keeps the profile it had.
+    """
+
+    def __init__(self, cfg: PolicyConfig, fetcher: ProfileFetcher | None = None):
+        self.cfg, self.fetcher = cfg, fetcher
+        self.versions: list[tuple[int, str, bool]] = []
+
+    def of(self, batch: int) -> str:
+        for b, profile, _ in self.versions:
+            if b == batch:
+                return profile
+        name = remote_profile(self.cfg, self.fetcher)
+        last = next((p for _, p, _ in reversed(self.versions) if p), "")
+        self.versions.append((batch, name or last, bool(name)))
+        return name or last
+
+
+def governed_batches(
+    cfg: PolicyConfig, sink: Callable[[DataFrame, int], None], latest: LatestProfile, **options
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: each micro-batch is governed by the remote's profile of that moment and given to ``sink``, with its batch id."""
+    local = replace(cfg, remote_override_url="")
+
+    def run(df: DataFrame, batch: int) -> None:
+        now = latest.of(batch)
+        sink(df.transform(govern(replace(local, profile=now or cfg.profile), **options)), batch)
+
+    return run
+
+
+def annotations(text: Column) -> dict[str, Column]:
+    """What a ``@Policy(...)`` comment says, as columns: ``profile, block, rewrite, remote``; the last of repeated settings counts."""
+    inside = F.regexp_extract(F.coalesce(text, F.lit("")), ANNOTATION.pattern, 1)
+    pairs = F.regexp_extract_all(inside, F.lit(SETTING.pattern), F.lit(0))
+
+    def last(name: str) -> Column:
+        found = F.filter(pairs, lambda p: F.regexp_extract(p, SETTING.pattern, 1) == name)
+        return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
+
+    def value(name: str) -> Column:
+        said = last(name)
+        return F.concat(F.regexp_extract(said, SETTING.pattern, 2), F.regexp_extract(said, SETTING.pattern, 3))
+
+    return {"profile": value("profile"), "block": value("block") == "true", "rewrite": value("rewrite") == "true", "remote": value("remote")}
+
+
 def resolve_profile(override: Column, remote: str, cfg: PolicyConfig) -> Column:
     """Row override (unchecked), remote, configured, strict: the first that isn't empty."""
     return F.coalesce(F.nullif(override, F.lit("")), *[F.lit(p) for p in (remote, cfg.profile, DEFAULT_PROFILE) if p])

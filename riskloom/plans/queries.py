@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import EXFIL_PACK, INJECTION_PACK, MALWARE_PACK, PACKS, PII_PACK, RISKY_PACK, VISIBLE_RULES, Rule
 from ..operators import audit, policy, stats
 from ..operators.detect import dealt, detect, exploded, or_ok, rule_hits
-from ..operators.govern import PolicyConfig, default_config, govern, governance_audit, remote_profile, resolve_profile
+from ..operators.govern import PolicyConfig, annotations, default_config, govern, governance_audit, remote_profile, resolve_profile
 from ..operators.rewrite import safe_rewrite
 from ..operators.session import session_profiles
 from ..sources import ingest
@@ -443,6 +443,23 @@ def ingest_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.accepted(_documents(spark, sf_dir)).select("event_no", "content")
 
 
+def _arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request documents as lines of text files, read as a stream into files; each with the number its event had."""
+    folder = new_path(spark, "requests")
+    lines = dealt(_table(spark, sf_dir, "events").select("event_id"))
+    numbered = lines.select(F.concat(F.coalesce(_shape(0), F.lit("")), F.lit(" "), F.col("event_id").cast("string")).alias("value"))
+    numbered.write.text(folder)
+    rows = spark.readStream.text(folder)
+    cut = F.regexp_extract("value", r"(?s)^(.*) (\d+)$", 2)
+    document = F.regexp_extract("value", r"(?s)^(.*) (\d+)$", 1)
+    return _stored(ingest.decode(rows.select(cut.cast("long").alias("event_no"), document.alias("value"))))
+
+
+@query("ingest_stream", f"{_SHAPED} SELECT event_no, content, reject FROM x")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arrived(spark, sf_dir).select("event_no", "content", "reject")
+
+
 @query("ingest_rejects", f"{_SHAPED} SELECT event_no, reject FROM x WHERE reject IS NOT NULL")
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.rejected(_documents(spark, sf_dir)).select("event_no", "reject")
@@ -465,6 +482,20 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.health(spark)
 
 
+@query(
+    "service_health",
+    f"{sql.BASE} {sql.SESSIONS}, t AS (SELECT tenant_id, count(*) AS scans, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS latest FROM d GROUP BY tenant_id) "
+    "SELECT 'ok' AS status, 'riskloom' AS service, '1.0.0' AS version, tenant_id, scans, latest FROM t",
+)
+def service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The health answer beside what the service has done for each tenant: read from the log, ``ok`` if every entry verifies."""
+    log = audit.verify(_log(spark, sf_dir), SECRET, _CHAIN_KEYS)
+    done = log.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("scans"), F.max("timestamp").alias("latest"), F.every("valid").alias("whole"))
+    now = ingest.health(spark).first()
+    status = F.when(F.col("whole"), F.lit(now["status"])).otherwise("broken")
+    return done.select(status.alias("status"), F.lit(now["service"]).alias("service"), F.lit(now["version"]).alias("version"), "tenant_id", "scans", "latest")
+
+
 # -- governance ---------------------------------------------------------------------------------------
 
 _GOVERNED = sql.BASE.replace("tools, lambda t:", "CAST([] AS VARCHAR[]), lambda t:")
@@ -551,6 +582,24 @@ def annotation_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "n int, profile string, block boolean, rewrite boolean, remote string")
 
 
+#: Comments by event number, with its tenant in the address.
+_COMMENTS = ['// @Policy(profile="strict", block=true, rewrite=false)', '# @Policy(rewrite=true, remote="http://control/%t")', "@Policy(profile=strict)", "no policy here",
+             '@Policy(profile="moderate") @Policy(profile="strict")', '@Policy(profile="a", profile="b", block=false, block=true)']
+_COMMENT_SQL = f"replace([{', '.join(map(sql.q, _COMMENTS))}][event_id % {len(_COMMENTS)} + 1], '%t', 't' || user_id)"
+
+
+@query(
+    "annotation_columns",
+    f"WITH c AS (SELECT event_id AS event_no, regexp_extract({_COMMENT_SQL}, '@Policy\\(([^)]+)\\)', 1) AS s FROM events) "
+    """SELECT event_no, coalesce(regexp_extract_all(s, 'profile\\s*=\\s*"([^"]+)"', 1)[-1], '') AS profile, coalesce(regexp_extract_all(s, 'block\\s*=\\s*(true|false)', 1)[-1], '') = 'true' AS block,
+    coalesce(regexp_extract_all(s, 'rewrite\\s*=\\s*(true|false)', 1)[-1], '') = 'true' AS rewrite, coalesce(regexp_extract_all(s, 'remote\\s*=\\s*"([^"]+)"', 1)[-1], '') AS remote FROM c""",
+)
+def annotation_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    comment = F.get(F.array(*map(F.lit, _COMMENTS)), F.pmod("event_id", F.lit(len(_COMMENTS))).cast("int"))
+    text = F.replace(comment, F.lit("%t"), F.concat(F.lit("t"), F.col("user_id").cast("string")))
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("event_no"), *[c.alias(n) for n, c in annotations(text).items()])
+
+
 @query(
     "govern_audit",
     f"{_GOVERNED} {sql.decided(sql.q('strict'))} SELECT risk_level, risk_score, CAST(n_findings AS INTEGER) AS finding_count, "

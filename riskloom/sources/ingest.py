@@ -7,7 +7,7 @@ several times the last wins; null then leaves a text as it was, and drops a cont
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Request fields, messages, defaults.
@@ -22,6 +22,20 @@ UNSAFE = ("<", ">", "&", "\u2028", "\u2029")
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
+#: An escaped high surrogate without a low one behind it, and a low one without a high one before it. An even number of backslashes
+#: before the escape makes it one; an odd number makes it text.
+LONE_HIGH = r"(?<!\\)((?:\\\\)*)\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})"
+LONE_LOW = r"(?<!\\)((?:\\\\)*)(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+
+
+def _whole_signs(text: Column) -> Column:
+    """Lone surrogates as the replacement character's escape; texts without an escape of that kind are left as they are."""
+    mended = text
+    for lone in (LONE_HIGH, LONE_HIGH, LONE_LOW):  # twice: of two in a row the second begins where the first ended
+        mended = F.regexp_replace(mended, lone, r"$1\\ufffd")
+    return F.when(F.lower(text).contains("\\ud"), mended).otherwise(text)
+
+
 def _entries(text: Column, kind: str = "variant") -> Column:
     """The members of a JSON object in document order, repeated keys included; null if it is none."""
     return F.map_entries(F.from_json(text, f"map<string,{kind}>", STRICT))
@@ -61,7 +75,7 @@ def decode(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     kept = [c for c in lines.columns if c != value]
-    document = F.col(value)
+    document = _whole_signs(F.col(value))
     nothing = document.rlike(r"^[ \t\r\n]*null[ \t\r\n]*$")  # a null document is a request of zero values
     read = _once(lines, kept, entries_=_entries(document), raw_=_entries(document, "string"), nothing_=nothing)
     members = F.col("entries_")
@@ -99,6 +113,17 @@ def decode(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Request documents, one a line, of all files under ``path``, decoded, with ``file`` and ``reject``; with ``stream`` as they arrive.
+
+    Files are the offsets of a stream: each is read once, also after a restart from the checkpoint. Rejects stay beside the requests
+    (:func:`accepted`, :func:`rejected`). With the file as position, :func:`with_defaults` gives ids that a replay gives again, and equal
+    documents of one file the same id.
+    """
+    lines = spark.readStream.text(path) if stream else spark.read.text(path)
+    return decode(lines.select("value", F.col("_metadata.file_name").alias("file")))
+
+
 def accepted(decoded: DataFrame) -> DataFrame:
     return decoded.where("reject is null").drop("reject")
 

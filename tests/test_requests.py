@@ -65,3 +65,73 @@ def test_rows_are_dealt_only_where_a_scan_has_few_partitions(spark, tmp_path):
     assert dealt(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt(one).count() == 1000
     wide = spark.range(0, 1000, 1, 64)
     assert dealt(wide).rdd.getNumPartitions() == 64 and dealt(wide.groupBy("id").count()).count() == 1000
+
+
+# -- files, streams and remotes that change ------------------------------------------------------------
+
+
+def test_lone_surrogates_become_the_replacement_character(spark):
+    texts = {
+        r'{"content":"a\ud800b"}': "a�b", r'{"content":"\udc00"}': "�", r'{"content":"😀"}': "\U0001f600", r'{"content":"\ud800\ud800x"}': "��x",
+        r'{"content":"\\ud800"}': r"\ud800", r'{"content":"\\\ud800"}': "\\�", r'{"content":"\uD83D"}': "�",
+    }
+    got = {r["v"]: r["content"] for r in ingest.decode(spark.createDataFrame([(t, t) for t in texts], "v string, value string")).collect()}
+    assert got == texts
+
+
+def test_files_of_requests_as_a_batch_and_as_a_stream(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    sets = [['{"content":"a"}', '{"content":5}', '{"content":"a"}'], ['{"content":"b"}', "{", '{"CONTENT":"c"}']]
+    for n, lines in enumerate(sets):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(folder)
+        for _ in range(2):  # the second time there is nothing new
+            started = ingest.read_requests(spark, folder, stream=True).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
+            started.awaitTermination()
+        assert spark.read.parquet(out).count() == 3 * (n + 1)
+    shown = ["content", "reject", "file"]
+    batch = ingest.read_requests(spark, folder)
+    assert sorted(map(str, batch.select(*shown).collect())) == sorted(map(str, spark.read.parquet(out).select(*shown).collect()))
+    assert ingest.accepted(batch).count() == 4 and ingest.rejected(batch).count() == 2
+    ids = [r["event_id"] for r in ingest.with_defaults(ingest.accepted(batch), ["file"]).collect()]
+    assert len(set(ids)) == 3 and sorted(ids) == sorted(r["event_id"] for r in ingest.with_defaults(ingest.accepted(spark.read.parquet(out)), ["file"]).collect())
+
+
+def test_a_remote_that_changes_between_batches(spark, tmp_path):
+    from riskloom.operators import govern
+    from riskloom.plans.corpus import POSITIVES
+
+    answers = iter(["permissive", "strict", OSError("down"), "odd", "moderate"])
+
+    class Remote:
+        def fetch(self, url, timeout_ms):
+            answer = next(answers)
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+    cfg = govern.PolicyConfig(profile="moderate", remote_override_url="http://control")
+    latest, seen = govern.LatestProfile(cfg, Remote()), {}
+
+    def sink(df, batch):
+        seen[batch] = [(r["effective_profile"], r["risk_level"]) for r in df.collect()]
+
+    run = govern.governed_batches(cfg, sink, latest)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    for _ in range(5):
+        spark.createDataFrame([(POSITIVES["INJ01"],)], "content string").coalesce(1).write.mode("append").parquet(folder)
+        started = spark.readStream.schema("content string").parquet(folder).writeStream.foreachBatch(run).option("checkpointLocation", state).trigger(availableNow=True).start()
+        started.awaitTermination()
+    assert seen == {0: [("permissive", "REVIEW")], 1: [("strict", "BLOCK")], 2: [("strict", "BLOCK")], 3: [("strict", "BLOCK")], 4: [("moderate", "REVIEW")]}
+    assert latest.of(1) == "strict" and latest.versions[2] == (2, "strict", False)  # a batch that is run again keeps its profile
+    down = govern.LatestProfile(cfg, type("Down", (), {"fetch": lambda *a: (_ for _ in ()).throw(OSError())})())
+    govern.governed_batches(cfg, sink, down)(spark.createDataFrame([("x",)], "content string"), 9)
+    assert seen[9] == [("moderate", "SAFE")]
+
+
+def test_small_inputs_are_dealt_and_large_ones_stay(spark, small, monkeypatch):
+    from riskloom.operators import detect
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert detect.dealt(docs).rdd.getNumPartitions() > docs.rdd.getNumPartitions()
+    monkeypatch.setattr(detect, "DEALT_BYTES", 1)
+    assert detect.dealt(docs) is docs
