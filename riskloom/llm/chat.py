@@ -11,7 +11,8 @@ control string can be forged and :func:`read_back` restores every turn exactly.
 Defined cases: rows are ordered by (turn, role, text), nulls first; repeated rows are turns of their
 own; null text or role is the empty string; a null ``conv_id`` is one conversation; other columns
 are ignored; an empty table gives an empty result. A conversation is one row, so its formatted
-length is bounded by Spark's 2 GB value limit.
+length is bounded by Spark's 2 GB value limit: a longer one, as all rows without a ``conv_id`` may be, fails the job. Leave such
+rows out, or give them ids of their own, where there are as many.
 """
 
 from __future__ import annotations

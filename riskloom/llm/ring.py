@@ -12,7 +12,8 @@ first slot), and the rows find theirs by their rank inside the arc. Rows shuffle
 The ring key is a hash of ``doc_id`` and text, so rows that share a (null, say) ``doc_id`` still spread.
 
 Defined cases: a null text has size 16 and CRC 0; a null ``doc_id`` is like any other; fully repeated
-rows share an arc and take consecutive ranks; an empty table gives an empty result; other columns are ignored.
+rows share an arc and take consecutive ranks; a text of any length is measured whole in its row and goes no further than that; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ links it verified, fewer than its members. Large buckets become many tiles on ma
 lands in one task whole and none is capped. Copies collapse before anything else happens.
 
 Defined cases: null text is empty text; no words gives fingerprint 0, linked like any other; rows with
-one ``doc_id`` but different texts are nodes of one document; repeated rows are one node; a text is
-hashed whole, in bounded steps; other columns are ignored.
+one ``doc_id`` but different texts are nodes of one document; repeated rows are one node; a null ``doc_id`` is an id like any other,
+and never the least of a class; a text is hashed whole, in bounded steps; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -61,3 +61,29 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(df, labels).count() == 0 and secrets.redact_secrets(df, [0.0] * secrets.N_CLASSES**2).count() == 0
     assert shared_dir(spark)
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = [(i, ("you stupid idiot " if i % 2 else "the calm sea ") * 5) for i in range(60)] + [(100, "calm sea " * 300_000), (101, "calm sea " * 300_000 + "you stupid idiot " * 200_000)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(spark.createDataFrame(docs, DOCS), labels).collect()}
+    assert got[100] < 0.5 < got[101]
+
+
+def test_a_giant_text_at_the_usual_sizes(spark):
+    from riskloom.llm import sentencepiece_codec
+    from riskloom.llm.queries import MODEL
+
+    rng = random.Random(64)
+    assert sentencepiece_codec.GIANT <= 65_536
+    giant = "".join(rng.choice(["the ", "inert", "日本", "x", "  ", "tion\n", "é"]) for _ in range(60_000))
+    with open(MODEL, "rb") as f:
+        whole = sentencepiece_codec.Codec(f.read()).library.encode(giant)
+    df = spark.createDataFrame([(1, giant), (2, "short")], DOCS)
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(df, MODEL), MODEL).where("doc_id = 1").first()
+    assert len(giant) > 2 * sentencepiece_codec.GIANT and out["ids"] == whole and out["decoded"] == giant
+
+
+def test_null_ids_of_fingerprints_and_empty_tables(spark):
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_classes(spark.createDataFrame([(None, "a b c d"), (9, "a b c d"), (8, "x y z")], DOCS)).collect()}
+    assert got == {None: 9, 9: 9, 8: 8} and simhash.simhash_classes(spark.createDataFrame([], DOCS)).count() == 0
