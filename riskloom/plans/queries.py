@@ -21,6 +21,7 @@ from ..streaming.memory import remembered_decisions, rocksdb
 from . import corpus
 from . import oracle as sql
 from .pipeline import ScanConfig, audit_log, response_rows, scan
+from .views import create_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,6 +180,26 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return safe_rewrite(policy.evaluate(_requests(spark, sf_dir))).select("event_no", "safe_rewrite")
 
 
+def _views(spark: SparkSession, sf_dir: str) -> None:
+    corpus.requests(spark, sf_dir).createOrReplaceTempView("riskloom_requests")
+    create_views(spark, "riskloom_requests", prefix="riskloom_prescan")
+
+
+@query("sql_prescan", ORACLE_SQL["decide_profile_dispatch"])
+def sql_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return spark.sql("SELECT event_no, risk_level, risk_score, reasoning FROM riskloom_prescan")
+
+
+@query(
+    "sql_findings_by_category",
+    f"{sql.BASE} {sql.decided('policy_profile')} SELECT category, risk_level, count(*) AS n, count(DISTINCT event_no) AS requests FROM d JOIN hits USING (idx) JOIN rules USING (no) GROUP BY ALL",
+)
+def sql_findings_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    return spark.sql("SELECT category, risk_level, count(*) AS n, count(DISTINCT event_id) AS requests FROM riskloom_prescan_findings GROUP BY category, risk_level")
+
+
 # -- sessions -----------------------------------------------------------------------------------------
 
 
