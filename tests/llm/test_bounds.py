@@ -39,16 +39,17 @@ def test_labels_of_the_calibration_fold_shape_no_feature(spark):
     assert b"elsewhere" in model.learned and b"onlyfour" not in model.learned
 
 
-def test_a_fold_s_own_words_don_t_train_its_trees(spark):
-    # Each toxic text has a word of its fold alone: out of fold it says nothing, so the trees learn nothing from it.
+def test_a_part_s_own_words_don_t_train_its_trees(spark):
+    # Each toxic text has a word of its part alone: learned from the other parts it says nothing, so the trees learn nothing from it.
     rng = random.Random(142)
-    fold = {r["id"]: r["f"] for r in spark.range(2000).select("id", toxicity.fold(F.col("id")).alias("f")).collect()}
+    part = {r["doc_id"]: r["p"] for r in spark.range(2000).withColumnRenamed("id", "doc_id").select("doc_id", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(toxicity.PARTS)).alias("p")).collect()}
     docs, labels = [], []
-    for i, f in fold.items():
+    for i, p in part.items():
         bad = rng.random() < 0.5
-        docs.append((i, " ".join([f"w{rng.randrange(50)}" for _ in range(12)] + ([f"sign{f}"] if bad else ["plain"]))))
+        docs.append((i, " ".join([f"w{rng.randrange(50)}" for _ in range(12)] + ([f"sign{p}"] if bad else ["plain"]))))
         labels.append((i, int(bad)))
     model = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"sign1" in model.learned
     raw = model.trees.raw(np.array([toxicity.features(t.encode(), model.learned, toxicity.FIXED) for t in ("w1 w2 sign1", "w1 w2 plain")]))
     assert abs(raw[0] - raw[1]) < 1
 
