@@ -28,6 +28,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written once and read back: its lineage ends at files that survive a lost executor."""
     path = new_path(df.sparkSession, tag)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.audit import chain, entries
 from ..operators.policy import BLOCK, REVIEW, SAFE
+from ..sources.shared import discard, new_path
 
 CHAIN = ["tenant_id", "day"]
 TENANT_BUCKETS = 64
@@ -55,6 +56,17 @@ def append(decided: DataFrame, batch: int, path: str, secret: str) -> None:
     """One batch of decisions (with ``findings`` or ``finding_count``), put behind what the log has of their chains."""
     spark = decided.sparkSession
     rows = entries(decided).withColumn("day", F.substring("timestamp", 1, 10))
+    staged = new_path(spark, "batch")
+    try:
+        # Written once: what made the batch, a stream's state among it, isn't worked through again for each table.
+        rows.write.parquet(staged)
+        _append(spark.read.schema(rows.schema).parquet(staged), batch, path, secret)
+    finally:
+        discard(spark, staged)
+
+
+def _append(rows: DataFrame, batch: int, path: str, secret: str) -> None:
+    spark = rows.sparkSession
     days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days of one batch
     known = _read(spark, f"{path}/heads", HEAD).where(F.col("day").isin(days) & (F.col("batch") < batch))
     heads = known.groupBy(*CHAIN).agg(F.max_by("seq0", "batch").alias("seq0"), F.max_by("prev0", "batch").alias("prev0"))
