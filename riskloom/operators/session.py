@@ -65,6 +65,11 @@ def _remember(df: DataFrame, categories: Column, keys: list[str], order: list[st
     return df.withColumn("_before", F.coalesce(before, F.array().cast("array<string>"))).drop("_has", "_categories")
 
 
+def _micros() -> Column:
+    """The time of a request as a number; times without a zone are read in the session's."""
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 # -- long sessions -------------------------------------------------------------------------------------
 
 
@@ -82,7 +87,7 @@ def cut_points(keyed: DataFrame, segment_rows: int) -> DataFrame | None:
     many = max(wanted.values())
     listed = spark.createDataFrame([(k,) for k in wanted], "session_key string")
     ours = keyed.join(F.broadcast(listed) if len(wanted) <= BROADCAST_CUTS else listed, "session_key")
-    at = F.percentile_approx(F.unix_micros("ts"), [i / many for i in range(1, many)], 100 * many)
+    at = F.percentile_approx(_micros(), [i / many for i in range(1, many)], 100 * many)
     rows = []
     for r in ours.groupBy("session_key").agg(at.alias("at")).collect():
         n = wanted[r["session_key"]]
@@ -94,7 +99,7 @@ def cut_points(keyed: DataFrame, segment_rows: int) -> DataFrame | None:
 
 def in_segments(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds the segment's number, counted from 0; a request without a time is in the first."""
-    at = F.unix_micros("ts")
+    at = _micros()
     passed = F.coalesce(F.size(F.filter("cuts", lambda c: c < at)), F.lit(0))
     return keyed.join(cuts, "session_key", "left").withColumn(SEGMENT, F.greatest(passed, F.lit(0))).withColumn("_long", F.col("cuts").isNotNull()).drop("cuts")
 

@@ -90,6 +90,11 @@ def test_sessions_of_all_sizes_at_once(spark):
     assert whole == cut and len(cut) == len(prompts) + 1
 
 
+def test_times_without_a_zone(spark):
+    rows = long_session(spark, 3_000, 0).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert list(told(decide_sessions(rows, 500))) == list(fold(3_000, 0))
+
+
 def test_no_and_null_rows(spark):
     none = long_session(spark, 0, 0)
     assert decide_sessions(none, 1).count() == 0
