@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import materialize, text_slices
 
@@ -240,15 +241,17 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_le
     others = labelled.where(F.col("fold") != CALIBRATION_FOLD)
     teachers = others if others.take(1) else labelled
     counted = teachers.mapInArrow(vocabulary, "word string, toxic int, part int").groupBy("word", "part").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    counted = materialize(counted, "toxic-words")
-
-    def lexicon(without: int) -> frozenset[bytes]:
-        seen = counted.where(F.col("part") != without).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        best = seen.where((F.col("bad") >= 3) & (odds > 2.0)).orderBy(F.desc(odds * F.sqrt("bad")), "word").limit(max_learned)
-        return frozenset(r["word"].encode() for r in best.collect())
-
-    words = lexicon(-1)
-    unseen = [lexicon(k) for k in range(PARTS)]
+    # All lexicons in one query: number k is learned without part k, number -1 from all; a word has a few numbers for each part.
+    seen = counted.groupBy("word").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"), F.collect_list(F.struct("part", "bad", "good")).alias("parts"))
+    each = seen.where("all_bad >= 3").withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(PARTS - 1))))
+    own = {n: F.expr(f"aggregate(filter(parts, p -> p.part = k), 0L, (n, p) -> n + p.{n})") for n in ("bad", "good")}
+    each = each.select("word", "k", *[(F.col(f"all_{n}") - c).alias(n) for n, c in own.items()]).where((F.col("bad") >= 3) & (odds > 2.0))
+    best = Window.partitionBy("k").orderBy(F.desc(odds * F.sqrt("bad")), "word")
+    lexicons: dict[int, set[bytes]] = {k: set() for k in range(-1, PARTS)}
+    for r in each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= max_learned).select("k", "word").collect():
+        lexicons[r["k"]].add(r["word"].encode())
+    words = frozenset(lexicons[-1])
+    unseen = [frozenset(lexicons[k]) for k in range(PARTS)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
