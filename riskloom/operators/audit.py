@@ -150,14 +150,16 @@ def merkle(log: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> Dat
     longest = log.agg(F.max("seq")).first()[0]
     level, out = leaves(log, keys), None
     # What a chain has is told by its own last place, not by the longest chain's.
-    ends = level.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("node").alias("last"))
-    level = level.join(ends, _same(keys)).drop(*[f"_{k}" for k in keys])
+    ends = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("seq").cast("long").alias("last"))
     k = 0
     while k == 0 or fan**k <= (longest or 0):
         k += 1
         grouped = level.groupBy(*keys, F.expr(f"node div {fan}").alias("node"))
         children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "digest"))), lambda c: c["digest"]), "")  # at most fan, but for repeated entries
-        made = grouped.agg(_hash(NODE, children).alias("digest"), F.first("last").alias("last"))
+        if k == 1:
+            made = grouped.agg(_hash(NODE, children).alias("digest")).join(ends, _same(keys)).drop(*[f"_{k}" for k in keys])
+        else:
+            made = grouped.agg(_hash(NODE, children).alias("digest"), F.first("last").alias("last"))
         size = fan**k
         made = made.select(*keys, F.lit(k).alias("level"), "node", "digest", "last", (F.col("last") < size).alias("top"))
         out = made if out is None else out.unionByName(made)
@@ -222,21 +224,53 @@ def locate(log: DataFrame, nodes: DataFrame, keys: list[str] | None = None, fan:
 
 
 def proofs(wanted: DataFrame, log: DataFrame, nodes: DataFrame, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
-    """``wanted`` (``keys, seq`` and more) with ``proof``: for each level the digests beside the entry's own, and where that stands among them."""
-    keys = keys or []
+    """``wanted`` (``keys, seq`` and more) with ``proof``: for each level the digests beside the entry's own, and where that stands among them.
+
+    A proof is ``fan`` digests a level, far more than its entry. So proofs never shuffle: entries and leaves are dealt once by chain and
+    block of ``fan``^2 places, what lies above a block is one row, and an entry's proof is put together from its block's row.
+    """
+    if not keys:
+        named = [df.withColumn("_all", F.lit(0)) for df in (wanted, log, nodes)]
+        return proofs(*named, ["_all"], fan).drop("_all")
     height = nodes.agg(F.max("level")).first()[0] or 1
-    every = leaves(log, keys).unionByName(nodes.where("not top").select(*keys, "level", "node", "digest"))
-    ask = wanted.withColumns({"_id": F.struct(*keys, "seq"), "_level": F.explode(F.sequence(F.lit(0), F.lit(height - 1)))})
-    ask = ask.withColumn("_parent", F.floor(F.col("seq") / F.pow(F.lit(fan), F.col("_level") + 1)).cast("long")).withColumnsRenamed({k: f"_{k}" for k in keys})
-    beside = every.withColumn("_up", F.expr(f"node div {fan}"))
-    met = ask.join(beside, _same(keys) & (F.col("_level") == F.col("level")) & (F.col("_parent") == F.col("_up")))
-    children = F.array_sort(F.collect_list(F.struct("node", "digest")))
-    steps = met.groupBy("_id", "_level").agg(children.alias("c"), F.first("_parent").alias("_parent"))
-    at = F.floor(F.col("_id.seq") / F.pow(F.lit(fan), F.col("_level"))).cast("long")
-    steps = steps.select("_id", F.struct("_level", F.array_position(F.transform("c", lambda c: c["node"]), at).alias("place"), F.transform("c", lambda c: c["digest"]).alias("digests")).alias("step"))
-    made = steps.groupBy("_id").agg(F.array_sort(F.collect_list("step")).alias("proof"))  # a step a level
-    made = made.select(*[F.col(f"_id.{k}").alias(f"_{k}") for k in keys], F.col("_id.seq").alias("_seq"), "proof")
-    return wanted.join(made, _same(keys) & (F.col("seq") == F.col("_seq"))).drop("_seq", *[f"_{k}" for k in keys])
+    chain_of = F.struct(*keys).alias("_chain")  # structs are equal where their nulls are
+    child, digests = F.struct("node", "digest"), lambda c: F.transform(c, lambda d: d["digest"])
+    inner = nodes.where("not top").select(chain_of, "level", "node", "digest")
+
+    def families(k: int) -> DataFrame:
+        mine = inner.where(F.col("level") == k)
+        return mine.groupBy("_chain", F.expr(f"node div {fan}").alias("_up")).agg(F.array_sort(F.collect_list(child)).alias("_c"))
+
+    def under(rows: DataFrame, above: DataFrame | None) -> DataFrame:
+        """Adds ``_above``, the steps over a family's parent; none for the root."""
+        if above is None:
+            return rows.withColumn("_above", F.array().cast("array<struct<_level:int,place:bigint,digests:array<string>>>"))
+        parents = above.select(F.col("_chain").alias("_pc"), F.col("node").alias("_pn"), F.col("_steps").alias("_above"))
+        return rows.join(parents, (F.col("_chain") == F.col("_pc")) & (F.col("_up") == F.col("_pn")), "left").drop("_pc", "_pn")
+
+    above = None
+    for k in range(height - 1, 1, -1):
+        each = under(families(k), above).select("*", F.posexplode("_c").alias("_at", "_n"))
+        step = F.struct(F.lit(k).alias("_level"), (F.col("_at") + 1).cast("long").alias("place"), digests("_c").alias("digests"))
+        above = each.select("_chain", "_n.node", F.concat(F.array(step), F.coalesce("_above", F.array())).alias("_steps"))
+    over = under(families(1), above).select(F.col("_chain").alias("_oc"), F.col("_up").alias("_ob"), F.col("_c").alias("_first"), "_above")
+
+    block = (F.expr(f"seq div {fan * fan}")).alias("_block")
+    leaf = log.select(chain_of, block, F.col("seq").cast("long").alias("node"), _hash(LEAF, F.col("signature")).alias("digest"))
+    rows = leaf.repartition("_chain", "_block").groupBy("_chain", "_block", F.expr(f"node div {fan}").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c"))
+    rows = rows.groupBy("_chain", "_block").agg(F.collect_list(F.struct("up", "c")).alias("_leaves"))  # fan families at most
+    rows = rows.join(over, (F.col("_chain") == F.col("_oc")) & (F.col("_block") == F.col("_ob")), "full")
+    rows = rows.select(F.coalesce("_chain", "_oc").alias("_bc"), F.coalesce("_block", "_ob").alias("_bb"), "_leaves", "_first", "_above")
+
+    def step_at(k: int, family: Column) -> Column:
+        place = F.array_position(F.transform(family, lambda d: d["node"]), F.expr(f"seq div {fan**k}"))
+        return F.when(family.isNotNull(), F.struct(F.lit(k).alias("_level"), place.alias("place"), digests(family).alias("digests")))
+
+    met = wanted.withColumns({"_wc": F.struct(*keys), "_wb": F.expr(f"seq div {fan * fan}")}).join(rows, (F.col("_wc") == F.col("_bc")) & (F.col("_wb") == F.col("_bb")))
+    own = F.get(F.filter("_leaves", lambda f: f["up"] == F.expr(f"seq div {fan}")), 0)["c"]
+    met = met.where(own.isNotNull() | F.col("_first").isNotNull()).withColumn("_own", own)
+    below = F.filter(F.array(step_at(0, F.col("_own")), step_at(1, F.col("_first"))), lambda s: s.isNotNull())
+    return met.select(*wanted.columns, F.concat(below, F.coalesce("_above", F.array())).alias("proof"))
 
 
 def proven(signature: Column, proof: Column, root: Column) -> Column:

@@ -95,3 +95,34 @@ def test_proofs(log):
     assert {(r["tenant_id"], r["n"]) for r in rows} == {("", 1), ("t0", 1), ("t1", 2), ("t2", 3)}
     moved = made.where("tenant_id = 't2'").withColumn("proof", F.transform("proof", lambda s: s.withField("place", F.lit(1))))
     assert moved.where(ok).count() == 1  # only the first entry stands in the first place everywhere
+
+
+def test_proofs_equal_trees_by_hand_and_do_not_shuffle(log):
+    nodes = audit.merkle(log, KEYS, 3)
+    asked = log.select(*KEYS, "seq", "signature")
+    made = audit.proofs(asked.union(asked.where("seq = 5")), log, nodes, KEYS, 3)  # an entry asked for twice has its proof twice
+    chains = {}
+    for r in log.orderBy("tenant_id", "seq").collect():
+        chains.setdefault(r["tenant_id"], []).append(r["signature"])
+    got = sorted((r["tenant_id"], r["seq"], [(s["place"], s["digests"]) for s in r["proof"]]) for r in made.collect())
+    want = []
+    for tenant, signatures in chains.items():
+        levels = [[hashlib.sha256(b"\x00" + s.encode()).hexdigest() for s in signatures]]
+        while len(levels) == 1 or len(levels[-1]) > 1:
+            levels.append([hashlib.sha256(b"\x01" + "".join(levels[-1][i : i + 3]).encode()).hexdigest() for i in range(0, len(levels[-1]), 3)])
+        for seq in [*range(len(signatures)), *([5] if len(signatures) > 5 else [])]:
+            at = [seq // 3**k for k in range(len(levels) - 1)]
+            want.append((tenant, seq, [(n % 3 + 1, level[n // 3 * 3 : n // 3 * 3 + 3]) for n, level in zip(at, levels, strict=False)]))
+    assert got == sorted(want)
+    plan = audit.proofs(asked, log, nodes, KEYS)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert "SortMergeJoin" in above or "BroadcastHashJoin" in above or "ShuffledHashJoin" in above
+    assert "explode" not in above.lower() and "Aggregate" not in above
+
+
+def test_proofs_of_a_single_chain(spark):
+    single = audit.chain(audit.entries(scan(requests(spark, ["hello"] * 40))), "k")
+    nodes = audit.merkle(single)
+    made = audit.proofs(single.select("seq", "signature"), single, nodes)
+    root = nodes.where("top").first()["digest"]
+    assert made.where(audit.proven(F.col("signature"), F.col("proof"), F.lit(root))).count() == 40 == made.count()
