@@ -100,8 +100,10 @@ def cut_points(keyed: DataFrame, segment_rows: int) -> DataFrame | None:
 def in_segments(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
     """Adds the segment's number, counted from 0; a request without a time is in the first."""
     at = _micros()
-    passed = F.coalesce(F.size(F.filter("cuts", lambda c: c < at)), F.lit(0))
-    return keyed.join(cuts, "session_key", "left").withColumn(SEGMENT, F.greatest(passed, F.lit(0))).withColumn("_long", F.col("cuts").isNotNull()).drop("cuts")
+    # By halving: a row looks at ten of up to MOST_SEGMENTS cuts.
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_SEGMENTS.bit_length()))])
+    passed = F.aggregate(halves, F.lit(0), lambda n, step: F.when(F.get("cuts", n + step - 1) < at, n + step).otherwise(n))
+    return keyed.join(cuts, "session_key", "left").withColumn(SEGMENT, passed).withColumn("_long", F.col("cuts").isNotNull()).drop("cuts")
 
 
 def beginnings(rows: DataFrame) -> DataFrame:

@@ -74,6 +74,17 @@ def test_segments_are_even_and_many(spark):
     assert cut_points(keyed, 200_000) is None
 
 
+def test_a_row_does_not_look_at_every_cut(spark):
+    keyed = spark.range(5_000).selectExpr("'anonymous' AS session_key", "timestamp_micros(id) AS ts", "id")
+    keyed = keyed.union(spark.createDataFrame([("anonymous", None, -1), ("other", None, -1)], "session_key string, ts timestamp, id long"))
+    points = list(range(4, 5_000, 5))[:999]
+    cuts = spark.createDataFrame([("anonymous", points)], "session_key string, cuts array<long>")
+    dealt = in_segments(keyed, cuts)
+    assert dealt.where("id >= 0").where(F.col("_segment") != F.least((F.col("id") / 5).cast("int"), F.lit(999))).count() == 0
+    assert [r["_segment"] for r in dealt.where("id < 0").collect()] == [0, 0]
+    assert "filter(cuts" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_long_session_s_plan_deals_segments(spark):
     plan = decide_sessions(long_session(spark, 20_000, 0), 2_000)._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
