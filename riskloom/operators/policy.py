@@ -169,6 +169,18 @@ def decide(profile: Column, escalation: Column, score: Column) -> Column:
     return F.when(F.col("_kinds") == 0, safe).otherwise(chosen)
 
 
+def with_outcomes(df: DataFrame, variants: list[tuple[bool, bool, bool]]) -> DataFrame:
+    """Adds ``outcomes``: level and score under each combination of session signals, from facts that are computed once for all."""
+    names, scores, levels = [f"_s{k}" for k in range(len(variants))], {}, []
+    for name, variant in zip(names, variants, strict=True):
+        injection, exfil, blocked = map(F.lit, variant)
+        scores[name] = adaptive_score(_signals(injection, exfil, blocked))
+        level = decide(F.col("policy_profile"), blocked & (injection | exfil), F.col(name))["level"]
+        levels.append(F.concat_ws(":", level, F.col(name).cast("string")))
+    tried = with_facts(df).withColumns(scores).withColumn("outcomes", F.array_join(F.array(*levels), ","))
+    return tried.drop("_worst", "_base", "_kinds", "_armed", *FACTS, *names)
+
+
 def evaluate(
     df: DataFrame,
     repeat_injection: Column | None = None,

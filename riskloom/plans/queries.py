@@ -638,10 +638,15 @@ def govern_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams ------------------------------------------------------------------------------------------
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A stream's narrow rows dealt over the cores: one file of few row groups is as few tasks, and detection comes after."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "event_id")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = _table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return corpus.from_events(spark, rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type"))
+    return corpus.from_events(spark, _spread(rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")))
 
 
 def _stored(stream: DataFrame, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
@@ -740,5 +745,5 @@ def stream_late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (1, 2, 3):  # each time the stream is started anew and goes on where it was
         events.where(part == k).write.mode("append").parquet(arrivals)
         rows = spark.readStream.schema(events.schema).parquet(arrivals)
-        counted = _stored(streams.tumbling_counts(corpus.from_events(spark, rows)), out=out, state=state)
+        counted = _stored(streams.tumbling_counts(corpus.from_events(spark, _spread(rows))), out=out, state=state)
     return counted.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "tenant_id", "risk_level", "n")

@@ -112,3 +112,25 @@ def test_the_session_s_setting_is_left_alone(spark):
     with pytest.raises(ValueError), rocksdb(spark):
         raise ValueError
     assert spark.conf.get(PROVIDER, None) == before
+
+
+def test_outcomes_come_from_facts_made_once(spark):
+    from riskloom.operators.detect import detect
+    from riskloom.operators.policy import evaluate, with_outcomes
+    from riskloom.streaming.scan import VARIANTS
+
+    found = detect(requests(spark, prompts(), keys=keys())).withColumn("policy_profile", F.get(F.array(*map(F.lit, ("strict", "moderate", "permissive"))), F.pmod(F.hash("event_id"), F.lit(3))))
+    made = with_outcomes(found, VARIANTS)
+    got = {r["event_id"]: r["outcomes"].split(",") for r in made.collect()}
+    for k, signals in enumerate(VARIANTS):
+        for r in evaluate(found, *map(F.lit, signals)).collect():
+            assert got[r["event_id"]][k] == f"{r['risk_level']}:{r['risk_score']}"
+    plan = made.select("event_id", "outcomes")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS _worst#") == 1
+
+
+def test_a_stream_of_one_file_is_dealt_over_the_cores(spark, small):
+    from riskloom.plans.queries import _event_stream
+
+    plan = _event_stream(spark, small)._jdf.queryExecution().analyzed().toString()
+    assert "RepartitionByExpression [event_id" in plan and plan.index("RepartitionByExpression") > plan.index("Join")
