@@ -179,15 +179,15 @@ def _sealed(keys: list[str], secret: str) -> Column:
     return hmac_sha256(secret, F.concat_ws(JOINT, *named, F.col("entries").cast("string"), "root"))
 
 
-def seal(log: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN) -> DataFrame:
-    """``keys, entries, root, seal``: one row a chain."""
+def seal(log: DataFrame, secret: str, keys: list[str] | None = None, fan: int = FAN, nodes: DataFrame | None = None) -> DataFrame:
+    """``keys, entries, root, seal``: one row a chain. ``nodes`` is the log's tree, if there is one already (with keys)."""
     if not keys:
         return _seal(log.withColumn("_all", F.lit(0)), secret, ["_all"], [], fan).drop("_all")
-    return _seal(log, secret, keys, keys, fan)
+    return _seal(log, secret, keys, keys, fan, nodes)
 
 
-def _seal(log: DataFrame, secret: str, keys: list[str], named: list[str], fan: int) -> DataFrame:
-    roots = merkle(log, keys, fan).where("top").select(*keys, F.col("digest").alias("root"))
+def _seal(log: DataFrame, secret: str, keys: list[str], named: list[str], fan: int, nodes: DataFrame | None = None) -> DataFrame:
+    roots = (merkle(log, keys, fan) if nodes is None else nodes).where("top").select(*keys, F.col("digest").alias("root"))
     counted = log.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("entries"))
     both = roots.join(counted, _same(keys)).withColumn("seal", _sealed(named, secret))
     return both.select(*keys, "entries", "root", "seal")

@@ -365,7 +365,8 @@ def audit_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_seal_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
-    seals, nodes = written(audit.seal(log, SECRET, _CHAIN_KEYS), "seals"), written(audit.merkle(log, _CHAIN_KEYS), "nodes")
+    nodes = written(audit.merkle(log, _CHAIN_KEYS), "nodes")
+    seals = written(audit.seal(log, SECRET, _CHAIN_KEYS, nodes=nodes), "seals")
     places = log.groupBy(*_CHAIN_KEYS).agg(F.max("seq").alias("last"))
     rows = log.join(places, _CHAIN_KEYS)
     kept = rows.where("NOT (tenant_id = 't1' AND seq > last - 2) AND NOT (tenant_id = 't3' AND seq = 0)")

@@ -126,3 +126,9 @@ def test_proofs_of_a_single_chain(spark):
     made = audit.proofs(single.select("seq", "signature"), single, nodes)
     root = nodes.where("top").first()["digest"]
     assert made.where(audit.proven(F.col("signature"), F.col("proof"), F.lit(root))).count() == 40 == made.count()
+
+
+def test_a_seal_from_a_tree_that_is_there(log):
+    nodes = audit.merkle(log, KEYS)
+    made = audit.seal(log.drop("signature"), "k", KEYS, nodes=nodes)  # no signature is hashed again
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, audit.seal(log, "k", KEYS).collect()))
