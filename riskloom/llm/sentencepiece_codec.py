@@ -17,7 +17,8 @@ Max-plus products of these weights are associative, so giant documents are scann
 
 No piece has a blank after another character, so every path has a boundary before each blank that follows a word.
 Between such places the same lattice is walked word by word, depth first with the longest piece first, and the words
-found are kept in a bounded cache. Documents of up to ``giant`` characters are one chunk without boundaries and take
+found are kept in a bounded cache. A word is first cut between neighbouring characters that no piece holds side by side:
+every path has a boundary there, and as nothing can merge across it, the paths of the two sides don't depend on each other. Documents of up to ``giant`` characters are one chunk without boundaries and take
 only this last step, in a narrow pass. The library reads the vocabulary file, nothing more; tests compare its ids.
 
 Decoding joins the pieces' bytes and drops the leading blank that encoding adds. Encoding is exactly
@@ -31,6 +32,7 @@ column of a name the result needs (``ids``, ``round_trip``) is an error. Ids equ
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +46,7 @@ from pyspark.sql import types as T
 from .common import materialize, text_slices
 
 CHUNK, GIANT, FAN = 32_768, 65_536, 64
-#: Words (of two generations each), tails of words, and pairs of pieces that a worker keeps at most.
+#: Words and parts of words (of two generations each), and pairs of pieces that a worker keeps at most.
 CACHED, PAIRS = 100_000, 200_000
 BAR = "\u2581"
 UNIT = re.compile(f"{BAR}| *[^ {BAR}]+| +")
@@ -82,13 +84,14 @@ class Codec:
                 self.begun[t[:k]] = self.begun.get(t[:k], 0) | 1
             if len(t) > 1:
                 self.begun[t] = self.begun.get(t, 0) | 2
+        #: Neighbouring characters that some piece holds side by side.
+        self.beside = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         #: Weights by the first piece of a pair, then the second; how many there are.
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         #: Ids of words, lately used ones and those before.
         self.units: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.tails: dict[tuple[str, str], tuple[str, ...] | None] = {}
         self.same = {t: t for t in self.ids}
         #: Order in which pieces of several characters merge, and what each is made of.
         order = {x: k for k, x in enumerate(sorted({self.scores[t] for t in self.ids if len(t) > 1}, reverse=True))}
@@ -182,19 +185,53 @@ class Codec:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
 
+    def parts(self, u: str) -> list[str]:
+        """A unit cut wherever no piece holds both neighbours."""
+        beside, out, b = self.beside, [], 0
+        for i in range(1, len(u)):
+            if u[i - 1 : i + 1] not in beside:
+                out.append(u[b:i])
+                b = i
+        out.append(u[b:])
+        return out
+
+    def packed(self, pieces: list[str]) -> bytes:
+        """Ids of pieces as int32 bytes."""
+        try:
+            return array("i", [self.ids[t] for t in pieces]).tobytes()
+        except KeyError:
+            return array("i", [i for t in pieces for i in self.to_ids(t)]).tobytes()
+
     def unit(self, u: str) -> bytes:
         """Ids of a word with the blanks before it, as int32 bytes."""
+        found = self.kept(u)
+        if found is None:
+            parts = self.parts(u)
+            found = self.part(u) if len(parts) == 1 else b"".join([self.units.get(t) or self.part(t) for t in parts])
+            self.keep(u, found)
+        return found
+
+    def part(self, t: str) -> bytes:
+        found = self.kept(t)
+        if found is None:
+            found = self.packed(self.search(t))
+            self.keep(t, found)
+        return found
+
+    def kept(self, u: str) -> bytes | None:
         found = self.units.get(u)
         if found is None:
             found = self.older.get(u)
-            if found is None:
-                found = np.array([i for t in self.walk(u) for i in self.to_ids(t)], np.int32).tobytes()
-            if len(u) <= 64:
-                if len(self.units) >= CACHED:
-                    self.older, self.units = self.units, {}
-                self.units[u] = found
+            if found is not None:
+                self.keep(u, found)
         return found
 
+    def keep(self, u: str, found: bytes) -> None:
+        if len(u) <= 64:
+            if len(self.units) >= CACHED:
+                self.older, self.units = self.units, {}
+            self.units[u] = found
+
     def ends(self, u: str, p: int) -> list[int]:
         """Where the pieces that start at ``p`` end, longest last."""
         n, begun = len(u), self.begun
@@ -212,65 +249,38 @@ class Codec:
         return out
 
     def walk(self, u: str) -> list[str]:
-        """The path of weight 0 through a unit's lattice. There is one such path only, so whatever reaches the end is it."""
-        if len(u) > 64:
-            return self.search(u)
-        found = self.tail("", u)
-        if found is None:
-            raise ValueError("the lattice has no path")
-        return list(found)
-
-    def tail(self, last: str, rest: str) -> tuple[str, ...] | None:
-        """The path through ``rest`` after the piece ``last``, the longest piece first; None from a dead end. Words that end
-        alike share their tails, which are kept."""
-        key = last, rest
-        found = self.tails.get(key, self)
-        if found is not self:
-            return found
-        found, known, n = None, self.pairs.get(last), len(rest)
-        for e in reversed(self.ends(rest, 0)):
-            t = rest[:e]
-            ok = known.get(t) if known is not None else None
-            if ok is None:
-                ok = self.follows(last, t)
-                known = self.pairs.get(last)
-            if ok:
-                t = self.same.get(t, t)
-                if e == n:
-                    found = (t,)
-                    break
-                more = self.tail(t, rest[e:])
-                if more is not None:
-                    found = (t, *more)
-                    break
-        if len(self.tails) >= CACHED:
-            self.tails.clear()
-        self.tails[key] = found
-        return found
+        """The path of weight 0 through a unit's lattice, part by part."""
+        return [t for part in self.parts(u) for t in self.search(part)]
 
     def search(self, u: str) -> list[str]:
-        """The path depth first, longest piece first; dead ends are met once."""
-        pieces: list[str] = []
+        """The path of weight 0 through a lattice, depth first, the longest piece first; dead ends are met once. There is one
+        such path only, so whatever reaches the end is it."""
+        n, pieces, options = len(u), [], []
         dead: set[tuple[int, str]] = set()
-        p, last, options = 0, "", [iter(self.ends(u, 0)[::-1])]
+        p, last, ends = 0, "", self.ends(u, 0)
         while True:
-            for e in options[-1]:
+            known = self.pairs.get(last)
+            while ends:
+                e = ends.pop()
                 t = u[p:e]
-                if self.follows(last, t) and (e, t) not in dead:
-                    pieces.append(t)
-                    p, last = e, t
+                ok = known.get(t) if known is not None else None
+                if ok is None:
+                    ok = self.follows(last, t)
+                    known = self.pairs.get(last)
+                if ok and not (dead and (e, t) in dead):
                     break
             else:
-                options.pop()
                 if not pieces:
                     raise ValueError("the lattice has no path")
                 dead.add((p, last))
                 p -= len(pieces.pop())
-                last = pieces[-1] if pieces else ""
+                last, ends = pieces[-1] if pieces else "", options.pop()
                 continue
-            if p == len(u):
+            pieces.append(t)
+            if e == n:
                 return pieces
-            options.append(iter(self.ends(u, p)[::-1]))
+            options.append(ends)
+            p, last, ends = e, t, self.ends(u, e)
 
     def units_of(self, text: str) -> bytes:
         units, unit = self.units, self.unit
@@ -367,11 +377,7 @@ class Codec:
             parts = self.path(text, b, cut[0], start, next(s for s in done if s[1] == 0))
             middle = self.units_of(text[cut[0] : cut[1]])
             rest = self.path(text, cut[1], e, ("", 0), end)
-
-        def packed(pieces: list[str]) -> bytes:
-            return np.array([i for t in pieces for i in self.to_ids(t)], np.int32).tobytes()
-
-        return packed(parts) + middle + packed(rest)
+        return self.packed(parts) + middle + self.packed(rest)
 
     # -- whole texts ----------------------------------------------------------------------------
 

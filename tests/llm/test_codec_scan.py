@@ -71,3 +71,18 @@ def test_product_is_associative(codec):
         a, b, c = (codec.transfer(*x) for x in cuts[:3])
         p = sentencepiece_codec.product
         assert p(p(a, b), c) == p(a, p(b, c))
+
+
+def test_parts_of_words_are_walked_once(codec, monkeypatch):
+    rng = random.Random(46)
+    for _ in range(300):
+        u = " " + "".join(rng.choice([b for b in BITS if b not in (" ", "  ", "▁")]) for _ in range(rng.randint(1, 30)))
+        parts = codec.parts(u)
+        assert "".join(parts) == u and [t for p in parts for t in codec.merge(p)] == codec.merge(u)
+    walked, search = [], codec.search
+    monkeypatch.setattr(codec, "search", lambda u: walked.append(u) or search(u))
+    text = " ".join(f"harbouring{end}\nharbour{end}" for end in ("", "日", "\n", "\t\t", "日\n日"))
+    codec.units.clear()
+    codec.older.clear()
+    assert codec.decode(codec.encode(text).tolist()) == text
+    assert walked.count(" harbouring") == 1 and walked.count("harbour") == 1 and len(walked) < 8
