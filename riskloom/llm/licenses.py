@@ -5,7 +5,9 @@ words, windows as long as a template, laid so that one of the template's two lon
 text. A unit is reduced to lower-case ASCII words; a template matches when ``2 |A n B| / (|A| + |B|)`` over the
 bigrams, counted with repeats, reaches the threshold t. That needs ``|B| t / (2 - t) <= |A| <= |B| (2 - t) / t``,
 and ``|A|`` is the number of words less one, so each template is filed under the counts it admits and a unit
-meets only the templates filed under its own, before any bigram is made.
+meets only the templates filed under its own, before any bigram is made. As |A n B| is |A| at most, a match also
+needs |A n B| of ``|B| t / (2 - t)`` or more, so of words that stand in more of a template's bigrams than that leaves out
+one must be in the text. Texts with no such word of any template match none and aren't normalised.
 
 Everything happens inside a row, by functions over arrays: no join, no shuffle. The templates are a literal.
 
@@ -179,6 +181,41 @@ def anchors(templates: list[tuple[str, str]]) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def telltales(templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, ...]]:
+    """Groups of words, all words of one of which are in any text, in lower case, that matches a template; an empty group is in all."""
+    out = set()
+    for _, text in templates:
+        words = words_of(text)
+        grams = list(zip(words, words[1:], strict=False))
+        # Dice is largest for a unit that has nothing else.
+        needed = next((c for c in range(len(grams) + 1) if 2.0 * c >= threshold * (c + len(grams))), None)
+        if not grams or needed is None:
+            continue  # nothing matches it
+
+        def short(without: list[str], grams=grams, needed=needed) -> bool:
+            return sum(a not in without and b not in without for a, b in grams) < needed
+
+        chosen: list[str] = []
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if short(chosen):
+                break
+            chosen.append(w)
+        if not short(chosen):
+            return [()]
+        for w in chosen[::-1]:
+            if short([x for x in chosen if x != w]):
+                chosen.remove(w)
+        # Where the others are missing, each word that makes the text short in place of the last one must be there.
+        *others, last = chosen
+        out |= {(w,) for w in others}
+        out.add(tuple(sorted(w for w in set(words) if len(w) == len(last) and short([*others, w]))))
+
+    def implied(group: tuple[str, ...], by: tuple[str, ...]) -> bool:
+        return all(any(x in w for w in by) for x in group)
+
+    return sorted(g for g in out if not any(x != g and implied(x, g) for x in out))
+
+
 def normal_lines(text: Column) -> Column:
     """Lower-case ASCII words with single blanks between them; line ends stay. Single blanks cost nothing."""
     return F.lower(F.regexp_replace(text, r" *[^A-Za-z0-9\n ][^A-Za-z0-9\n]*| {2,}", " "))
@@ -265,7 +302,17 @@ def matched(text: Column, templates: list[tuple[str, str]] | None = None, thresh
         sized = F.filter(sized, lambda u: u["n"].between(min(filed), max(filed)) & (F.size(F.get(admitted, u["n"])) > 0))
         return F.flatten(F.transform(sized, lambda u: _bound(_numbered(bigrams(u["unit"])), lambda own: scored(u, own))))
 
-    return F.when(text.isNull(), F.array().cast(MATCH)).otherwise(_bound(normal_lines(text), matches).cast(MATCH))
+    def may_match(low: Column) -> Column:
+        found = F.lit(False)
+        for group in telltales(templates, threshold):
+            every = F.lit(True)
+            for w in group:
+                every = every & F.contains(low, F.lit(w))
+            found = found | every
+        return found
+
+    some = F.exists(F.array(F.lower(text)), may_match)
+    return F.when(some, _bound(normal_lines(text), matches).cast(MATCH)).otherwise(F.array().cast(MATCH))
 
 
 def license_matches(

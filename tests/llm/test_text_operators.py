@@ -198,6 +198,25 @@ def test_size_bounds_lose_nothing():
         assert 2 * min(n, total) / (n + total) >= 0.8, name
 
 
+def test_texts_without_a_telltale_match_nothing():
+    rng = np.random.default_rng(47)
+    groups = licenses.telltales(licenses.TEMPLATES, 0.8)
+    told = lambda low: any(all(w in low for w in g) for g in groups)
+    assert not told("the cat sat by the door of the mit, once more at work") and not told("")
+    near = 0
+    for _, template in licenses.TEMPLATES:
+        words, want = licenses.words_of(template), licenses.bigrams_of(template)
+        for _ in range(300):
+            gone = set(rng.choice(words, rng.integers(0, 1 + len(words) // 3)))  # whole words go, wherever they stand
+            unit = " ".join(w for w in words if w not in gone)
+            own = licenses.bigrams_of(unit)
+            if 2 * (own & want).total() >= 0.8 * (own.total() + want.total()):
+                near += bool(gone)
+                assert told(f"x {unit} y"), (template, unit)
+    assert near > 500
+    assert licenses.telltales(licenses.TEMPLATES, 0.0) == [()] and licenses.telltales([("a", "word")], 0.8) == []
+
+
 # -- toxicity --------------------------------------------------------------------------------------------
 
 
