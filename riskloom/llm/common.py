@@ -17,11 +17,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES, USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark from wherever the path points."""
+    """One input table, read by Spark from wherever the path points.
+
+    Batches that go to Python are bounded by bytes from here on, unless the session has a bound of its own: the usual 10,000
+    rows of whole texts are tens of MB, several times over, in each task's JVM and worker.
+    """
+    if spark.conf.get(BATCH_BYTES) == USUAL:
+        spark.conf.set(BATCH_BYTES, "4m")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[str, dict] = {}
+
+
+def only(name: str) -> dict:
+    """What this Python worker keeps from task to task for one operator. Workers outlive a step, so what others kept goes."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+    return _kept.setdefault(name, {})
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, text_slices
+from .common import discard, materialize, only, text_slices
 
 WINDOW, BLOCK_WORDS = 10, 200_000
 #: Bytes to words: A-Z become a-z, digits, letters and bytes of non-ASCII characters stay, all else is a blank.
@@ -53,8 +53,6 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ..
 class Automaton:
     """Windows of a block of items; built where it is first used and kept by the worker process."""
 
-    built: dict[str, Automaton] = {}
-
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.numbers: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
@@ -71,10 +69,11 @@ class Automaton:
 
     @classmethod
     def of(cls, name: str, block, window: int) -> Automaton:
-        if name not in cls.built:
-            cls.built.clear()
-            cls.built[name] = cls(block.value, window)
-        return cls.built[name]
+        built = only("automaton")
+        if name not in built:
+            built.clear()
+            built[name] = cls(block.value, window)
+        return built[name]
 
     def hits(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, word after the last, items) of every occurrence."""

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_slices
+from .common import materialize, only, text_slices
 
 CHUNK, GIANT, FAN = 32_768, 65_536, 64
 #: Words and parts of words (of two generations each), and pairs of pieces that a worker keeps at most.
@@ -58,8 +58,6 @@ State = tuple[str, int]
 class Codec:
     """A vocabulary file with its lattice weights; one per worker process and file."""
 
-    loaded: dict[str, Codec] = {}
-
     def __init__(self, model: bytes):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         sp = self.library
@@ -102,9 +100,10 @@ class Codec:
     def of(cls, model) -> Codec:
         """``model`` is a broadcast (name, bytes)."""
         name, raw = model.value
-        if name not in cls.loaded:
-            cls.loaded[name] = cls(raw)
-        return cls.loaded[name]
+        loaded = only("codec")
+        if name not in loaded:
+            loaded[name] = cls(raw)
+        return loaded[name]
 
     # -- pieces and weights ---------------------------------------------------------------------
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, text_slices
+from .common import materialize, only, text_slices
 
 MAX_TRAIN, MAX_LEARNED, CALIBRATION_FOLD = 20_000, 400, 4
 #: Parts of the training rows; each is measured with a lexicon learned from the others.
@@ -221,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_le
     rows = materialize(one.select("doc_id", "t.text", "toxic"), "toxic-train")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 words, toxic, parts = [], [], []
@@ -255,9 +256,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_le
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, folds, parts = batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("fold").to_pylist(), batch.column("part").to_pylist()
-            x = [features(t, words if f == CALIBRATION_FOLD else unseen[p], FIXED) for t, f, p in zip(texts, folds, parts, strict=True)]
-            yield pa.record_batch([batch.column("toxic"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "fold", "x"])
+            for piece in text_slices(batch, "text"):
+                texts, folds, parts = piece.column("text").cast(pa.large_binary()).to_pylist(), piece.column("fold").to_pylist(), piece.column("part").to_pylist()
+                x = [features(t, words if f == CALIBRATION_FOLD else unseen[p], FIXED) for t, f, p in zip(texts, folds, parts, strict=True)]
+                yield pa.record_batch([piece.column("toxic"), piece.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
     measured = labelled.mapInArrow(lambda b: measure(b), "toxic int, fold int, x array<double>").collect()  # at most max_train rows of a few numbers
     x = np.array([r["x"] for r in measured])
@@ -278,6 +280,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             for part in text_slices(batch, "_text"):
                 s = sent.value.scores(part.column("_text").cast(pa.large_binary()).to_pylist())
