@@ -3,7 +3,9 @@
 The language model is modified Kneser-Ney over the UTF-8 bytes of words (A-Z lower-cased), with a mark before and after each, of order 5.
 Spark counts the n-grams of every whole text (summed up in each slice and task, then by n-gram), and derives continuation counts,
 discounts and interpolated probabilities by joins from order to order. A text is never scored by a model that has counted it: texts go
-into two halves by their hash, copies together, and each half is scored by the model of the other.
+into two halves by their hash, copies together, and each half is scored by the model of the other. A model that has learned symbol-ridden
+texts finds nothing odd in them, so it doesn't learn from texts with over ``MOST_SYMBOLS`` symbols for 100 words, unless over half of what
+its language's half consists of is such (they are usual there). Every text is counted, scored and counts for the bands.
 
 The model is sorted arrays of 64-bit hashes of (language, half, n-gram) with a probability or a back-off weight each, broadcast
 in shards of some ``shard_entries`` (4 M, 48 MB) by the last two bytes of the context, so that all a symbol asks for
@@ -34,6 +36,8 @@ from .common import join_hot, materialize, text_slices
 from .words import byte_set, cut, joined, lines, numbered, pairs, seed_mix
 
 ORDER, SHARD_ENTRIES, SLICE = 5, 4_000_000, 1 << 20
+#: A model doesn't learn from texts with more symbols than this for 100 words.
+MOST_SYMBOLS = 10
 #: Repetition and length: fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED, REPEAT = 10, 20, 5
 #: Bands: interquartile ranges beyond the quartiles, and what a text of one symbol adds to them.
@@ -148,30 +152,40 @@ def _half(text: Column) -> Column:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, half, k, gram, c``: the n-grams of all texts and how often each was seen."""
+    """``lang, half, k, gram, c, plain``: the n-grams of all texts, how often each was seen, and how often in texts with few symbols."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
                 langs, halves = part.column("lang"), part.column("half").to_numpy()
                 number, named = numbered(langs)
-                g = Grams(Slice(part.column("text")), number * 2 + halves)
+                s = Slice(part.column("text"))
+                g = Grams(s, number * 2 + halves)
+                plain = 100 * s.per_text(SYMBOL[s.data]) <= MOST_SYMBOLS * s.n_words
                 yield pa.record_batch(
                     [
                         named.take(pa.array(g.group >> 1)).cast(pa.string()), pa.array((g.group & 1).astype(np.int32)), pa.array(g.k.astype(np.int32)),
                         pa.array(g.gram), pa.array(np.bincount(g.ids, minlength=len(g.gram))),
+                        pa.array(np.bincount(g.ids[plain[g.row]], minlength=len(g.gram))),
                     ],
-                    ["lang", "half", "k", "gram", "c"],
+                    ["lang", "half", "k", "gram", "c", "plain"],
                 )
 
     texts = docs.where("text is not null").select(_language(docs).alias("lang"), _half(F.col("text")).alias("half"), "text")
-    seen = texts.mapInArrow(count, "lang string, half int, k int, gram long, c long")
-    return seen.groupBy("lang", "half", "k", "gram").agg(F.sum("c").alias("c"))
+    seen = texts.mapInArrow(count, "lang string, half int, k int, gram long, c long, plain long")
+    return seen.groupBy("lang", "half", "k", "gram").agg(F.sum("c").alias("c"), F.sum("plain").alias("plain"))
 
 
 GROUP = ["lang", "half"]
 
 
+def learned(counts: DataFrame) -> DataFrame:
+    """``lang, half, k, gram, c``: what a model learns from."""
+    usual = counts.groupBy(*GROUP).agg((2 * F.sum("plain") >= F.sum("c")).alias("usual"))
+    c = F.when(F.col("usual"), F.col("plain")).otherwise(F.col("c")).alias("c")
+    return counts.join(usual, GROUP).select(*GROUP, "k", "gram", c).where("c > 0")
+
+
 def continuations(counts: DataFrame) -> DataFrame:
     """``lang, half, k, gram, c`` of all orders: a shorter n-gram counts in how many different symbols' wake it was seen, one from a
     word's beginning how often."""
@@ -274,7 +288,7 @@ def log_probabilities(g: Grams, seeds: np.ndarray, grams: Table, contexts: Table
 def score(docs: DataFrame, keep: list[str], shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """The columns in ``keep``, ``lang``, the base counts, ``symbols`` and ``nats`` (the text's negative log-likelihood, null without a model)."""
     spark = docs.sparkSession
-    grams, contexts = probabilities(materialize(count_grams(docs), "grams"))
+    grams, contexts = probabilities(materialize(learned(materialize(count_grams(docs), "grams")), "grams"))
     grams, contexts = materialize(hashed(grams, "p", 1), "model-grams"), materialize(hashed(contexts, "w", 0), "model-contexts")
     shards = max(1, -(-(grams.count() + contexts.count()) // shard_entries))
     text = F.coalesce(F.col("text"), F.lit(""))

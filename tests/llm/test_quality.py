@@ -156,3 +156,29 @@ def test_defined_cases(spark):
     long = "ab ba " * 400_000 + "x" * 500_000
     got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame([(1, long, "en"), (2, "ab ba ab", "en"), (3, "ba ab", "en"), (4, "ab", "en"), (5, "ba", "en")], DOCS)).collect()}
     assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["word_chars"]) == (800_001, 800_000, 2_100_000)
+
+
+def test_symbol_ridden_texts_are_judged_by_a_model_of_the_others(spark):
+    rng = random.Random(124)
+    marks = ["###", "$$$", "%%%", "&&&", "***"]
+    ridden = lambda n: " ".join(w + rng.choice(marks) for w in invented(rng, n, "aabbcdeé").split())
+    rows = [(i, invented(rng, 200, "aabbcdeé"), "en") for i in range(120)] + [(500 + i, ridden(200), "en") for i in range(15)]
+    rows += [(700, invented(rng, 200, "aabbcdeé") + " #" * 20, "en")]  # 20 symbols, 220 words: few
+    rows += [(800 + i, ridden(200), "code") for i in range(30)] + [(900, invented(rng, 200, "aabbcdeé"), "code")]  # usual there, so the last is the odd one
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = {r["doc_id"]: r for r in quality.quality(df).collect()}
+    assert len(got) == len(rows) and not any(r["base_failed"] for r in got.values())
+    assert [i for i, r in sorted(got.items()) if not r["kept"]] == [*range(500, 515), 900]
+    texts = {i: t for i, t, lang in rows}
+    for lang, learned in (("en", [*range(120), 700]), ("code", [*range(800, 830), 900])):
+        models = [SlowModel([texts[i] for i in learned if half_of(texts[i]) == half]) for half in (0, 1)]
+        for i in [i for i, _, x in rows if x == lang][::7]:
+            nats, n = models[1 - half_of(texts[i])].score(texts[i])
+            assert np.isclose(math.log(got[i]["perplexity"]), nats / n, rtol=1e-4)
+
+
+def test_bands_reject_most_texts_labelled_bad_that_pass_the_counts(spark, duck):
+    got = {r["doc_id"]: r for r in QUERIES["op12_quality_rules"](spark, "/root/testdata/sf0.01").collect()}
+    bad = [i for (i,) in duck.sql("SELECT doc_id FROM '/root/testdata/sf0.01/labels.parquet' WHERE quality = 0").fetchall()]
+    passed = [got[i] for i in bad if i in got and not got[i]["base_failed"]]
+    assert len(passed) > 20 and sum(not r["kept"] for r in passed) >= 0.9 * len(passed)
