@@ -181,9 +181,9 @@ GROUP = ["lang", "half"]
 
 def learned(counts: DataFrame) -> DataFrame:
     """``lang, half, k, gram, c``: what a model learns from."""
-    usual = counts.groupBy(*GROUP).agg((2 * F.sum("plain") >= F.sum("c")).alias("usual"))
+    usual = materialize(counts.groupBy(*GROUP).agg((2 * F.sum("plain") >= F.sum("c")).alias("usual"), F.count(F.lit(1)).alias("n")), "usual")
     c = F.when(F.col("usual"), F.col("plain")).otherwise(F.col("c")).alias("c")
-    return counts.join(usual, GROUP).select(*GROUP, "k", "gram", c).where("c > 0")
+    return join_hot(counts, usual, GROUP, "n", F.xxhash64("gram")).select(*GROUP, "k", "gram", c).where("c > 0")
 
 
 def continuations(counts: DataFrame) -> DataFrame:
@@ -203,16 +203,16 @@ def probabilities(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     and ``lang, half, k, gram, w`` of every context."""
     every = materialize(continuations(counts), "grams")
     n = {j: F.count_if(F.col("c") == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)}
-    found = every.groupBy(*GROUP, "k").agg(*n.values())
+    found = every.groupBy(*GROUP, "k").agg(*n.values(), F.count(F.lit(1)).alias("n"))
     share = F.expr("n1 / nullif(n1 + 2 * n2, 0)")
 
     def discount(j: int) -> Column:
         usual = j - (j + 1) * share * F.col(f"n{j + 1}") / F.expr(f"nullif(n{j}, 0)")
         return F.least(F.lit(float(j)), F.greatest(F.lit(0.05), F.coalesce(usual, F.lit(0.5 * j)))).alias(f"d{j}")
 
-    discounts = found.select(*GROUP, "k", *[discount(j) for j in (1, 2, 3)])
+    discounts = materialize(found.select(*GROUP, "k", "n", *[discount(j) for j in (1, 2, 3)]), "discounts")
     off = F.expr("CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END")
-    rows = every.join(discounts, [*GROUP, "k"]).withColumns({"off": off, "context": F.expr("shiftright(gram, 8)")})
+    rows = join_hot(every, discounts, [*GROUP, "k"], "n", F.xxhash64("gram")).withColumns({"off": off, "context": F.expr("shiftright(gram, 8)")})
     rows = materialize(rows.select(*GROUP, "k", "gram", "context", "c", "off"), "grams")
     contexts = rows.groupBy(*GROUP, "k", "context").agg(F.sum("c").alias("total"), (F.sum("off") / F.sum("c")).alias("w"), F.count(F.lit(1)).alias("kinds"))
     contexts = materialize(contexts, "contexts")
